@@ -457,3 +457,324 @@ def _pairs_sql(kind, first, second, gap, same):
 add("seq_pairs", _pairs,
     _pairs_sql("free-free", r"\bfree\s*\(\s*(\w+)\s*\)", r"\bfree\s*\(\s*(\w+)\s*\)", 200, True) + " UNION ALL "
     + _pairs_sql("access-open", r"\baccess\s*\([^)]+\)", r"\bopen\s*\(", 300, False))
+
+# ------------------------------------------------------------------ patching
+FIX_FUNCTIONS = ", ".join(lit(f) for f in dims.TEMPLATE_FUNCTIONS)
+
+
+def _template_sql(line: str, fn: str) -> str:
+    """The fix templates over RE2; null where the pattern does not match."""
+    def two(pattern, build):
+        g = lambda i: f"trim(regexp_extract({line}, {lit(pattern)}, {i}))"
+        indent = f"regexp_extract({line}, '^(\\s*)', 1)"
+        return f"CASE WHEN regexp_matches({line}, {lit(pattern)}) THEN {build(g(1), g(2), indent)} END"
+
+    args = lambda f: rf"\b{f}\s*\(\s*([^,]+)\s*,\s*([^)]+)\s*\)"
+    rest = lambda f: rf"\b{f}\s*\(\s*([^,]+)\s*,\s*(.+)\s*\)"
+    gets = r"^(.*?)\bgets\s*\(\s*([^)]+)\s*\)(.*)$"
+    scanf = r'^(.*?\bscanf\s*\(\s*"[^"]*)%s([^"]*".*)$'
+    buf = f"trim(regexp_extract({line}, {lit(gets)}, 2))"
+    cases = {
+        "gets": f"CASE WHEN regexp_matches({line}, {lit(gets)}) THEN regexp_extract({line}, {lit(gets)}, 1) || 'fgets(' "
+                f"|| {buf} || ', sizeof(' || {buf} || '), stdin)' || regexp_extract({line}, {lit(gets)}, 3) END",
+        "strcpy": two(args("strcpy"), lambda d, s, i: f"{i} || 'strncpy(' || {d} || ', ' || {s} || ', sizeof(' || {d} || ') - 1);' "
+                      f"|| chr(10) || {i} || {d} || '[sizeof(' || {d} || ') - 1] = ''\\0'';'"),
+        "strcat": two(args("strcat"), lambda d, s, i: f"{i} || 'strncat(' || {d} || ', ' || {s} || ', sizeof(' || {d} "
+                      f"|| ') - strlen(' || {d} || ') - 1);'"),
+        "sprintf": two(rest("sprintf"), lambda d, s, i: f"{i} || 'snprintf(' || {d} || ', sizeof(' || {d} || '), ' || {s} || ');'"),
+        "vsprintf": two(rest("vsprintf"), lambda d, s, i: f"{i} || 'vsnprintf(' || {d} || ', sizeof(' || {d} || '), ' || {s} || ');'"),
+        "scanf": f"CASE WHEN regexp_matches({line}, {lit(scanf)}) THEN regexp_extract({line}, {lit(scanf)}, 1) || '%255s' "
+                 f"|| regexp_extract({line}, {lit(scanf)}, 2) END",
+        "wcscpy": two(args("wcscpy"), lambda d, s, i: f"{i} || 'wcsncpy(' || {d} || ', ' || {s} || ', sizeof(' || {d} || ')/sizeof(' "
+                      f"|| {d} || '[0]) - 1);' || chr(10) || {i} || {d} || '[sizeof(' || {d} || ')/sizeof(' || {d} "
+                      f"|| '[0]) - 1] = L''\\0'';'"),
+    }
+    return f"CASE {fn} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in cases.items()) + " END"
+
+
+HEAD_OF = "regexp_extract(a.t, '^[^\\n]*')"
+NEW_HEAD = _template_sql(HEAD_OF, "x.fn")
+PATCH_CTES = {
+    "edits": f"""SELECT file_path, line, list_sort(list({{'r': {REPORT_RANK}, 'seq': seq, 'fn': function_name,
+        't': '', 'ok': []::BIGINT[]}})) AS e FROM findings WHERE function_name IN ({FIX_FUNCTIONS}) GROUP BY file_path, line""",
+    "plines": f"""SELECT file_path, unnest(range(1, len(ls) + 1)) AS line, unnest(ls) AS old FROM
+        (SELECT file_path, {LINES} AS ls FROM code_files WHERE file_path IN (SELECT file_path FROM edits))""",
+    "blocks": f"""SELECT file_path, line, old, coalesce(s.t, old) AS new, coalesce(s.ok, []::BIGINT[]) AS ok FROM (
+        SELECT p.file_path, p.line, p.old, CASE WHEN e.e IS NOT NULL THEN list_reduce(list_prepend(
+            {{'r': -1, 'seq': 0::BIGINT, 'fn': '', 't': p.old, 'ok': []::BIGINT[]}}, e.e),
+          lambda a, x: {{'r': x.r, 'seq': x.seq, 'fn': x.fn,
+            't': coalesce({NEW_HEAD} || a.t[length({HEAD_OF}) + 1:], a.t),
+            'ok': CASE WHEN {NEW_HEAD} IS NULL THEN a.ok ELSE list_append(a.ok, x.seq) END}}) END AS s
+        FROM plines p LEFT JOIN edits e ON e.file_path = p.file_path AND e.line = p.line)""",
+    "fixed": """SELECT file_path, string_agg(old, chr(10) ORDER BY line) AS code,
+        string_agg(new, chr(10) ORDER BY line) AS fixed_code FROM blocks GROUP BY file_path
+        HAVING string_agg(old, chr(10) ORDER BY line) <> string_agg(new, chr(10) ORDER BY line)""",
+    "changed": "SELECT file_path, line, old, new FROM blocks WHERE old <> new",
+}
+
+
+def fixed(s, d):
+    return patch.fix_files(code(s, d), found(s, d))
+
+
+add("can_template_fix", lambda s, d: found(s, d).select(
+        "file_path", "rule_id", "function_name", patch.can_template_fix(F.col("function_name")).alias("fixable")),
+    f"SELECT file_path, rule_id, function_name, function_name IN ({FIX_FUNCTIONS}) AS fixable FROM findings")
+
+
+def _lines_with(fn: str) -> Query:
+    """Each template over every line of every file that names the function."""
+    def run(s, d):
+        lines = code(s, d).select("file_path", F.posexplode(text.lines_of(F.col("code"))).alias("i", "old"))
+        return lines.where(F.contains("old", F.lit(fn))).select(
+            "file_path", (F.col("i") + 1).cast("bigint").alias("line"), "old", patch.template_fix(F.col("old"), fn).alias("fixed"))
+    return run
+
+
+for _fn in dims.TEMPLATE_FUNCTIONS:
+    add(f"fix_{_fn}", _lines_with(_fn),
+        f"SELECT file_path, line::BIGINT AS line, old, {_template_sql('old', lit(_fn))} AS fixed FROM every_line "
+        f"WHERE contains(old, '{_fn}')",
+        every_line=f"SELECT file_path, unnest(range(1, len(ls) + 1)) AS line, unnest(ls) AS old "
+                   f"FROM (SELECT file_path, {LINES} AS ls FROM code_files)")
+add("try_template_fix", lambda s, d: code(s, d).select(
+        "file_path", F.posexplode(text.lines_of(F.col("code"))).alias("i", "old")).where("i > 3").select(
+        "file_path", (F.col("i") + 1).cast("bigint").alias("line"), patch.try_template_fix(
+            F.col("old"), F.upper(text.call_name(F.col("old")))).alias("fixed")),
+    f"SELECT file_path, line::BIGINT AS line, {_template_sql('old', 'fn')} AS fixed FROM (SELECT *, regexp_extract(old, "
+    f"'\\b(\\w+)\\s*\\(', 1) AS fn FROM every_line) WHERE line > 4",
+    every_line=f"SELECT file_path, unnest(range(1, len(ls) + 1)) AS line, unnest(ls) AS old "
+               f"FROM (SELECT file_path, {LINES} AS ls FROM code_files)")
+add("apply_templates", lambda s, d: patch.apply_templates(code(s, d), found(s, d)).select(
+        "file_path", F.array_join("blocks", "\n").alias("fixed_code"), F.size("applied").cast("bigint").alias("applied")),
+    "SELECT file_path, string_agg(new, chr(10) ORDER BY line) AS fixed_code, sum(len(ok))::BIGINT AS applied "
+    "FROM blocks GROUP BY file_path", **PATCH_CTES)
+add("fix_file", lambda s, d: fixed(s, d).select("file_path", "fixed_code"),
+    "SELECT file_path, fixed_code FROM fixed", **PATCH_CTES)
+
+
+def _remaining(s, d):
+    f = found(s, d)
+    return patch.remaining_findings(f, patch.apply_templates(code(s, d), f)).select(
+        "file_path", *big("line"), "rule_id", "function_name")
+
+
+add("fix_remaining", _remaining,
+    """SELECT f.file_path, f.line::BIGINT AS line, rule_id, function_name FROM findings f
+       LEFT JOIN (SELECT file_path, unnest(ok) AS seq FROM blocks) b ON b.file_path = f.file_path AND b.seq = f.seq
+       WHERE b.seq IS NULL""", **PATCH_CTES)
+
+
+def _shifted(s, d):
+    f = found(s, d)
+    return patch.line_shift(f, patch.fix_files(code(s, d), f)).select(
+        "file_path", "rule_id", "function_name", *big("line", "fixed_line"))
+
+
+add("line_shift", _shifted,
+    """SELECT f.file_path, rule_id, function_name, f.line::BIGINT AS line, (f.line + coalesce((SELECT sum(
+         length(new) - length(replace(new, chr(10), ''))) FROM changed c
+         WHERE c.file_path = f.file_path AND c.line < f.line), 0))::BIGINT AS fixed_line FROM findings f""", **PATCH_CTES)
+add("patch_lines", lambda s, d: patch.patch_lines(fixed(s, d)).select(
+        "file_path", *big("line", "ordinal"), "op", "text"),
+    """SELECT file_path, line::BIGINT AS line, 0::BIGINT AS ordinal, '-' AS op, old AS text FROM changed UNION ALL
+       SELECT file_path, line, unnest(range(1, len(ls) + 1)), '+', unnest(ls) FROM
+         (SELECT file_path, line, string_split(new, chr(10)) AS ls FROM changed)""", **PATCH_CTES)
+PATCH_COUNTS = ("SELECT file_path, sum(1 + length(new) - length(replace(new, chr(10), '')))::BIGINT AS additions, "
+                "count(*) AS deletions FROM changed GROUP BY file_path")
+add("patch_counts", lambda s, d: patch.patch_counts(patch.patch_lines(fixed(s, d))), PATCH_COUNTS, **PATCH_CTES)
+add("fixes_list", lambda s, d: patch.unified_diff(fixed(s, d)).select(
+        "file_path", "filename", "hunks", "additions", "deletions",
+        F.size(F.filter(F.split("diff", "\n", -1), lambda x: F.startswith(x, F.lit("@@")))).cast("bigint").alias("headers"),
+        F.regexp_extract("diff", r"@@ -(\d+,\d+)", 1).alias("first_range")),
+    f"""SELECT h.file_path, regexp_extract(h.file_path, '[^/]*$') AS filename, hunks, additions, deletions, hunks AS headers,
+         greatest(1, l1 - 3) || ',' || (least(n, l2 + 3) - greatest(1, l1 - 3) + 1) AS first_range
+       FROM (SELECT file_path, count(DISTINCT h)::BIGINT AS hunks, min(line) AS l1, max(line) FILTER (h = 1) AS l2 FROM (
+         SELECT *, sum(CASE WHEN gap IS NULL OR gap > 7 THEN 1 ELSE 0 END) OVER (PARTITION BY file_path ORDER BY line) AS h
+         FROM (SELECT *, line - lag(line) OVER (PARTITION BY file_path ORDER BY line) AS gap FROM changed)) GROUP BY 1) h
+       JOIN counts c ON c.file_path = h.file_path
+       JOIN (SELECT file_path, {TOTAL_LINES} AS n FROM code_files) t ON t.file_path = h.file_path""",
+    counts=PATCH_COUNTS, **PATCH_CTES)
+add("sink_fixed", lambda s, d: sinks.with_out_path(fixed(s, d), "/out/").select("file_path", "out_path"),
+    f"""SELECT file_path, '/out/' || CASE WHEN (SELECT count(DISTINCT {BASE}) <> count(*) FROM fixed)
+         THEN regexp_extract(file_path, '([^/]*)/[^/]*$', 1) || '/' ELSE '' END || {BASE} AS out_path FROM fixed""",
+    **PATCH_CTES)
+add("fix_publish", lambda s, d: sinks.publish(fixed(s, d), code(s, d).where(~F.contains("file_path", F.lit("safe_")))),
+    f"""SELECT {BASE} AS filename, CASE WHEN ok THEN file_path END AS original_path,
+         CASE WHEN ok THEN file_path || '.bak' END AS backup_path, CASE WHEN ok THEN fixed_code END AS code,
+         CASE WHEN ok THEN 'applied' ELSE 'error' END AS status,
+         CASE WHEN NOT ok THEN 'Original file not found' END AS error
+       FROM (SELECT *, NOT contains(file_path, 'safe_') AS ok FROM fixed)""", **PATCH_CTES)
+add("join_fix_original", lambda s, d: analyze.fix_original(
+        fixed(s, d), found(s, d, "critical"), code(s, d)),
+    f"""SELECT DISTINCT {BASE} AS filename, file_path AS original_path FROM fixed""", **PATCH_CTES)
+add("has_fix", lambda s, d: analyze.fix_state(found(s, d), fixed(s, d)).select(
+        "file_path", *big("line"), "rule_id", "function_name", "fix_state"),
+    """SELECT f.file_path, f.line::BIGINT AS line, rule_id, function_name, CASE WHEN x.file_path IS NOT NULL THEN 'Fixed'
+         WHEN recommendation <> '' THEN 'Rec.' ELSE '—' END AS fix_state
+       FROM findings f LEFT JOIN fixed x ON x.file_path = f.file_path""", **PATCH_CTES)
+# detecting again needs the whole detector chain over the fixed texts
+_AGAIN = {f"again_{n}": CTES[n] for n in ("neutral1", "neutral2", "neutral3", "neutral", "rule_hits", "lexed1", "lexed",
+                                           "call_hits", "matched_calls", "raw_findings")}
+for _n in list(_AGAIN):
+    for _m in ("neutral1", "neutral2", "neutral3", "neutral", "rule_hits", "lexed1", "lexed", "call_hits",
+               "matched_calls"):
+        _AGAIN[_n] = _AGAIN[_n].replace(f"FROM {_m} ", f"FROM again_{_m} ").replace(
+            f"FROM {_m})", f"FROM again_{_m})").replace(f"FROM {_m}\n", f"FROM again_{_m}\n")
+        if _AGAIN[_n].endswith(f"FROM {_m}"):
+            _AGAIN[_n] = _AGAIN[_n][:-len(_m)] + f"again_{_m}"
+    _AGAIN[_n] = _AGAIN[_n].replace("FROM code_files", "FROM fixed_files")
+_AGAIN["fixed_files"] = ("SELECT f.file_path, c.language, f.fixed_code AS code FROM fixed f "
+                         "JOIN code_files c ON c.file_path = f.file_path")
+add("rescan_high", lambda s, d: shown(patch.rescan_high(fixed(s, d)), *RAW_COLUMNS),
+    RAW_SQL.replace("raw_findings", "again_raw_findings") + " WHERE d.severity IN ('critical', 'high')",
+    **PATCH_CTES, **_AGAIN)
+
+# ------------------------------------------------------------------ review by a model: answers derived from the findings
+ID_SQL = "file_path || ':' || rule_id || ':' || function_name || ':' || line"
+VERDICTS = ["Confirmed: YES\nReason: unbounded copy", "confirmed: no", "Rejected - guarded above", "I cannot tell"]
+
+
+def _verdicts(f: DataFrame) -> DataFrame:
+    key = assist.finding_id()
+    slot = (F.length(key) * 7 + F.col("line")) % 5
+    return f.select(key.alias("finding_id"), F.get(F.array(*[F.lit(v) for v in VERDICTS]), slot).alias("response")).where(
+        "response IS NOT NULL")
+
+
+VERDICTS_SQL = (f"SELECT * FROM (SELECT {ID_SQL} AS finding_id, [" + ", ".join(
+    " || chr(10) || ".join(lit(p) for p in v.split("\n")) for v in VERDICTS)
+    + f"][(length({ID_SQL}) * 7 + line) % 5 + 1] AS response FROM findings) WHERE response IS NOT NULL")
+
+
+def _judged(s, d):
+    f = found(s, d)
+    return assist.apply_verdicts(f, _verdicts(f)).select(
+        "finding_id", "confidence", "llm_confirmed", "llm_confidence", "llm_explanation")
+
+
+JUDGED_SQL = f"""SELECT finding_id, c AS confidence, v AS llm_confirmed, CASE WHEN response IS NOT NULL THEN c END
+    AS llm_confidence, coalesce(response, '') AS llm_explanation FROM (SELECT *,
+      CASE WHEN v THEN least(1.0::DOUBLE, confidence + 0.25::DOUBLE)
+           WHEN NOT v THEN greatest(0.0::DOUBLE, confidence - 0.3::DOUBLE) ELSE confidence END AS c
+    FROM (SELECT f.finding_id, f.confidence, r.response, CASE WHEN contains(upper(r.response), 'CONFIRMED: YES') THEN true
+       WHEN contains(upper(r.response), 'CONFIRMED: NO') OR contains(upper(r.response), 'REJECTED') THEN false END AS v
+     FROM (SELECT *, {ID_SQL} AS finding_id FROM findings) f LEFT JOIN responses r ON r.finding_id = f.finding_id))"""
+add("apply_verdicts", _judged, JUDGED_SQL, responses=VERDICTS_SQL)
+add("join_verdict", lambda s, d: _judged(s, d).groupBy("llm_confirmed").agg(F.count("*").alias("n")),
+    "SELECT llm_confirmed, count(*) AS n FROM judged GROUP BY ALL", responses=VERDICTS_SQL, judged=JUDGED_SQL)
+
+SNIP = ("array_to_string(string_split(c.code, chr(10))[greatest(0, f.line - 6) + 1 : "
+        "least(len(string_split(c.code, chr(10))), f.line + 5)], chr(10))")
+SNIPPED = (f"SELECT f.*, {ID_SQL.replace('file_path', 'f.file_path')} AS finding_id, {SNIP} AS snippet "
+           "FROM findings f JOIN code_files c ON c.file_path = f.file_path")
+
+
+def _prompt_sql(template: str, source: str, *keys: str) -> str:
+    parts = []
+    for piece in template.replace("{", "\0{").replace("}", "\0").split("\0"):
+        if piece.startswith("{"):
+            parts.append(piece[1:])
+        elif piece:
+            parts.append(" || chr(10) || ".join(lit(x) for x in piece.split("\n")))
+    return f"SELECT {', '.join(keys)}, {' || '.join(parts)} AS prompt FROM {source}"
+
+
+add("join_snippet", lambda s, d: analyze.with_snippet(found(s, d), code(s, d)).select(
+        "file_path", *big("line"), "rule_id", "function_name", "snippet"),
+    "SELECT file_path, line::BIGINT AS line, rule_id, function_name, snippet FROM snipped", snipped=SNIPPED)
+for _key, _run, _template in [("reason_prompts", assist.reason_prompts, assist.REASON_PROMPT),
+                              ("fix_prompts", assist.fix_prompts, assist.FIX_PROMPT),
+                              ("snippet_prompts", assist.snippet_prompts, assist.SNIPPET_PROMPT)]:
+    add(_key, lambda s, d, run=_run: run(found(s, d), code(s, d)),
+        _prompt_sql(_template, "snipped", "finding_id"), snipped=SNIPPED)
+add("batch_prompts", lambda s, d: assist.batch_prompts(found(s, d), code(s, d)),
+    _prompt_sql(assist.BATCH_PROMPT, "batches", "file_path"),
+    batches="""SELECT c.file_path, any_value(c.code) AS snippet, string_agg('  - Line ' || f.line || ': ' || f.vuln_type
+       || ' (' || f.cwe_id || ')', chr(10) ORDER BY f.line, f.seq) AS issues
+       FROM findings f JOIN code_files c ON c.file_path = f.file_path GROUP BY c.file_path""")
+
+ANSWERS = [
+    "```c\n  checked(b0);\n  done();\n  more();\n  x();\n```\nNote: bounded now", "  plain();\n  two();\n\n  four();\nThe fix limits it.",
+    "text\n``` \n```\nEXPLANATION: nothing", "  ", "a();\nb();\nc();\n  This fix is short", "one line only",
+    "```\nopen block\n  kept\nlast\nand one",
+]
+
+
+def _answer(key):
+    return F.get(F.array(*[F.lit(v) for v in ANSWERS]), (F.length(key) * 3 + F.col("line")) % 9)
+
+
+ANSWER_SQL = "[" + ", ".join(" || chr(10) || ".join(lit(p) for p in v.split("\n")) for v in ANSWERS) + \
+    f"][(length({ID_SQL}) * 3 + line) % 9 + 1]"
+
+
+def _sql_clean(x: str) -> str:
+    strip = lambda v: f"regexp_replace({v}, '^[{WS}]+|[{WS}]+$', '', 'g')"
+    fence = rf"(?m)^[{WS_LINE}]*```[^\n]*(?:\n|\z)"
+    t = strip(x)
+    parts = (f"list_filter(list_transform(string_split_regex({t}, {lit(fence)}), lambda p, i: CASE WHEN i % 2 = 0 AND p <> '' "
+             f"THEN CASE WHEN ends_with(p, chr(10)) THEN p ELSE p || chr(10) END END), lambda p: p IS NOT NULL)")
+    joined = f"array_to_string({parts}, '')"
+    body = f"CASE WHEN contains({t}, '```') AND {joined} <> '' THEN {joined}[:-2] ELSE {t} END"
+    cut = "(?mi)^[" + WS_LINE + "]*(?:" + "|".join(assist.CUT_MARKERS) + ")[\\s\\S]*"
+    return strip(f"regexp_replace({body}, {lit(cut)}, '')")
+
+
+add("clean_response", lambda s, d: found(s, d).select(
+        assist.finding_id().alias("finding_id"), _answer(assist.finding_id()).alias("response")).select(
+        "finding_id", assist.clean_response(F.col("response")).alias("cleaned")),
+    f"SELECT finding_id, {_sql_clean('response')} AS cleaned FROM (SELECT {ID_SQL} AS finding_id, {ANSWER_SQL} "
+    "AS response FROM findings)")
+
+
+def _with_answer(s, d, name):
+    return found(s, d).withColumn(name, _answer(assist.finding_id()))
+
+
+# splices fold over a file's lines; recursion over findings, last line first
+def _splice_sql(start: str, end: str, new: str, ok: str, value: str) -> str:
+    return f"""WITH RECURSIVE ranked AS (SELECT file_path, line, {value} AS v, row_number() OVER (PARTITION BY file_path
+        ORDER BY line DESC, {REPORT_RANK}, seq) AS n FROM findings WHERE {value} IS NOT NULL AND {value} <> ''),
+      walk AS (SELECT c.file_path, 0 AS n, string_split(c.code, chr(10)) AS ls FROM code_files c
+        WHERE c.file_path IN (SELECT file_path FROM ranked)
+        UNION ALL
+        SELECT file_path, n, CASE WHEN {ok} THEN ls[1:a] || nl || ls[greatest(a, b) + 1:] ELSE ls END FROM (
+          SELECT w.file_path, r.n, w.ls, {start} AS a, {end} AS b, {new} AS nl, r.v
+          FROM walk w JOIN ranked r ON r.file_path = w.file_path AND r.n = w.n + 1)),
+      last AS (SELECT file_path, arg_max(ls, n) AS ls FROM walk GROUP BY file_path)
+      SELECT file_path, array_to_string(ls, chr(10)) AS fixed_code FROM last"""
+
+
+def _splice_oracle(body: str) -> str:
+    """Put the shared steps in front of a recursive statement."""
+    head = q("SELECT 1 FROM findings JOIN code_files USING (file_path)")
+    return head[:head.rindex("\nSELECT 1")].replace("WITH ", "WITH RECURSIVE ", 1) + ", " + body.split(
+        "WITH RECURSIVE ", 1)[1]
+
+
+add("apply_llm_fix", lambda s, d: patch.apply_llm_fix(code(s, d), _with_answer(s, d, "llm_fix")).select(
+        "file_path", "fixed_code"))
+ORACLES["apply_llm_fix"] = _splice_oracle(_splice_sql(
+    "greatest(0, r.line - 6)", "least(len(w.ls), r.line + 5)", "string_split(r.v, chr(10))", "true", ANSWER_SQL))
+add("snippet_splice", lambda s, d: patch.snippet_splice(code(s, d), _with_answer(s, d, "response")).select(
+        "file_path", "fixed_code"))
+ORACLES["snippet_splice"] = _splice_oracle(_splice_sql(
+    "greatest(0, r.line - 6)", "least(len(w.ls), r.line + 5)", "string_split(" + _sql_clean("r.v") + ", chr(10))",
+    "nl <> [''] AND len(nl) >= (b - a) * 0.3::DOUBLE AND len(nl) <= (b - a) * 3", ANSWER_SQL))
+add("patch_one", lambda s, d: patch.patch_one(_with_answer(s, d, "llm_fix"), code(s, d)).select(
+        assist.finding_id().alias("finding_id"), "patch"),
+    f"""SELECT finding_id, CASE WHEN coalesce(v, '') = '' THEN '' ELSE '--- a/' || base || chr(10) || '+++ b/' || base
+         || chr(10) || '@@ -' || st || ',' || len(o) || ' +' || st || ',' || len(nw) || ' @@' || chr(10)
+         || array_to_string(list_transform(o, lambda x: '-' || x) || list_transform(nw, lambda x: '+' || x), chr(10))
+         END AS patch FROM (SELECT *, {BASE} AS base, greatest(1, line - 5) AS st, string_split(snippet, chr(10)) AS o,
+         string_split(v, chr(10)) AS nw FROM (SELECT *, {ANSWER_SQL} AS v FROM snipped))""", snipped=SNIPPED)
+
+
+def _answered(s, d):
+    prompts = assist.reason_prompts(found(s, d), code(s, d))
+    return assist.answer(prompts, lambda p: f"Confirmed: {'YES' if 'strcpy' in p else 'NO'}").groupBy(
+        "response", "error").agg(F.count("*").alias("n"))
+
+
+add("answer_hook", _answered)
