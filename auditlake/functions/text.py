@@ -27,7 +27,8 @@ CALL_NAME = r"(?U)\b(\w+)\s*\("
 
 MARK = "\u0001"
 # control characters the operators use as marks; input copies of them become MARK_ALIAS
-RESERVED = MARK + "\u0005\u0006\u0007"
+MARK_END = "\u0005"
+RESERVED = MARK + MARK_END + "\u0006\u0007"
 MARK_ALIAS = "\u0002"
 
 
@@ -50,8 +51,9 @@ def strip(text: Column) -> Column:
 
 def blank(text: Column) -> Column:
     """Same length, every character but a newline becomes a space."""
-    return F.array_join(
-        F.transform(lines_of(text), lambda s: F.repeat(F.lit(" "), F.length(s))), "\n")
+    spaces = lambda s: F.repeat(F.lit(" "), F.length(s))
+    return F.when(F.contains(text, F.lit("\n")), F.array_join(
+        F.transform(lines_of(text), spaces), "\n")).otherwise(spaces(text))
 
 
 def rewrite_matches(text: Column, pattern: str, fn: Callable[[Column], Column],
@@ -70,16 +72,38 @@ def rewrite_matches(text: Column, pattern: str, fn: Callable[[Column], Column],
     return let(text, go)
 
 
+def rewrite_marked(text: Column, pattern: str, fn: Callable[[Column], Column],
+                   only_if: str | None = None) -> Column:
+    """``rewrite_matches`` for text that comes from ``unmark``: each match is fenced with two
+    marks, so the regex runs once and the rest is cutting at single characters."""
+
+    def piece(p: Column, i: Column) -> Column:
+        hit = F.substring_index(p, MARK_END, 1)
+        return F.when(i == 0, p).otherwise(F.concat(fn(hit), F.substring_index(p, MARK_END, -1)))
+
+    def go(t: Column) -> Column:
+        fenced = F.regexp_replace(t, F.lit(pattern), F.lit(f"{MARK}$0{MARK_END}"))
+        out = F.array_join(F.transform(F.split(fenced, MARK, -1), piece), "")
+        return F.when(F.contains(t, F.lit(only_if)), out).otherwise(t) if only_if else out
+
+    return let(text, go)
+
+
 def strip_comments(code: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(code, LINE_COMMENT, ""), BLOCK_COMMENT, "")
 
 
-def neutralize(code: Column) -> Column:
+def neutralize(code: Column, rewrite: Callable[..., Column] = rewrite_matches) -> Column:
     """Blank block comments, line comments, strings and char literals, in this order."""
-    t = rewrite_matches(code, BLOCK_COMMENT, blank, "/*")
-    t = rewrite_matches(t, LINE_COMMENT, blank, "//")
-    t = rewrite_matches(t, STRING_LITERAL, blank, '"')
-    return rewrite_matches(t, CHAR_LITERAL, blank, "'")
+    t = rewrite(code, BLOCK_COMMENT, blank, "/*")
+    t = rewrite(t, LINE_COMMENT, blank, "//")
+    t = rewrite(t, STRING_LITERAL, blank, '"')
+    return rewrite(t, CHAR_LITERAL, blank, "'")
+
+
+def scan_text(code: Column) -> Column:
+    """The neutralized text the rules run on, free of reserved characters."""
+    return neutralize(unmark(code), rewrite_marked)
 
 
 def strip_preprocessor(code: Column) -> Column:
@@ -146,7 +170,8 @@ def code_lines(code: Column) -> Column:
 
 def unmark(text: Column) -> Column:
     """Take the reserved control characters out of the input, keeping its length."""
-    return F.translate(text, RESERVED, MARK_ALIAS * len(RESERVED))
+    return let(text, lambda t: F.when(
+        F.rlike(t, F.lit(f"[{RESERVED}]")), F.translate(t, RESERVED, MARK_ALIAS * len(RESERVED))).otherwise(t))
 
 
 def marked(text: Column, pattern: str) -> Column:
@@ -158,7 +183,8 @@ def mark_lines(marked_text: Column) -> Column:
     """Line number of each mark, in text order, in one pass over the lines."""
     return F.flatten(F.transform(
         lines_of(marked_text),
-        lambda s, i: F.array_repeat(i + 1, count_char(s, MARK))))
+        lambda s, i: F.array_repeat(i + 1, F.when(
+            F.contains(s, F.lit(MARK)), count_char(s, MARK)).otherwise(0))))
 
 
 def hit_lines(text: Column, pattern: str) -> Column:

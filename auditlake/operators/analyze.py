@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dims, scalars, text
+from ..session import sized_join
 
 SEVERITIES = ["critical", "high", "medium", "low", "info"]
 SIGNIFICANT = ["critical", "high", "medium"]
@@ -18,13 +19,14 @@ def severity_counts(findings: DataFrame) -> DataFrame:
         *[F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES])
 
 
-def summary(files: DataFrame, raw: DataFrame, findings: DataFrame, target: str,
+def summary(files: DataFrame, merged: DataFrame, findings: DataFrame, target: str,
             seconds: float = 0.0) -> DataFrame:
-    """One row; the three inputs are counted apart and met as scalar subqueries."""
+    """One row; the three inputs are counted apart and met as scalar subqueries. ``merged``
+    are the findings before the severity filter: merging keeps every file that had any."""
     return severity_counts(findings).select(
         F.lit(target).alias("target"),
         files.agg(F.count("*")).scalar().alias("files_scanned"),
-        files_with_issues(raw).scalar().alias("files_with_issues"),
+        files_with_issues(merged).scalar().alias("files_with_issues"),
         "total_findings", *SEVERITIES, F.bround(F.lit(float(seconds)), 2).alias("duration_seconds"))
 
 
@@ -87,7 +89,7 @@ def bench_file(files: DataFrame, findings: DataFrame) -> DataFrame:
     for mark in SAFE_MARKS:
         safe = safe | F.contains(F.lower(name), F.lit(mark))
     hit = F.coalesce("hits", F.lit(0)) > 0
-    return files.select("file_path").join(counts, "file_path", "left").select(
+    return sized_join(files.select("file_path"), counts, "file_path", "left").select(
         "file_path", name.alias("file_name"), F.coalesce("n", F.lit(0)).alias("findings"),
         F.when(safe, "safe").otherwise("vuln").alias("expected"),
         F.when(safe & ~hit, "TN").when(safe, "FP").when(hit, "TP").otherwise("FN").alias("result"))
@@ -157,7 +159,7 @@ def search_rules(rules: DataFrame, query: str = "") -> DataFrame:
 def with_snippet(findings: DataFrame, files: DataFrame, window: int = 5) -> DataFrame:
     """Finding and the text around it; an unknown file has an empty text."""
     code = files.select("file_path", F.col("code").alias("_code"))
-    joined = findings.join(code, "file_path", "left")
+    joined = sized_join(findings, code, "file_path", "left")
     return joined.withColumn("snippet", text.raw_snippet(
         F.coalesce("_code", F.lit("")), F.col("line"), window)).drop("_code")
 
@@ -167,7 +169,7 @@ def fix_state(findings: DataFrame, fixed: DataFrame) -> DataFrame:
     names = fixed.select(text.basename(F.col("file_path")).alias("_name")).distinct().withColumn(
         "_has_fix", F.lit(True))
     keyed = findings.withColumn("_name", text.basename(F.col("file_path")))
-    return keyed.join(names, "_name", "left").withColumn(
+    return sized_join(keyed, names, "_name", "left").withColumn(
         "fix_state", F.when(F.col("_has_fix"), "Fixed")
         .when(F.coalesce("recommendation", F.lit("")) != "", "Rec.").otherwise("—")).drop("_name", "_has_fix")
 
@@ -182,7 +184,8 @@ def fix_original(fixed: DataFrame, findings: DataFrame, files: DataFrame) -> Dat
     from_files = files.groupBy(text.basename(F.col("file_path")).alias("filename")).agg(
         F.min("file_path").alias("_file_path"))
     names = fixed.select(text.basename(F.col("file_path")).alias("filename")).distinct()
-    return (names.join(from_findings, "filename", "left").join(from_files, "filename", "left")
+    with_finding = sized_join(names, from_findings, "filename", "left")
+    return (sized_join(with_finding, from_files, "filename", "left")
             .select("filename", F.coalesce("_finding_path", "_file_path").alias("original_path")))
 
 
@@ -190,34 +193,33 @@ def seq_pairs(files: DataFrame, first: str, second: str, max_gap: int, same_argu
     """For each match of ``first``, the nearest match of ``second`` that starts at most
     ``max_gap`` characters after its end (with ``same_argument``, of equal group 1).
 
-    Offsets are running sums over match lengths and the partner is a running "last seen"
-    in descending position order, so no pair beyond the nearest is ever built."""
+    Each text is cut once. Offsets are running sums over match lengths and the partner is a
+    running "last seen" in descending position order, so no pair beyond the nearest is ever
+    built. Windows are keyed by text, so copies of a path do not mix."""
     code = F.col("_code")
 
-    def located(pattern: str, kind: int) -> DataFrame:
+    def located(pattern: str, kind: int) -> Column:
         p = "(?dU)" + pattern
-        group = 1 if same_argument else 0
-        arg = F.regexp_extract_all(code, F.lit(p), F.lit(1)) if same_argument else F.transform(
-            F.regexp_extract_all(code, F.lit(p), F.lit(0)), lambda m: F.lit(""))
         hits = F.regexp_extract_all(code, F.lit(p), F.lit(0))
-        gaps = F.split(code, p, -1)
-        rows = F.zip_with(F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(
-            F.length(g).alias("gap"), F.length(h).alias("len"))), arg, lambda x, a: F.struct(
-                x["gap"].alias("gap"), x["len"].alias("len"), a.alias("arg")))
-        exploded = prepared.select("file_path", F.posexplode(rows).alias("k", "m")).select(
-            "file_path", "k", "m.*")
-        w = Window.partitionBy("file_path").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-        end = F.sum((F.col("gap") + F.col("len")).cast("bigint")).over(w)
-        return exploded.select("file_path", "arg", F.lit(kind).alias("kind"),
-                               (end - F.col("len")).alias("start"), end.alias("end"))
-
-    prepared = files.select("file_path", text.neutralize(F.col("code")).alias("_code"))
-    both = located(first, 0).unionByName(located(second, 1))
+        args = F.regexp_extract_all(code, F.lit(p), F.lit(1)) if same_argument else F.transform(
+            hits, lambda m: F.lit(""))
+        ends = F.zip_with(F.slice(F.split(code, p, -1), 1, F.size(hits)), hits, lambda g, h: F.struct(
+            F.length(g).alias("gap"), F.length(h).alias("len")))
+        numbered = F.transform(ends, lambda x, i: F.struct(x["gap"].alias("gap"), x["len"].alias("len"), i.alias("k")))
+        return F.zip_with(numbered, args, lambda x, a: F.struct(
+            F.lit(kind).alias("kind"), x["k"].alias("k"), x["gap"].alias("gap"), x["len"].alias("len"), a.alias("arg")))
+
+    prepared = files.select("file_path", text.neutralize(F.col("code")).alias("_code"),
+                            F.monotonically_increasing_id().alias("_text"))
+    hits = prepared.select("file_path", "_text", F.inline(F.concat(located(first, 0), located(second, 1))))
+    along = Window.partitionBy("_text", "kind").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum((F.col("gap") + F.col("len")).cast("bigint")).over(along)
+    both = hits.withColumn("end", end).withColumn("start", F.col("end") - F.col("len"))
     # position of a first match is its end; at one position seconds come before firsts
     spot = both.withColumn("pos", F.when(F.col("kind") == 0, F.col("end")).otherwise(F.col("start")))
-    w = Window.partitionBy("file_path", "arg").orderBy(F.desc("pos"), F.desc("kind")).rowsBetween(
+    back = Window.partitionBy("_text", "arg").orderBy(F.desc("pos"), F.desc("kind")).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    partner = F.last(F.when(F.col("kind") == 1, F.col("start")), ignorenulls=True).over(w)
+    partner = F.last(F.when(F.col("kind") == 1, F.col("start")), ignorenulls=True).over(back)
     return (spot.withColumn("second_start", partner)
             .where((F.col("kind") == 0) & (F.col("second_start") - F.col("end") <= max_gap))
             .select("file_path", "arg", F.col("start").alias("first_start"),

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..session import sized_join
 from .analyze import with_snippet
 
 # ---------------------------------------------------------------------------
@@ -119,7 +120,7 @@ def batch_prompts(findings: DataFrame, files: DataFrame) -> DataFrame:
         F.lit(" ("), F.col("cwe_id"), F.lit(")")).alias("text"))
     issues = findings.groupBy("file_path").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(issue)), lambda i: i["text"]), "\n").alias("issues"))
-    return files.select("file_path", F.col("code").alias("snippet")).join(issues, "file_path").select(
+    return sized_join(files.select("file_path", F.col("code").alias("snippet")), issues, "file_path").select(
         "file_path", fill(BATCH_PROMPT).alias("prompt"))
 
 
@@ -161,7 +162,7 @@ def clean_response(response: Column) -> Column:
 def apply_verdicts(findings: DataFrame, responses: DataFrame) -> DataFrame:
     """Set verdict and confidence from the answers; no finding is dropped."""
     r = responses.select("finding_id", "response")
-    joined = findings.withColumn("finding_id", finding_id()).join(r, "finding_id", "left")
+    joined = sized_join(findings.withColumn("finding_id", finding_id()), r, "finding_id", "left")
     upper = F.upper("response")
     yes = F.contains(upper, F.lit("CONFIRMED: YES"))
     no = F.contains(upper, F.lit("CONFIRMED: NO")) | F.contains(upper, F.lit("REJECTED"))

@@ -35,7 +35,8 @@ CPP_STRING = r"^(?:u8|[LuU])?R?\"[^\"]*+\"$"
 
 
 def lex(code: Column) -> Column:
-    """Blank comments and the inside of literals; keep quotes, lines and length."""
+    """Blank comments and the inside of literals; keep quotes, lines and length. Reserved
+    characters of the input are replaced first (``text.unmark``)."""
 
     def token(m: Column) -> Column:
         inner = lambda start, cut: text.blank(F.substring(m, start, F.length(m) - cut))
@@ -43,8 +44,8 @@ def lex(code: Column) -> Column:
                 .when(F.startswith(m, F.lit("R")), F.concat(F.lit('R"'), inner(3, 3), F.lit('"')))
                 .otherwise(F.concat(F.substring(m, 1, 1), inner(2, 2), F.substring(m, 1, 1))))
 
-    t = text.rewrite_matches(code, TOKENS, token)
-    return text.rewrite_matches(t, DIRECTIVE, text.blank, "#")
+    t = text.rewrite_marked(text.unmark(code), TOKENS, token)
+    return text.rewrite_marked(t, DIRECTIVE, text.blank, "#")
 
 
 def head_pattern(names: Sequence[str] | None) -> str:
@@ -73,31 +74,36 @@ def split_args(after: Column) -> Column:
     return let(after, go)
 
 
-def _statement_calls(statement: Column, head: str, args_of: Sequence[str] | None) -> Column:
-    anchored = rf"^(?:{head})"
+def _statement_calls(statement: Column, head: str, needed: Sequence[str] | None) -> Column:
+    """Calls of one marked statement. ``needed`` names the functions whose arguments and
+    guards are wanted (default all)."""
 
     def one(pieces: Column, piece: Column, i: Column) -> Column:
-        before = F.slice(pieces, 1, i + 1)  # the statement up to this call
         prefix = pieces[0]
-        named = F.regexp_extract(piece, anchored, 2)
-        name = F.when(named != "", named).otherwise(F.regexp_extract(piece, r"^(new|delete)\b", 1))
+        just_before = F.element_at(pieces, i + 1)
+        keyword = F.regexp_extract(piece, r"^(new|delete)\b", 1)
+        head_text = F.substring_index(piece, "(", 1)
+        name = F.when(keyword != "", keyword).otherwise(F.regexp_extract(head_text, r"(\w+)\s*$", 1))
+        chain = F.when((keyword == "") & F.rlike(head_text, F.lit("[.>:]")), F.regexp_replace(
+            F.regexp_extract(head_text, r"(?s)^(.*\W)\w+\s*$", 1), r"\s+", "")).otherwise("")
         closed = text.count_char(piece, ")") >= text.count_char(piece, "(")
         tail = F.when(closed, piece).otherwise(
             F.array_join(F.slice(pieces, i + 2, F.size(pieces)), ""))
-        args = split_args(F.regexp_replace(tail, anchored, ""))
-        no_args = F.array().cast("array<string>")
-        wanted = (named != "") if args_of is None else named.isin(list(args_of))
-        declared = ((named != "") & (i == 0) & F.rlike(prefix, F.lit(DECLARATION_PREFIX))
-                    & ~F.rlike(prefix, F.lit(LEADS_EXPRESSION)))
-        operator = ((named == "") & F.rlike(F.element_at(before, -1), F.lit(r"\boperator\s*$"))
-                    ) | ((name == "delete") & F.rlike(F.element_at(before, -1), F.lit(r"=\s*$")))
+        args = split_args(F.regexp_replace(tail, rf"^(?:{head})", ""))
+        wanted = (keyword == "") if needed is None else name.isin(
+            [n for n in needed if n in dims.FORMAT_FUNCTIONS])
+        guarded = F.exists(F.slice(pieces, 1, i + 1), lambda p: F.rlike(p, F.lit(r"\b(?:if|else)\b")))
+        ask_guard = F.lit(True) if needed is None else name.isin(
+            [n for n in needed if n in dims.ALLOC_FUNCTIONS])
+        declared = (F.when(keyword == "", (i == 0) & F.rlike(prefix, F.lit(DECLARATION_PREFIX))
+                           & ~F.rlike(prefix, F.lit(LEADS_EXPRESSION)))
+                    .when(keyword == "delete", F.rlike(just_before, F.lit(r"(?:=|\boperator)\s*$")))
+                    .otherwise(F.rlike(just_before, F.lit(r"\boperator\s*$"))))
         return F.struct(
-            name.alias("function_name"),
-            F.regexp_replace(F.regexp_extract(piece, anchored, 1), r"\s+", "").alias("receiver"),
-            F.exists(before, lambda p: F.rlike(p, F.lit(r"\b(?:if|else)\b"))).alias("guarded"),
-            F.contains(piece, F.lit("nothrow")).alias("nothrow"),
-            (declared | operator).alias("declared"),
-            F.when(wanted, args).otherwise(no_args).alias("args"),
+            name.alias("function_name"), chain.alias("receiver"),
+            F.when(ask_guard, guarded).otherwise(False).alias("guarded"),
+            F.contains(piece, F.lit("nothrow")).alias("nothrow"), declared.alias("declared"),
+            F.when(wanted, args).otherwise(F.array().cast("array<string>")).alias("args"),
             F.when(i == 0, prefix).otherwise(F.lit("")).alias("stmt_prefix"))
 
     return let(F.split(statement, MARK, -1), lambda pieces: F.transform(
@@ -105,65 +111,103 @@ def _statement_calls(statement: Column, head: str, args_of: Sequence[str] | None
         lambda piece, i: one(pieces, piece, i)))
 
 
-def _calls(files: DataFrame, names: Sequence[str] | None, args_of: Sequence[str] | None) -> DataFrame:
+FLAGGED_NAMES = sorted({s.function_name for s in dims.SIGNATURES} - {"new", "delete"})
+
+
+def marked_calls(names: Sequence[str] | None = tuple(FLAGGED_NAMES)) -> Column:
+    """The lexed ``code`` with a mark before each call head."""
+    return text.marked(lex(F.col("code")), head_pattern(names))
+
+
+def _call_array(marked: Column, names: Sequence[str] | None) -> Column:
+    """Array of struct(line, c) of all calls in the marked text, in text order."""
     head = head_pattern(names)
-    marked = files.select("file_path", "language", text.marked(
-        text.unmark(lex(F.col("code"))), head).alias("_m"))
-    statements = F.split(F.col("_m"), r"[;{}]", -1)
     calls = F.flatten(F.transform(
-        F.filter(statements, lambda s: F.contains(s, F.lit(MARK))),
-        lambda s: _statement_calls(s, head, args_of)))
-    rows = F.zip_with(text.mark_lines(F.col("_m")), calls,
-                      lambda line, c: F.struct(line.alias("line"), c.alias("c")))
-    return (marked
-            .select("file_path", "language", F.posexplode(rows).alias("seq", "r"))
+        F.filter(F.split(marked, r"[;{}]", -1), lambda s: F.contains(s, F.lit(MARK))),
+        lambda s: _statement_calls(s, head, names)))
+    return F.zip_with(text.mark_lines(marked), calls, lambda line, c: F.struct(line.alias("line"), c.alias("c")))
+
+
+def _calls(files: DataFrame, names: Sequence[str] | None) -> DataFrame:
+    marked = files.select("file_path", "language", marked_calls(names).alias("_m"))
+    return (marked.select("file_path", "language", F.posexplode(_call_array(F.col("_m"), names)).alias("seq", "r"))
             .select("file_path", "language", F.col("seq").cast("bigint"), "r.line", "r.c.*"))
 
 
-def is_member_call() -> Column:
+def is_member_call(language: Column, receiver: Column) -> Column:
     """Calls a signature does not apply to because the receiver is taken as the name.
 
     C: any member access. C++: exactly one plain identifier before ``.`` or ``->``."""
-    receiver = F.col("receiver")
     any_member = F.rlike(receiver, F.lit(r"(?:\.|->)$"))
     plain = F.rlike(receiver, F.lit(r"^(?!this\b)\w+(?:\.|->)$"))
-    return F.when(F.col("language") == "c", any_member).otherwise(plain)
+    return F.when(receiver == "", False).when(language == "c", any_member).otherwise(plain)
 
 
 def call_sites(files: DataFrame) -> DataFrame:
     """Every call: file_path, language, seq, line, function_name, receiver, args, ..."""
-    return _calls(files, None, None).where("NOT declared AND function_name NOT IN ('new','delete')")
+    return _calls(files, None).where("NOT declared AND function_name NOT IN ('new','delete')")
 
 
-def _constant_format() -> Column:
-    arg = F.element_at("args", F.col("fmt_arg") + 1)
-    return F.when(F.col("language") == "c", F.rlike(arg, F.lit(C_CONSTANT))).otherwise(
+def _constant_format(language: Column, arg: Column) -> Column:
+    return F.when(language == "c", F.rlike(arg, F.lit(C_CONSTANT))).otherwise(
         F.rlike(arg, F.lit(CPP_STRING)))
 
 
+def _is_risky(language: Column, family: Column, fmt_arg: Column, args: Column, guarded: Column,
+              nothrow: Column) -> Column:
+    """What a signature's family asks of a call beyond its name."""
+    variable = (F.size(args) > fmt_arg) & ~_constant_format(language, F.get(args, fmt_arg))
+    return (F.when(family == "format", variable)
+            .when((family == "alloc") & (language == "cpp"), ~guarded)
+            .when(family == "new", ~nothrow)
+            .otherwise(F.lit(True)))
+
+
 def matched_calls(files: DataFrame, families: Sequence[str] | None = None) -> DataFrame:
     """Call sites joined to the signatures that flag them, with the signature columns."""
-    spark = files.sparkSession
-    names = sorted({s.function_name for s in dims.SIGNATURES} - {"new", "delete"})
-    calls = _calls(files, names, dims.FORMAT_FUNCTIONS).where(~F.col("declared") & ~is_member_call())
-    sig = dims.signature_dim(spark)
+    calls = _calls(files, FLAGGED_NAMES).where(
+        ~F.col("declared") & ~is_member_call(F.col("language"), F.col("receiver")))
+    sig = dims.signature_dim(files.sparkSession)
     if families:
         sig = sig.where(F.col("family").isin(list(families)))
     joined = calls.join(F.broadcast(sig), ["language", "function_name"])
-    family = F.col("family")
-    variable = (F.size("args") > F.col("fmt_arg")) & ~_constant_format()
-    keep = (F.when(family == "format", variable)
-            .when((family == "alloc") & (F.col("language") == "cpp"), ~F.col("guarded"))
-            .when(family == "new", ~F.col("nothrow"))
-            .otherwise(F.lit(True)))
-    return joined.where(keep)
+    return joined.where(_is_risky(*[F.col(c) for c in (
+        "language", "family", "fmt_arg", "args", "guarded", "nothrow")]))
+
+
+def flagged_calls(marked: Column, language: Column, dim_base: int) -> Column:
+    """``matched_calls`` inside a row, as an array in the shape of the rule hits: the signature
+    table is so small that its key lookup is a literal map. ``marked`` is ``marked_calls`` text."""
+    index = F.create_map(*[x for j, s in enumerate(dims.SIGNATURES) for x in (
+        F.lit(f"{s.language}:{s.function_name}"), F.lit(dim_base + j).cast("bigint"))])
+    family_of: dict[str, str] = {s.function_name: s.family for s in dims.SIGNATURES}
+    fmt_of = {s.function_name: s.fmt_arg for s in dims.SIGNATURES if s.fmt_arg >= 0}
+
+    def by_name(name: Column, table: dict, default) -> Column:
+        out = F.lit(default)
+        for value in sorted(set(table.values())):
+            out = F.when(name.isin([k for k, v in table.items() if v == value]), value).otherwise(out)
+        return out
+
+    wanted = {k: v for k, v in family_of.items() if v in ("format", "alloc", "new")}
+
+    def numbered(r: Column, i: Column) -> Column:
+        c = r["c"]
+        name = c["function_name"]
+        risky = _is_risky(language, by_name(name, wanted, "other"), by_name(name, fmt_of, 0),
+                          c["args"], c["guarded"], c["nothrow"])
+        keep = ~c["declared"] & ~is_member_call(language, c["receiver"]) & risky
+        shown = F.when(name.isin("new", "delete"), "").otherwise(name)
+        key = F.when(keep, F.element_at(index, F.concat(language, F.lit(":"), name)))
+        return F.struct(r["line"].alias("line"),
+                        order_key(i, shown, key + F.lit(CALL_BAND).cast("bigint")).alias("seq"),
+                        shown.alias("function_name"))
+
+    return F.filter(F.transform(_call_array(marked, FLAGGED_NAMES), numbered), lambda h: h["seq"].isNotNull())
 
 
 def call_findings(files: DataFrame, dim_base: int = len(dims.RULES)) -> DataFrame:
     """Slim findings in the shape of ``detect.rule_findings``."""
-    shift = dim_base - len(dims.RULES)
-    name = F.when(F.col("family").isin("new", "delete"), "").otherwise(F.col("function_name"))
-    rest = F.col("dim_idx") + F.lit(CALL_BAND + shift).cast("bigint")
-    return matched_calls(files).select(
-        "file_path", "language", "line", order_key(F.col("seq"), name, rest).alias("seq"),
-        name.alias("function_name"))
+    marked = files.select("file_path", "language", marked_calls().alias("_m"))
+    return marked.select("file_path", "language", F.inline(
+        flagged_calls(F.col("_m"), F.col("language"), dim_base)))

@@ -66,7 +66,8 @@ def rule_hits(rule: Rule, ordinal: int) -> str:
         zip_with(
           flatten(transform(
             split(regexp_replace(_code, {pattern}, concat({mark}, '$0')), '\\n', -1),
-            (s, i) -> array_repeat(i + 1, length(s) - length(replace(s, {mark}, ''))))),
+            (s, i) -> array_repeat(i + 1, IF(contains(s, {mark}),
+              length(s) - length(replace(s, {mark}, '')), 0)))),
           regexp_extract_all(_code, {pattern}, 0),
           (line, m) -> struct(line, regexp_extract(m, {sql_text(text.CALL_NAME)}, 1) AS fn)),
         (h, i) -> struct(
@@ -77,13 +78,17 @@ def rule_hits(rule: Rule, ordinal: int) -> str:
       ELSE CAST(array() AS {HIT}) END"""
 
 
+def all_rule_hits(rules: Sequence[Rule]) -> Column:
+    """Hits of all rules in ``_code``, rule after rule, as one array."""
+    arrays = ", ".join(rule_hits(r, i) for i, r in enumerate(rules)) or f"CAST(array() AS {HIT})"
+    return F.expr(f"concat({arrays})")
+
+
 def rule_findings(files: DataFrame, rules: Sequence[Rule] = tuple(RULES)) -> DataFrame:
     """files(file_path, language, code) -> file_path, language, line, seq, function_name."""
     rules = dims.usable_rules(rules)
-    prepared = files.select("file_path", "language",
-                            text.unmark(text.neutralize(F.col("code"))).alias("_code"))
-    arrays = ", ".join(rule_hits(r, i) for i, r in enumerate(rules))
-    return prepared.select("file_path", "language", F.expr(f"inline(concat({arrays}))"))
+    prepared = files.select("file_path", "language", text.scan_text(F.col("code")).alias("_code"))
+    return prepared.select("file_path", "language", F.inline(all_rule_hits(rules)))
 
 
 def describe(findings: DataFrame, dim: DataFrame) -> DataFrame:

@@ -13,10 +13,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import dims, scalars
+from ..functions import dims, scalars, text
 from ..functions.dims import REPEAT_BOOST, RULES, SAME_SPOT_BOOST, Rule
-from .calls import call_findings
-from .detect import CALL_BAND, describe, dim_index, is_named, rule_findings
+from .calls import flagged_calls, marked_calls
+from .detect import CALL_BAND, all_rule_hits, describe, dim_index, is_named
 
 SPOT_KEYS = ["file_path", "language", "canon_cwe", "fn_key", "line"]
 FILE_KEYS = ["file_path", "language", "canon_cwe", "fn_key"]
@@ -25,9 +25,13 @@ SATURATED = 7
 
 
 def raw_findings(files: DataFrame, rules: Sequence[Rule] = tuple(RULES)) -> DataFrame:
-    """Both detectors, slim: file_path, language, line, seq, function_name."""
+    """Both detectors in one pass over the texts: file_path, language, line, seq,
+    function_name."""
     rules = dims.usable_rules(rules)
-    return rule_findings(files, rules).unionByName(call_findings(files, len(rules)))
+    prepared = files.select("file_path", "language", text.scan_text(F.col("code")).alias("_code"),
+                            marked_calls().alias("_m"))
+    hits = F.concat(all_rule_hits(rules), flagged_calls(F.col("_m"), F.col("language"), len(rules)))
+    return prepared.select("file_path", "language", F.inline(hits))
 
 
 def detect_all(files: DataFrame, rules: Sequence[Rule] = tuple(RULES)) -> DataFrame:
@@ -98,11 +102,13 @@ def per_file(spots: DataFrame) -> DataFrame:
     folded = F.aggregate(
         F.slice("g", 2, F.greatest(F.size("g") - 1, F.lit(0))),
         state(first["win_seq"], first["line"], first["confidence"], first["mask"]), step)
-    out = grouped.select(*FILE_KEYS, F.col("g")[0]["seq"].alias("first_seq"),
-                         F.col("g")[0]["n_call"].alias("n_call"),
-                         F.array_sort(F.transform("g", lambda x: x["line"])).alias("lines"),
-                         folded.alias("s"))
-    return out.select(*FILE_KEYS, "first_seq", "n_call", "lines", "s.*")
+    whole = F.transform(F.array(folded), lambda s: F.struct(
+        first["seq"].alias("first_seq"), first["n_call"].alias("n_call"),
+        F.array_sort(F.transform("g", lambda x: x["line"])).alias("lines"),
+        *[s[c].alias(c) for c in ("win_seq", "line", "confidence", "mask")]))
+    # through a generator: conditions of later joins would otherwise be pushed below and
+    # run the fold again
+    return grouped.select(*FILE_KEYS, F.inline(whole))
 
 
 def detector_name(mask: Column, spots: Column, n_call: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars, text
 from ..functions.dims import TEMPLATE_FUNCTIONS
 from ..functions.text import let
+from ..session import sized_join
 from .assist import clean_response
 from .merge import detect_all
 
@@ -113,7 +114,7 @@ def apply_templates(files: DataFrame, findings: DataFrame) -> DataFrame:
         here = F.filter("_edits", lambda e: e["line"] == i + 1)
         return F.aggregate(here, start, step)
 
-    joined = files.select("file_path", "language", "code").join(edits, "file_path")
+    joined = sized_join(files.select("file_path", "language", "code"), edits, "file_path")
     done = joined.withColumn("_b", F.transform(text.lines_of(F.col("code")), block))
     return done.select("file_path", "language", "code",
                        F.transform("_b", lambda b: b["text"]).alias("blocks"),
@@ -132,7 +133,7 @@ def fix_files(files: DataFrame, findings: DataFrame) -> DataFrame:
 def remaining_findings(findings: DataFrame, patched: DataFrame) -> DataFrame:
     """Findings no template took care of: what a reviewer or a model has to look at."""
     applied = patched.select("file_path", F.explode("applied").alias("seq"))
-    return findings.join(applied, ["file_path", "seq"], "left_anti")
+    return sized_join(findings, applied, ["file_path", "seq"], "left_anti")
 
 
 def _changes(patched: DataFrame) -> DataFrame:
@@ -151,7 +152,7 @@ def line_shift(findings: DataFrame, patched: DataFrame) -> DataFrame:
                                       text.count_char(c["new"], "\n").alias("delta"))).alias("_grown"))
     shift = F.aggregate(F.filter(F.col("_grown"), lambda g: g["line"] < F.col("line")), F.lit(0),
                         lambda a, g: a + g["delta"])
-    return findings.join(grown, "file_path", "left").withColumn(
+    return sized_join(findings, grown, "file_path", "left").withColumn(
         "fixed_line", F.col("line") + F.coalesce(shift, F.lit(0))).drop("_grown")
 
 
@@ -229,7 +230,7 @@ def _per_file(files: DataFrame, findings: DataFrame, *fields: str) -> DataFrame:
     key = F.struct((-F.col("line")).alias("down"), scalars.report_rank(F.col("severity")).alias("rank"),
                    "seq", "line", *fields)
     grouped = findings.groupBy("file_path").agg(F.array_sort(F.collect_list(key)).alias("_f"))
-    return files.select("file_path", "language", "code").join(grouped, "file_path")
+    return sized_join(files.select("file_path", "language", "code"), grouped, "file_path")
 
 
 def _splice(lines: Column, start: Column, end: Column, new: Column) -> Column:
@@ -276,7 +277,7 @@ def snippet_splice(files: DataFrame, findings: DataFrame, window: int = 5) -> Da
 def patch_one(findings: DataFrame, files: DataFrame) -> DataFrame:
     """``patch`` of each finding: its window removed line by line, ``llm_fix`` added."""
     code = files.select("file_path", F.col("code").alias("_code"))
-    joined = findings.join(code, "file_path", "left")
+    joined = sized_join(findings, code, "file_path", "left")
     old = text.lines_of(text.raw_snippet(F.coalesce("_code", F.lit("")), F.col("line"), 5))
     new = text.lines_of(F.col("llm_fix"))
     name = text.basename(F.col("file_path"))

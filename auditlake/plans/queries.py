@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dims, scalars, text
 from ..operators import analyze, assist, calls, detect, merge, patch, report
-from ..session import numbered
+from ..session import materialized
 from ..sources import files as src
 from ..sources import sinks
 from . import corpus
@@ -38,6 +38,11 @@ def found(s: SparkSession, d: str, minimum: str = "low") -> DataFrame:
     return merge.scan(code(s, d), minimum)
 
 
+def kept(s: SparkSession, d: str, minimum: str = "low") -> DataFrame:
+    """Findings written once, for queries that read them more than once."""
+    return materialized(found(s, d, minimum))
+
+
 def big(*names: str):
     return [F.col(n).cast("bigint").alias(n) for n in names]
 
@@ -297,7 +302,7 @@ for _key, _lang, _fam in [
         ("cpp_new", "cpp", "new"), ("cpp_delete", "cpp", "delete")]:
     add(_key, _family(_lang, _fam), CALL_SQL + f" WHERE m.language = '{_lang}' AND m.family = '{_fam}'")
 add("call_receiver", lambda s, d: calls.call_sites(code(s, d)).where("receiver <> ''").select(
-        "file_path", *big("line"), "function_name", "receiver", calls.is_member_call().alias("is_member")),
+        "file_path", *big("line"), "function_name", "receiver", calls.is_member_call(F.col("language"), F.col("receiver")).alias("is_member")),
     f"""SELECT file_path, line::BIGINT AS line, name AS function_name, receiver,
          CASE WHEN language = 'c' THEN regexp_matches(receiver, '(?:\\.|->)$')
               ELSE regexp_matches(receiver, '^\\w+(?:\\.|->)$') AND NOT regexp_matches(receiver, '^this\\b') END AS is_member
@@ -349,7 +354,12 @@ add("significant", lambda s, d: shown(analyze.significant(found(s, d))),
 COUNTS = ", ".join(f"count(*) FILTER (severity = '{x}') AS {x}" for x in analyze.SEVERITIES)
 add("severity_counts", lambda s, d: analyze.severity_counts(found(s, d)),
     f"SELECT count(*) AS total_findings, {COUNTS} FROM findings")
-add("scan_summary", lambda s, d: analyze.summary(code(s, d), raw(s, d), found(s, d), "orders", 1.005),
+def _summary(s, d):
+    merged = materialized(merge.enrich(merge.merge_findings(raw(s, d), _dim(s))))
+    return analyze.summary(code(s, d), merged, merge.min_severity(merged), "orders", 1.005)
+
+
+add("scan_summary", _summary,
     f"""SELECT 'orders' AS target, (SELECT count(*) FROM code_files) AS files_scanned,
          (SELECT count(DISTINCT file_path) FROM raw_findings) AS files_with_issues,
          count(*) AS total_findings, {COUNTS}, 1.0::DOUBLE AS duration_seconds FROM findings""")
@@ -554,7 +564,7 @@ add("fix_file", lambda s, d: fixed(s, d).select("file_path", "fixed_code"),
 
 
 def _remaining(s, d):
-    f = found(s, d)
+    f = kept(s, d)
     return patch.remaining_findings(f, patch.apply_templates(code(s, d), f)).select(
         "file_path", *big("line"), "rule_id", "function_name")
 
@@ -566,7 +576,7 @@ add("fix_remaining", _remaining,
 
 
 def _shifted(s, d):
-    f = found(s, d)
+    f = kept(s, d)
     return patch.line_shift(f, patch.fix_files(code(s, d), f)).select(
         "file_path", "rule_id", "function_name", *big("line", "fixed_line"))
 
@@ -605,11 +615,20 @@ add("fix_publish", lambda s, d: sinks.publish(fixed(s, d), code(s, d).where(~F.c
          CASE WHEN ok THEN 'applied' ELSE 'error' END AS status,
          CASE WHEN NOT ok THEN 'Original file not found' END AS error
        FROM (SELECT *, NOT contains(file_path, 'safe_') AS ok FROM fixed)""", **PATCH_CTES)
-add("join_fix_original", lambda s, d: analyze.fix_original(
-        fixed(s, d), found(s, d, "critical"), code(s, d)),
+def _originals(s, d):
+    f = kept(s, d)
+    return analyze.fix_original(patch.fix_files(code(s, d), f), merge.min_severity(f, "critical"), code(s, d))
+
+
+add("join_fix_original", _originals,
     f"""SELECT DISTINCT {BASE} AS filename, file_path AS original_path FROM fixed""", **PATCH_CTES)
-add("has_fix", lambda s, d: analyze.fix_state(found(s, d), fixed(s, d)).select(
-        "file_path", *big("line"), "rule_id", "function_name", "fix_state"),
+def _fix_states(s, d):
+    f = kept(s, d)
+    return analyze.fix_state(f, patch.fix_files(code(s, d), f)).select(
+        "file_path", *big("line"), "rule_id", "function_name", "fix_state")
+
+
+add("has_fix", _fix_states,
     """SELECT f.file_path, f.line::BIGINT AS line, rule_id, function_name, CASE WHEN x.file_path IS NOT NULL THEN 'Fixed'
          WHEN recommendation <> '' THEN 'Rec.' ELSE '—' END AS fix_state
        FROM findings f LEFT JOIN fixed x ON x.file_path = f.file_path""", **PATCH_CTES)
@@ -648,7 +667,7 @@ VERDICTS_SQL = (f"SELECT * FROM (SELECT {ID_SQL} AS finding_id, [" + ", ".join(
 
 
 def _judged(s, d):
-    f = found(s, d)
+    f = kept(s, d)
     return assist.apply_verdicts(f, _verdicts(f)).select(
         "finding_id", "confidence", "llm_confirmed", "llm_confidence", "llm_explanation")
 

@@ -1,4 +1,4 @@
-"""Session helpers: a checkpoint folder and global numbering of a sorted table."""
+"""Session helpers: checkpoints, joins of growing tables, numbering of a sorted table."""
 
 from __future__ import annotations
 
@@ -21,6 +21,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(folder)
 
 
+def materialized(df: DataFrame) -> DataFrame:
+    """Write a result once that several later steps read, so the texts are scanned once.
+    The copy lies in the shared checkpoint folder and survives lost executors."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def sized_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """Join two sides that both grow with the data. A size estimate does not see how far a
+    scan multiplies its rows, so neither side may be broadcast on one; sort-merge spills and
+    lets adaptive execution split a skewed key."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def numbered(df: DataFrame, keys: list[Column], name: str) -> DataFrame:
     """1-based position of each row in the total order ``keys``, without sorting on one task.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..session import sized_join
 
 FINDING_FIELDS = [
     "file_path", "line", "column", "vuln_type", "rule_id", "cwe_id", "severity", "confidence",
@@ -59,7 +60,7 @@ def write_fixed(fixed: DataFrame, output_dir: str) -> None:
 def publish(fixed: DataFrame, files: DataFrame) -> DataFrame:
     """Replacement set: original path, backup path and new text, or an error row."""
     originals = files.select("file_path", F.lit(True).alias("_found"))
-    joined = fixed.select("file_path", "fixed_code").join(originals, "file_path", "left")
+    joined = sized_join(fixed.select("file_path", "fixed_code"), originals, "file_path", "left")
     found: Column = F.coalesce("_found", F.lit(False))
     return joined.select(
         text.basename(F.col("file_path")).alias("filename"),
