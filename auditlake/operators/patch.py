@@ -209,7 +209,9 @@ def unified_diff(patched: DataFrame) -> DataFrame:
             .otherwise(F.array(F.concat(F.lit(" "), F.col("lines")[n - 1]))),
             F.flatten(F.transform(F.filter(inside, lambda c: c["line"] == n), lambda c: plus(c["new"]))))))
         size = end - start + 1
-        header = F.format_string("@@ -%d,%d +%d,%d @@", start, size, start + before, size + growth)
+        span = lambda at, n: F.concat(at.cast("string"), F.when(n != 1, F.concat(
+            F.lit(","), n.cast("string"))).otherwise(""))
+        header = F.concat(F.lit("@@ -"), span(start, size), F.lit(" +"), span(start + before, size + growth), F.lit(" @@"))
         return F.concat(header, F.lit("\n"), F.array_join(body, "\n"))
 
     name = text.basename(F.col("file_path"))

@@ -56,7 +56,8 @@ def _glob(extensions: Sequence[str]) -> str:
 
 def load_files(spark: SparkSession, path: str, extensions: Sequence[str] = ALL_EXTENSIONS,
                skip_dirs: Sequence[str] = SKIP_DIRS) -> DataFrame:
-    """file_path, language, code of every source file below ``path`` (or of one file).
+    """file_path, language, code of every source file below ``path`` (or of one file). Files
+    without a single byte are left out, as by all of Spark's file sources.
 
     The name pattern prunes the listing and the conditions on ``_metadata`` prune files
     before their bytes are read."""
