@@ -13,7 +13,7 @@ from ..session import materialized
 from ..sources import files as src
 from ..sources import sinks
 from . import corpus
-from .oracle_base import BLANK, CTES, HEAD_RE2, REPORT_RANK, SEVERITY_RANK, hits_of, lit, newlines, q, rewrite, values
+from .oracle_base import CTES, HEAD_RE2, REPORT_RANK, SEVERITY_RANK, hits_of, lit, newlines, q, rewrite
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
