@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sentencepiece_bpe
+from . import minhash, mixing, sentencepiece_bpe
 from .common import load
 
 QUERIES: dict = {}
@@ -25,3 +25,38 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
                          F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
                          F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash.near_duplicates(docs, shingle=3, percent=85)
+
+
+@query
+def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(load(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+# running sums, water-filling over sources and the cut at the budget, all in one statement
+ORACLES["op1_mix"] = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+                  md5('mix' || coalesce(doc_id::VARCHAR, '')) AS turn FROM documents),
+q AS (SELECT *, (sum(size) OVER (PARTITION BY source ORDER BY turn, doc_id, size ROWS UNBOUNDED PRECEDING))::BIGINT AS upto FROM d),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight FROM s),
+f AS (SELECT *, sum(source_size) OVER () AS total, sum(weight) OVER () AS weights,
+             sum(source_size) OVER z - source_size AS f, sum(weight) OVER z - weight AS fw FROM w
+      WINDOW z AS (ORDER BY source_size / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+l AS (SELECT *, (total * 150 / 100 - f * 2)::DOUBLE / (weights - fw)::DOUBLE AS level FROM f),
+m AS (SELECT *, min(CASE WHEN weight * level < source_size * 2 THEN fw END) OVER () AS open FROM l),
+n AS (SELECT *, min(CASE WHEN fw = open THEN level END) OVER () AS final FROM m),
+t AS (SELECT source, source_size, CASE WHEN open IS NULL OR fw < open THEN source_size::DOUBLE * 2
+                                       ELSE least(source_size::DOUBLE * 2, weight * final) END AS target FROM n),
+p AS (SELECT q.doc_id, q.size, q.turn, k, (k * source_size + upto)::DOUBLE / target AS finish
+      FROM q JOIN t ON q.source IS NOT DISTINCT FROM t.source, (VALUES (0), (1)) v(k) WHERE size > 0),
+c AS (SELECT *, sum(size) OVER (ORDER BY finish, turn, doc_id, size ROWS UNBOUNDED PRECEDING) AS spent FROM p),
+x AS (SELECT doc_id, turn, size, count(*) AS copies FROM c WHERE spent <= (SELECT sum(size) * 1.5 FROM d) GROUP BY ALL)
+SELECT q.doc_id, q.size::BIGINT AS size, source_size, target, (q.size * coalesce(copies, 0))::BIGINT AS taken
+FROM q JOIN t ON q.source IS NOT DISTINCT FROM t.source LEFT JOIN x ON q.doc_id = x.doc_id AND q.size = x.size"""
