@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, sentencepiece_bpe
+from . import line_dedup, minhash, mixing, quality, sentencepiece_bpe
 from .common import load
 
 QUERIES: dict = {}
@@ -60,3 +60,36 @@ c AS (SELECT *, sum(size) OVER (ORDER BY finish, turn, doc_id, size ROWS UNBOUND
 x AS (SELECT doc_id, turn, size, count(*) AS copies FROM c WHERE spent <= (SELECT sum(size) * 1.5 FROM d) GROUP BY ALL)
 SELECT q.doc_id, q.size::BIGINT AS size, source_size, target, (q.size * coalesce(copies, 0))::BIGINT AS taken
 FROM q JOIN t ON q.source IS NOT DISTINCT FROM t.source LEFT JOIN x ON q.doc_id = x.doc_id AND q.size = x.size"""
+
+
+@query
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(load(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept")
+
+
+ORACLES["op5_quality"] = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS a FROM d),
+h AS (SELECT doc_id, i, a || ' ' || lead(a, 1) OVER z || ' ' || lead(a, 2) OVER z AS tri FROM g WINDOW z AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, tri) AS c FROM h WHERE tri IS NOT NULL),
+p AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM r, (VALUES (0), (1), (2)) v(j) WHERE c > 1 GROUP BY doc_id),
+l AS (SELECT doc_id, source, t, unnest(string_split(t, chr(10))) AS x FROM d),
+m AS (SELECT doc_id, source, t, x, array_to_string(regexp_extract_all(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' ') AS line,
+             len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS words FROM l WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
+u AS (SELECT doc_id, count(*) - count(DISTINCT x) AS dup FROM m GROUP BY doc_id),
+b AS (SELECT source, line FROM m GROUP BY source, line
+      HAVING count(DISTINCT t) > 20 AND 100 * count(DISTINCT t) > 2 * (SELECT count(DISTINCT e.t) FROM d e WHERE e.source IS NOT DISTINCT FROM m.source)),
+k AS (SELECT m.doc_id, sum(words) AS lost FROM m JOIN b ON m.source IS NOT DISTINCT FROM b.source AND m.line = b.line GROUP BY m.doc_id),
+f AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, len(translate(t, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), ''))::BIGINT AS word_chars,
+             (len(t) - len(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols, coalesce(dup, 0)::BIGINT AS n_dup_lines,
+             coalesce(n, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0)::BIGINT AS removed_words
+      FROM d LEFT JOIN p ON d.doc_id = p.doc_id LEFT JOIN u ON d.doc_id = u.doc_id LEFT JOIN k ON d.doc_id = k.doc_id)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * removed_words <= 50 * n_words AS kept FROM f"""
+
+
+@query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "removed_lines", "removed_words", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
