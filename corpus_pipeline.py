@@ -4,14 +4,42 @@ from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import public_tokenizers
-from auditlake.llm import sentencepiece_bpe
+from auditlake.llm import line_dedup, minhash, mixing, quality, sentencepiece_bpe
 from auditlake.llm.common import load, shared_folder
 
 
+def counted(docs: DataFrame) -> DataFrame:
+    """n_chars after the text."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go; from the others the lines above the host's limit."""
+    return counted(quality.clean(docs))
+
+
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that stand elsewhere before go from the text."""
+    return counted(line_dedup.dedup(docs).select(*docs.columns))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: the one with the smallest id."""
+    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi").select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    taken = mixing.mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("_taken")).agg(F.max("copies").alias("_copies"))
+    joined = docs.join(taken.hint("merge"), docs["doc_id"].eqNullSafe(F.col("_taken")))
+    return joined.withColumn("_turn", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens and ids of every document."""
     tokens = sentencepiece_bpe.encode(docs.select("doc_id", "lang", "source", "text"),
@@ -19,7 +47,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return tokens.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids")
 
 
-STAGES = [("encode", encode)]
+STAGES = [("quality_rules", quality_rules), ("line_dedup", repeated_lines), ("minhash_near_dedup", near_duplicates),
+          ("mixing", mixture), ("sentencepiece", encode)]
 ORACLE_SQL = None
 
 
