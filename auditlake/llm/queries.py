@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, minhash, mixing, quality, sentencepiece_bpe
+from . import embedding_join, line_dedup, minhash, mixing, quality, sentencepiece_bpe
 from .common import load
 
 QUERIES: dict = {}
@@ -93,3 +93,8 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.dedup(load(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "removed_lines", "removed_words", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+@query
+def op4_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_join.near_duplicates(load(spark, sf_dir, "embeddings"))
