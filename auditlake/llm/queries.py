@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_join, line_dedup, minhash, mixing, quality, sentencepiece_bpe
+from . import chat, embedding_join, line_dedup, minhash, mixing, quality, sentencepiece_bpe, url_filter
 from .common import load
 
 QUERIES: dict = {}
@@ -98,3 +98,99 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_join.near_duplicates(load(spark, sf_dir, "embeddings"))
+
+
+@query
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", extra), (-7, 1, "assistant", extra)], "conv_id long, turn long, role string, text string")
+    back = chat.read_back(chat.windows(turns.unionByName(own), budget=512, history=128))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    parts = back.select("conv_id", F.struct("window", said.alias("said"), F.array_join("learned", "").alias("learned")).alias("w"),
+                        F.size("turns").alias("n"), "chars")
+    whole = parts.groupBy("conv_id").agg(F.sum("n").alias("n_turns"), F.sum("chars").alias("formatted_chars"),
+                                         F.sort_array(F.collect_list("w")).alias("w"))
+    joined = lambda field: F.array_join(F.transform("w", lambda x: x[field]), "")
+    return whole.select("conv_id", "n_turns", F.sha2(joined("said"), 256).alias("turns_sha256"),
+                        F.length(joined("learned")).cast("bigint").alias("loss_chars"),
+                        F.sha2(joined("learned"), 256).alias("loss_sha256"), "formatted_chars")
+
+
+ORACLES["op6_chat"] = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+c AS (SELECT *, ceil(len(text) / 4)::BIGINT + 4 AS tokens,
+             13 - 3 + len(regexp_replace(role, '([<\[\\|])', '\1\1', 'g')) + len(regexp_replace(text, '([<\[\\])', '\1\1', 'g')) AS chars FROM t),
+p AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS upto FROM c),
+b AS (SELECT *, upto - tokens AS before, (upto - tokens) // 512 AS span, max(upto) OVER (PARTITION BY conv_id) AS total FROM p),
+n AS (SELECT *, max(upto) OVER (PARTITION BY conv_id, span) AS next, before = 0 AND role = 'system' AS sys FROM b),
+s AS (SELECT conv_id, count(DISTINCT span) - 1 AS more FROM n GROUP BY conv_id),
+g AS (SELECT n.*, chars * (1 + (NOT sys AND next - before <= 128 AND next < total)::INT + (CASE WHEN sys THEN more ELSE 0 END)) AS written
+      FROM n JOIN s ON n.conv_id IS NOT DISTINCT FROM s.conv_id)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY upto)) AS turns_sha256,
+       coalesce(sum(len(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY upto) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(written)::BIGINT AS formatted_chars FROM g GROUP BY conv_id"""
+
+RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
+         ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+@query
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = load(spark, sf_dir, "pages").select("page_id", "url")
+    # the last number of a path is the document that the page shows
+    shown = pages.select("page_id", F.regexp_extract(url_filter.path_of(F.col("url")), r"/([0-9]{1,18})[^/]*$", 1).try_cast("bigint").alias("doc_id"))
+    marks = load(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return url_filter.judge(pages, shown.join(marks, "doc_id"), RULES).select("page_id", "host", "path", "rule", "verdict", "template")
+
+
+def _tree_sql() -> str:
+    """The levels of the template tree, written out."""
+    d, keys = url_filter.DEPTH, url_filter.KEYS
+    eq = lambda a, b, names: " AND ".join(f"{a}.{n} IS NOT DISTINCT FROM {b}.{n}" for n in names)
+    sql = [f"""WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+       regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+p AS (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM u),
+v AS (SELECT page_id, host, path, {', '.join(f"CASE WHEN regexp_matches(parts[{k + 1}], '[0-9]') THEN '*' ELSE parts[{k + 1}] END AS s{k}" for k in range(d))},
+             CASE WHEN len(parts) > {d} THEN '**' END AS rest FROM p),
+m AS (SELECT page_id, max((quality = 0 OR toxic = 1)::INT) AS bad FROM (SELECT page_id, try_cast(regexp_extract(path, '/([0-9]{{1,18}})[^/]*$', 1) AS BIGINT) AS doc_id FROM u) x
+      JOIN labels USING (doc_id) WHERE (quality = 0 OR toxic = 1) IS NOT NULL GROUP BY page_id),
+c AS (SELECT host, {', '.join(keys)}, count(*) AS pages, count(bad) AS labels, coalesce(sum(bad), 0)::BIGINT AS bad
+      FROM v LEFT JOIN m USING (page_id) GROUP BY ALL),
+x0 AS (SELECT *, {', '.join(f's{k} AS t{k}' for k in range(d))} FROM c)"""]
+    n = 0
+    for k in range(d):
+        above = ["host", *[f"t{i}" for i in range(k)]]
+        names = [*above, f"t{k}"]
+        sql.append(f"""f{n} AS (SELECT {', '.join(names)}, sum(pages) AS own FROM x{n} WHERE t{k} IS NOT NULL GROUP BY ALL),
+g{n} AS (SELECT *, count(*) OVER w AS kinds, sum(own) OVER w AS total FROM f{n} WINDOW w AS (PARTITION BY {', '.join(above)})),
+x{n + 1} AS (SELECT x.* REPLACE (CASE WHEN g.kinds > {url_filter.SIBLINGS} AND 100 * g.own * g.kinds < {url_filter.RARE} * g.total THEN '*' ELSE x.t{k} END AS t{k})
+      FROM x{n} x LEFT JOIN g{n} g ON {eq('x', 'g', names)})""")
+        n += 1
+    for k in reversed(range(d)):
+        above = ["host", *[f"t{i}" for i in range(k)]]
+        names = [*above, f"t{k}"]
+        sql.append(f"""f{n} AS (SELECT {', '.join(names)}, sum(labels) AS l, sum(bad) AS b FROM x{n} WHERE t{k} IS NOT NULL GROUP BY ALL),
+g{n} AS (SELECT *, sum(l) OVER w AS al, sum(b) OVER w AS ab FROM f{n} WINDOW w AS (PARTITION BY {', '.join(above)})),
+x{n + 1} AS (SELECT x.* REPLACE (CASE WHEN ((b * al - l * ab) * (b * al - l * ab))::DOUBLE <= {url_filter.Z2} * (l * ab * (al - ab))::DOUBLE THEN '*' ELSE x.t{k} END AS t{k})
+      FROM x{n} x LEFT JOIN g{n} g ON {eq('x', 'g', names)})""")
+        n += 1
+    whole = ["host", *[f"t{k}" for k in range(d)], "rest"]
+    pull = url_filter.PULL
+    sql.append(f"""y AS (SELECT *, sum(labels) OVER (PARTITION BY {', '.join(whole)}) AS al, sum(bad) OVER (PARTITION BY {', '.join(whole)}) AS ab,
+             sum(labels) OVER (PARTITION BY host) AS hl, sum(bad) OVER (PARTITION BY host) AS hb,
+             (sum(bad) OVER () + 1)::DOUBLE / (sum(labels) OVER () + 2)::DOUBLE AS base FROM x{n}),
+z AS (SELECT *, (ab + {pull} * ((hb + {pull} * base) / (hl + {pull}))) / (al + {pull}) AS rate,
+             '/' || concat_ws('/', {', '.join(f't{k}' for k in range(d))}, rest) AS template FROM y),
+q AS (SELECT v.page_id, v.host, v.path, rate, template, CASE
+      {' '.join(f"WHEN (v.host = '{h}' OR ends_with(v.host, '.{h}')) AND starts_with(v.path, '{p}') THEN '{verdict} {h}{p}'"
+                for verdict, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2])))} END AS hit
+      FROM v JOIN z ON {eq('v', 'z', ['host', *keys])})
+SELECT page_id, host, path, string_split(hit, ' ')[2] AS rule,
+       coalesce(string_split(hit, ' ')[1], CASE WHEN rate > {url_filter.WORST} THEN 'block' ELSE 'allow' END) AS verdict, template FROM q""")
+    return ",\n".join(sql)
+
+
+ORACLES["op7_url_filter"] = _tree_sql()
