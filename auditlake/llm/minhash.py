@@ -3,9 +3,10 @@
 Every permutation of a document's shingles gives two signature values, the least and the
 greatest, so half the hash evaluations fill a signature. Bands of it put documents into
 buckets. Documents with equal shingle sets are one class and only its smallest id goes on. In
-each bucket members are compared with a centre, not with each other; what then still lies in
-different components is compared in full, so every pair that shares a bucket is either linked,
-connected by links, or was compared on the full shingle sets.
+each bucket members are first compared with one centre. Members that then still lie in
+different components are put into blocks, and two blocks that share a bucket are compared as
+matrices inside a task, so every pair that shares a bucket is connected by links or was
+compared on the full shingle sets, and no pairs are written out.
 """
 
 from __future__ import annotations
@@ -19,12 +20,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stored
+from .common import components, find, running_sum, stored
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 KNOWN_WORDS = 1 << 19  # hashes that a worker remembers
-STEP = 2048  # shingles hashed at once
+STEP = 2048  # shingles hashed or compared at once
+BLOCK = 128  # documents in a block
 
 
 class WordHashes(dict):
@@ -118,17 +120,68 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
             .mapInArrow(run, "u bigint, v bigint"))
 
 
+def similar(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which sets of the left and the right are similar enough, as a matrix."""
+    sets = left + right
+    sizes = np.array([len(x) for x in sets])
+    row = np.repeat(np.arange(len(sets)), sizes)
+    _, column, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(column, kind="stable")
+    order = order[n[column[order]] > 1]
+    row, column = row[order], column[order]
+    step = np.cumsum(np.diff(column, prepend=column[:1]) > 0) if len(column) else column
+    both = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, int(step[-1]) + 1 if len(step) else 0, STEP):
+        a, b = np.searchsorted(step, [lo, lo + STEP])
+        m = np.zeros((len(sets), STEP), np.float32)
+        m[row[a:b], step[a:b] - lo] = 1
+        both += m[:len(left)] @ m[len(left):].T
+    every = sizes[:len(left), None] + sizes[None, len(left):] - both
+    return (100 * both >= percent * every) & (both > 0)
+
+
+def joined(pairs: DataFrame, blocks: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """u, v: each document linked within a pair of blocks and the smallest one it reaches there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, tuple] = {}
+        for batch in batches:
+            for k in range(batch.num_rows):
+                sides = []
+                for c in (0, 1):
+                    name = batch.column(c)[k].as_py()
+                    if name not in known:
+                        members = batch.column(2 + c)[k].as_py()
+                        known = {x: y for x, y in known.items() if x == batch.column(0)[k].as_py()}
+                        known[name] = ([m["doc_id"] for m in members], [m["part"] for m in members],
+                                       [shingles(m["text"], shingle) for m in members])
+                    sides.append(known[name])
+                (ids, parts, sets), (ids2, parts2, sets2) = sides
+                parent: dict[int, int] = {}
+                if len({*parts, *parts2}) > 1:
+                    for i, j in zip(*np.nonzero(similar(sets, sets2, percent))):
+                        if parts[i] != parts2[j]:
+                            x, y = find(parent, ids[i]), find(parent, ids2[j])
+                            parent[max(x, y)] = min(x, y)
+                edges = [(x, find(parent, x)) for x in parent]
+                yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], ["u", "v"])
+
+    side = lambda x: blocks.select(F.col("block").alias(x), F.col("docs").alias(f"docs_{x}"))
+    both = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
+    return both.select("a", "b", "docs_a", "docs_b").mapInArrow(run, "u bigint, v bigint")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 24, rows: int = 4,
                     id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id (smallest id reachable by
     links) and kept (whether it is that one).
 
     Linked are documents with ``100 * |A and B| >= percent * |A or B|`` over their word shingles.
-    With the defaults a pair at 0.8 shares no bucket with probability 3e-6, at 0.85 with 1e-7.
+    With the defaults a pair at 0.8 shares no bucket with probability 3e-6, at 0.85 with 2e-8.
     A document without words links with nothing. Rows that share an id are one node. A row
     without id links with nothing: component_id null, kept. Other columns are not read."""
     found = stored(sketches(docs, id, text, shingle, bands, rows))
-    known = found.where("doc_id is not null and digest is not null")
+    known = found.where("doc_id IS NOT NULL AND digest IS NOT NULL")
     first = known.groupBy("digest").agg(F.min("doc_id").alias("first"))
     classes = known.join(first.select(F.col("digest"), F.col("first").alias("doc_id")), ["digest", "doc_id"], "left_semi")
     spots = classes.select("doc_id", F.explode("bands").alias("bucket"))
@@ -136,39 +189,33 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     members = stored(spots.join(full.where("a < b").select("bucket", "n"), "bucket"))
     # who shares buckets with most others makes the best centre
     weight = members.groupBy("doc_id").agg(F.sum("n").alias("weight"))
-    members = stored(members.select("bucket", "doc_id").join(weight, "doc_id"))
     slim = docs.select(docs[id].cast("bigint").alias("doc_id"), docs[text].cast("string").alias("text"))
     texts = stored(slim.join(weight.select("doc_id").hint("merge"), "doc_id", "left_semi"))
-
-    links, tested, nodes = None, None, None
-    for turn in ("centre", "second", "rest"):
-        at = members.withColumn("part", F.col("doc_id"))
-        if nodes is not None:
-            at = members.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
-                "part", F.coalesce("component", "doc_id")).drop("component")
-            open_ = at.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi")
-            at = stored(at.join(open_.select("bucket"), "bucket", "left_semi"))
-        if turn == "rest":
-            other = at.select("bucket", F.col("doc_id").alias("v"), F.col("part").alias("part_v"))
-            pairs = at.withColumnRenamed("doc_id", "u").join(other, "bucket").where("u < v and part != part_v")
-        else:
-            if turn == "second":  # outside the component that the first centre is in
-                lead = at.groupBy("bucket").agg(F.max(F.struct("weight", -F.col("doc_id"), "part")).alias("c"))
-                pool = at.join(lead.select("bucket", F.col("c.part").alias("p")), "bucket").where("part != p").drop("p")
-            else:
-                pool = at
-            lead = pool.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("less"), "part")).alias("c"))
-            lead = lead.select("bucket", (-F.col("c.less")).alias("c"), F.col("c.part").alias("p"))
-            pairs = at.join(lead, "bucket").where("doc_id != c and part != p").select(
-                F.least("doc_id", "c").alias("u"), F.greatest("doc_id", "c").alias("v"))
-        pairs = pairs.select("u", "v").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs = stored(pairs)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        new = stored(confirmed(pairs, texts, shingle, percent))
-        links = new if nodes is None else nodes.selectExpr("node AS u", "component AS v").unionByName(new)
-        nodes = stored(components(links))
+    weighed = members.select("bucket", "doc_id").join(weight, "doc_id")
+    lead = weighed.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("less"))).alias("c"))
+    pairs = members.join(lead.select("bucket", (-F.col("c.less")).alias("c")), "bucket").where("doc_id != c").select(
+        F.least("doc_id", "c").alias("u"), F.greatest("doc_id", "c").alias("v")).distinct()
+    links = stored(confirmed(pairs, texts, shingle, percent))
+    nodes = stored(components(links))
+
+    part = nodes.select(F.col("node").alias("doc_id"), F.col("component").alias("part"))
+    at = members.select("bucket", "doc_id").join(part, "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
+    open_ = at.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min("doc_id").alias("least")).where("lo < hi")
+    # in a bucket of two the centre was compared with the other one
+    open_ = open_.join(full.where("n > 2").select("bucket"), "bucket", "left_semi")
+    at = stored(at.join(open_.select("bucket", "least"), "bucket"))
+    groups = components(at.select(F.col("doc_id").alias("u"), F.col("least").alias("v")))
+    placed = at.select("doc_id", "part").distinct().join(groups.withColumnRenamed("node", "doc_id"), "doc_id")
+    placed = running_sum(placed.withColumn("one", F.lit(1)), ["component"], ["doc_id"], "one", "at")
+    block = F.xxhash64("component", F.floor((F.col("at") - 1) / BLOCK))
+    placed = stored(placed.select("doc_id", "part", block.alias("block")))
+    # a block holds BLOCK documents at most
+    blocks = stored(placed.join(texts.hint("merge"), "doc_id").groupBy("block").agg(
+        F.collect_list(F.struct("doc_id", "part", "text")).alias("docs")))
+    held = at.select("bucket", "doc_id").join(placed.select("doc_id", "block"), "doc_id").select("bucket", "block").distinct()
+    pairs = held.withColumnRenamed("block", "a").join(held.withColumnRenamed("block", "b"), "bucket").where("a <= b").select("a", "b").distinct()
+    links = joined(pairs, blocks, shingle, percent).unionByName(nodes.selectExpr("node AS u", "component AS v"))
+    nodes = stored(components(links))
 
     label = first.join(nodes.withColumnRenamed("node", "first"), "first", "left").select(
         "digest", F.coalesce("component", "first").alias("component"))
