@@ -160,8 +160,10 @@ def clean_response(response: Column) -> Column:
 
 
 def apply_verdicts(findings: DataFrame, responses: DataFrame) -> DataFrame:
-    """Set verdict and confidence from the answers; no finding is dropped."""
-    r = responses.select("finding_id", "response")
+    """Set verdict and confidence from the answers; no finding is dropped. The explanation of a
+    failed call tells the error."""
+    error = F.col("error") if "error" in responses.columns else F.lit(None).cast("string")
+    r = responses.select("finding_id", "response", error.alias("_error"))
     joined = sized_join(findings.withColumn("finding_id", finding_id()), r, "finding_id", "left")
     upper = F.upper("response")
     yes = F.contains(upper, F.lit("CONFIRMED: YES"))
@@ -173,4 +175,4 @@ def apply_verdicts(findings: DataFrame, responses: DataFrame) -> DataFrame:
         *[c for c in findings.columns if c != "confidence"], "finding_id", confidence.alias("confidence"),
         F.when(yes, True).when(no, False).alias("llm_confirmed"),
         F.when(F.col("response").isNotNull(), confidence).alias("llm_confidence"),
-        F.coalesce("response", F.lit("")).alias("llm_explanation"))
+        F.coalesce("response", F.concat(F.lit("LLM unavailable: "), "_error"), F.lit("")).alias("llm_explanation"))

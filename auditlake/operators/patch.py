@@ -71,9 +71,10 @@ def template_fix(line: Column, function: str) -> Column:
 
 
 def try_template_fix(line: Column, function_name: Column) -> Column:
+    """The template of the named function; without a name the first one that fits the line."""
     fn = F.lower(F.coalesce(function_name, F.lit("")))
-    out = F.when(fn == TEMPLATE_FUNCTIONS[0], template_fix(line, TEMPLATE_FUNCTIONS[0]))
-    for name in TEMPLATE_FUNCTIONS[1:]:
+    out = F.when(fn == "", F.coalesce(*[template_fix(line, name) for name in TEMPLATE_FUNCTIONS]))
+    for name in TEMPLATE_FUNCTIONS:
         out = out.when(fn == name, template_fix(line, name))
     return out
 
@@ -204,10 +205,14 @@ def unified_diff(patched: DataFrame) -> DataFrame:
         before = F.aggregate(F.filter("changes", lambda c: c["line"] < h["first"]), F.lit(0),
                              lambda a, c: a + delta(c))
         growth = F.aggregate(inside, F.lit(0), lambda a, c: a + delta(c))
+        changed = lambda n: F.exists(inside, lambda c: c["line"] == n)
+        # the changes of the run of changed lines that ends with line n
+        run = lambda n: F.filter(inside, lambda c: (c["line"] <= n) & (F.size(F.filter(
+            inside, lambda x: (x["line"] > c["line"]) & (x["line"] <= n))) == n - c["line"]))
         body = F.flatten(F.transform(F.sequence(start, end), lambda n: F.concat(
-            F.when(F.exists(inside, lambda c: c["line"] == n), F.array(F.concat(F.lit("-"), F.col("lines")[n - 1])))
-            .otherwise(F.array(F.concat(F.lit(" "), F.col("lines")[n - 1]))),
-            F.flatten(F.transform(F.filter(inside, lambda c: c["line"] == n), lambda c: plus(c["new"]))))))
+            F.array(F.concat(F.when(changed(n), "-").otherwise(" "), F.col("lines")[n - 1])),
+            F.when(changed(n) & ~changed(n + 1), F.flatten(F.transform(run(n), lambda c: plus(c["new"]))))
+            .otherwise(F.array().cast("array<string>")))))
         size = end - start + 1
         span = lambda at, n: F.concat(at.cast("string"), F.when(n != 1, F.concat(
             F.lit(","), n.cast("string"))).otherwise(""))

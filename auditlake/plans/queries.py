@@ -91,12 +91,17 @@ add("src_table",
         "path", "text"),
     "SELECT source || '/' || doc_id || '.H' AS file_path, 'c' AS language, "
     "regexp_replace(text, '\\r\\n?', chr(10), 'g') AS code FROM documents")
-add("src_errors",
-    lambda s, d: src.errors(corpus.load(s, d, "documents").select(
-        F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string")).alias("file_path"),
-        F.when(F.col("doc_id") % 10 != 3, F.col("text")).alias("code"))),
-    "SELECT source || '/' || doc_id AS file_path, source || '/' || doc_id || ': no text' AS error "
-    "FROM documents WHERE doc_id % 10 = 3 OR text IS NULL")
+def _page_texts(s, d):
+    """The document each page shows, as far as there is one: file_path, code."""
+    shown_doc = F.regexp_extract("url", r"/([0-9]{1,18})[^/]*$", 1).try_cast("bigint")
+    pages = corpus.load(s, d, "pages").select("page_id", shown_doc.alias("doc_id"))
+    texts = corpus.load(s, d, "documents").select("doc_id", F.col("text").alias("code"))
+    return pages.join(texts, "doc_id", "left").select(F.concat(F.lit("/pages/"), F.col("page_id").cast("string")).alias("file_path"), "code")
+
+
+add("src_errors", lambda s, d: src.errors(_page_texts(s, d)),
+    """SELECT '/pages/' || page_id AS file_path, '/pages/' || page_id || ': no text' AS error FROM pages
+       LEFT JOIN documents ON doc_id = try_cast(regexp_extract(url, '/([0-9]{1,18})[^/]*$', 1) AS BIGINT) WHERE text IS NULL""")
 add("dim_rules", lambda s, d: analyze.rule_usage(detect.scan_rules(code(s, d))),
     """SELECT id, name, pattern, cwe_id, severity, description, recommendation,
          replace(languages, ',', ', ') AS languages, coalesce(n, 0)::BIGINT AS hits
@@ -200,9 +205,9 @@ add("txt_match_fn", lambda s, d: detect.scan_rules(code(s, d)).groupBy("rule_id"
 add("txt_basename", lambda s, d: all_files(s, d).select(
         "file_path", text.basename(F.replace("file_path", F.lit("/pages/"), F.lit("C:\\pages\\"))).alias("name"),
         text.truncate(F.col("code"), 80).alias("short"),
-        text.escape_html(F.substring("code", 1, 200), quotes=False).alias("escaped")),
+        text.escape_html(F.col("code"), quotes=False).alias("escaped")),
     f"""SELECT file_path, {BASE} AS name, CASE WHEN length(code) > 80 THEN substr(code, 1, 80) || '...' ELSE code END
-         AS short, replace(replace(replace(substr(code, 1, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped {T}""")
+         AS short, replace(replace(replace(code, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped {T}""")
 
 # ------------------------------------------------------------------ scalar lookups
 add("sev_order", lambda s, d: found(s, d).select(
@@ -250,9 +255,9 @@ for _i, _r in enumerate(dims.RULES):
     _part = CTES["rule_hits"].split(" UNION ALL ")[_i]
     add(f"rule_{_r.id}", _one_rule(_r), RULE_SQL.replace("rule_hits", "one_rule"), one_rule=_part)
 
-_CPP_ONLY = [r._replace(languages=("cpp",)) for r in dims.RULES[:3]] + list(dims.RULES[3:5])
+_CPP_ONLY = [r._replace(languages=("cpp",)) for r in dims.RULES[:3]] + list(dims.RULES[3:])
 add("scan_lang_gate", lambda s, d: shown(detect.scan_rules(code(s, d), _CPP_ONLY), *RAW_COLUMNS),
-    RULE_SQL + " WHERE h.dim_idx < 5 AND (h.dim_idx >= 3 OR h.language = 'cpp')")
+    RULE_SQL + " WHERE h.dim_idx >= 3 OR h.language = 'cpp'")
 _USER_PACK = [
     dims.Rule("USR-001", "broken", r"(unclosed", "CWE-1", "low", "never used", ""),
     dims.Rule("USR-002", "script element", r"<script[^>]*>", "CWE-79", "high", "inline script", "Avoid it", "<script"),
@@ -548,11 +553,13 @@ for _fn in dims.TEMPLATE_FUNCTIONS:
         every_line=f"SELECT file_path, unnest(range(1, len(ls) + 1)) AS line, unnest(ls) AS old "
                    f"FROM (SELECT file_path, {LINES} AS ls FROM code_files)")
 add("try_template_fix", lambda s, d: code(s, d).select(
-        "file_path", F.posexplode(text.lines_of(F.col("code"))).alias("i", "old")).where("i > 3").select(
+        "file_path", F.posexplode(text.lines_of(F.col("code"))).alias("i", "old")).select(
         "file_path", (F.col("i") + 1).cast("bigint").alias("line"), patch.try_template_fix(
             F.col("old"), F.upper(text.call_name(F.col("old")))).alias("fixed")),
-    f"SELECT file_path, line::BIGINT AS line, {_template_sql('old', 'fn')} AS fixed FROM (SELECT *, regexp_extract(old, "
-    f"'\\b(\\w+)\\s*\\(', 1) AS fn FROM every_line) WHERE line > 4",
+    "SELECT file_path, line::BIGINT AS line, CASE WHEN fn = '' THEN coalesce("
+    + ", ".join(_template_sql("old", lit(x)) for x in dims.TEMPLATE_FUNCTIONS)
+    + f") ELSE {_template_sql('old', 'fn')} END AS fixed FROM (SELECT *, regexp_extract(old, "
+    "'\\b(\\w+)\\s*\\(', 1) AS fn FROM every_line)",
     every_line=f"SELECT file_path, unnest(range(1, len(ls) + 1)) AS line, unnest(ls) AS old "
                f"FROM (SELECT file_path, {LINES} AS ls FROM code_files)")
 add("apply_templates", lambda s, d: patch.apply_templates(code(s, d), found(s, d)).select(
@@ -609,15 +616,14 @@ add("sink_fixed", lambda s, d: sinks.with_out_path(fixed(s, d), "/out/").select(
     f"""SELECT file_path, '/out/' || CASE WHEN (SELECT count(DISTINCT {BASE}) <> count(*) FROM fixed)
          THEN regexp_extract(file_path, '([^/]*)/[^/]*$', 1) || '/' ELSE '' END || {BASE} AS out_path FROM fixed""",
     **PATCH_CTES)
-add("fix_publish", lambda s, d: sinks.publish(fixed(s, d), code(s, d).where(~F.contains("file_path", F.lit("safe_")))),
-    f"""SELECT {BASE} AS filename, CASE WHEN ok THEN file_path END AS original_path,
-         CASE WHEN ok THEN file_path || '.bak' END AS backup_path, CASE WHEN ok THEN fixed_code END AS code,
-         CASE WHEN ok THEN 'applied' ELSE 'error' END AS status,
-         CASE WHEN NOT ok THEN 'Original file not found' END AS error
-       FROM (SELECT *, NOT contains(file_path, 'safe_') AS ok FROM fixed)""", **PATCH_CTES)
+add("fix_publish", lambda s, d: sinks.publish(fixed(s, d), code(s, d)),
+    f"""SELECT {BASE} AS filename, file_path AS original_path, file_path || '.bak' AS backup_path, fixed_code AS code,
+         'applied' AS status, NULL::VARCHAR AS error FROM fixed""", **PATCH_CTES)
+
+
 def _originals(s, d):
     f = kept(s, d)
-    return analyze.fix_original(patch.fix_files(code(s, d), f), merge.min_severity(f, "critical"), code(s, d))
+    return analyze.fix_original(patch.fix_files(code(s, d), f), f, code(s, d))
 
 
 add("join_fix_original", _originals,
@@ -796,4 +802,7 @@ def _answered(s, d):
         "response", "error").agg(F.count("*").alias("n"))
 
 
-add("answer_hook", _answered)
+add("answer_hook", _answered,
+    f"""SELECT 'Confirmed: ' || CASE WHEN contains(prompt, 'strcpy') THEN 'YES' ELSE 'NO' END AS response,
+         NULL::VARCHAR AS error, count(*) AS n FROM ({_prompt_sql(assist.REASON_PROMPT, "snipped", "finding_id")}) GROUP BY ALL""",
+    snipped=SNIPPED)

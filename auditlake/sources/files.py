@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.dims import ALL_EXTENSIONS, C_EXTENSIONS, SKIP_DIRS
 
-MAX_FILE_BYTES = 1 << 30  # larger files cannot be one row; they are reported as errors
 OUTPUT_DIR = "_fixed"
 NON_CHARACTER = "\U0010FFFE"  # stands in for genuine U+FFFD while bad bytes are dropped
 
@@ -31,7 +32,7 @@ def is_c_file(path: Column) -> Column:
 def is_source(path: Column, root: str = "", extensions: Sequence[str] = ALL_EXTENSIONS,
               skip_dirs: Sequence[str] = SKIP_DIRS) -> Column:
     """Known extension and no skipped directory below ``root``."""
-    below = F.substring(path, len(root) + 1, 1 << 20)
+    below = F.substr(path, F.lit(len(root) + 1))
     parts = F.split(below, "/", -1)
     dirs = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
     skipped = F.arrays_overlap(dirs, F.array(*[F.lit(d) for d in skip_dirs]))
@@ -54,31 +55,84 @@ def _glob(extensions: Sequence[str]) -> str:
     return "*{" + ",".join(any_case(e) for e in extensions) + "}"
 
 
-def load_files(spark: SparkSession, path: str, extensions: Sequence[str] = ALL_EXTENSIONS,
-               skip_dirs: Sequence[str] = SKIP_DIRS) -> DataFrame:
-    """file_path, language, code of every source file below ``path`` (or of one file). Files
-    without a single byte are left out, as by all of Spark's file sources.
+def plain_path(uri: Column) -> Column:
+    """A path without the scheme of local files."""
+    return F.regexp_replace(uri, r"^file:/+", "/")
 
-    The name pattern prunes the listing and the conditions on ``_metadata`` prune files
-    before their bytes are read."""
-    root = path.rstrip("/")
-    found = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-             .option("pathGlobFilter", _glob(extensions)).load(path))
-    plain = F.regexp_replace(F.col("_metadata.file_path"), r"^file:/+", "/")
-    kept = found.where(is_source(plain, root, extensions, [*skip_dirs, OUTPUT_DIR]))
-    kept = kept.where(F.col("_metadata.file_size") <= MAX_FILE_BYTES)
-    return kept.select(F.regexp_replace("path", r"^file:/+", "/").alias("file_path"),
-                       language_of(F.col("path")).alias("language"),
-                       decode(F.col("content")).alias("code"))
+
+def qualified(spark: SparkSession, path: str) -> tuple[str, bool]:
+    """The absolute path with its scheme, and whether it is a folder."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    status = target.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(target)
+    return status.getPath().toString(), status.isDirectory()
+
+
+def unlisted(spark: SparkSession, root: str, extensions: Sequence[str], skip_dirs: Sequence[str]) -> list[str]:
+    """Source files that Spark's own listing leaves out: empty ones, and those with a name, or in a
+    folder, that begins with ``_`` or a dot. Only their paths come to the driver."""
+    fs = spark._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    found, open_ = [], [(root, False)]
+    while open_:
+        folder, hidden = open_.pop()
+        for status in fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(folder)):
+            at = status.getPath()
+            name = at.getName()
+            apart = hidden or name[0] in "._"
+            if status.isDirectory():
+                if name not in skip_dirs:
+                    open_.append((at.toString(), apart))
+            elif (apart or status.getLen() == 0) and _suffix(name) in extensions:
+                found.append(at.toString())
+    return found
+
+
+def _suffix(name: str) -> str:
+    rest = name.lstrip(".")
+    return "." + rest.rpartition(".")[2].lower() if "." in rest else ""
 
 
-def load_errors(spark: SparkSession, path: str, extensions: Sequence[str] = ALL_EXTENSIONS) -> DataFrame:
-    """Files the scan leaves out because of their size: file_path, error."""
+def _bytes_of(uris: DataFrame) -> DataFrame:
+    """path, content, error of each ``uri``, read on the executors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for uri in batch.column(0).to_pylist():
+                content = error = None
+                try:
+                    store, path = fs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri)
+                    with store.open_input_stream(path) as stream:
+                        content = stream.read()
+                except OSError as problem:  # the file becomes a row with its reason
+                    error = str(problem)
+                yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([content], pa.binary()), pa.array([error], pa.string())],
+                                                 ["path", "content", "error"])
+
+    return uris.mapInArrow(run, "path string, content binary, error string")
+
+
+def load_files(spark: SparkSession, path: str, extensions: Sequence[str] = ALL_EXTENSIONS,
+               skip_dirs: Sequence[str] = SKIP_DIRS) -> DataFrame:
+    """file_path, language, code of every source file below ``path`` (or of one file), empty ones
+    and names that begin with ``_`` or a dot as well. A file of those that cannot be read has a
+    null code, and ``errors`` tells of it.
+
+    Skipped folders count below ``path`` only, which may be relative or have a scheme. The name
+    pattern prunes the listing and the path condition prunes files before they are read."""
+    skipped = [*skip_dirs, OUTPUT_DIR]
+    root, folder = qualified(spark, path)
+    base = re.sub("^file:/+", "/", root)
     found = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-             .option("pathGlobFilter", _glob(extensions)).load(path))
-    return (found.select("path", "length").where(F.col("length") > MAX_FILE_BYTES)
-            .select(F.regexp_replace("path", r"^file:/+", "/").alias("file_path"),
-                    F.format_string("file too large: %d bytes", "length").alias("error")))
+             .option("pathGlobFilter", _glob(extensions)).load(root))
+    below = base.rstrip("/") if folder else base.rpartition("/")[0]
+    listed = found.where(is_source(plain_path(F.col("_metadata.file_path")), below, extensions, skipped)).select("path", "content")
+    apart = unlisted(spark, root, extensions, skipped) if folder else []
+    if apart:
+        uris = spark.createDataFrame([(u,) for u in apart], "uri string").repartition(min(len(apart), 64))
+        listed = listed.unionByName(_bytes_of(uris).select("path", "content"))
+    return listed.select(plain_path(F.col("path")).alias("file_path"), language_of(F.col("path")).alias("language"),
+                         decode(F.col("content")).alias("code"))
 
 
 def from_table(df: DataFrame, path: str, code: str) -> DataFrame:

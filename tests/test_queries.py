@@ -4,9 +4,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from auditlake.plans.queries import ORACLES, QUERIES
 
 SAMPLE = ["scan_findings", "scan_rules", "call_sites", "file_metadata", "bench_metrics", "fix_file", "seq_pairs",
-          "apply_verdicts", "report_rows", "scan_bad_rule", "project_info", "snippet_splice"]
+          "apply_verdicts", "report_rows", "scan_bad_rule", "project_info", "snippet_splice",
+          "try_template_fix", "src_errors", "answer_hook", "txt_basename", "fix_publish", "scan_lang_gate", "join_fix_original"]
 
 
 @pytest.fixture(scope="module")
@@ -30,5 +32,5 @@ def test_query(spark, sf, duck, name):
 
 def test_registry(spark):
     queries, oracles = entry.queries(), entry.oracle_sql()
-    assert set(oracles) <= set(queries) and set(queries) - set(oracles) == {"answer_hook"}
+    assert set(oracles) <= set(queries) and set(QUERIES) == set(ORACLES) and set(QUERIES) <= set(queries)
     assert entry.entry(spark).count() > 0

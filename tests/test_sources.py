@@ -19,14 +19,22 @@ def tree(root):
         p.write_bytes(data)
 
 
-def test_load_folder_and_file(spark, tmp_path):
+def test_load_folder_and_file(spark, tmp_path, monkeypatch):
     root = tmp_path / "build"  # a skipped name above the root does not count
     tree(root)
-    got = {r.file_path[len(str(root)) + 1:]: (r.language, r.code) for r in src.load_files(spark, str(root)).collect()}
-    assert got == {"a.c": ("c", PROGRAM), "sub/B.CPP": ("cpp", "gets(x);\ny\nz"), "bad.h": ("c", "ok � end")}  # Spark's file sources leave empty files out
+    for name in ("_b.c", ".c1.c", "_internal/d.c", ".hid/e.c", "sp ace.c", "_internal/empty.h", "dist/no.c", "_internal/_fixed/no.c"):
+        (root / name).parent.mkdir(exist_ok=True, parents=True)
+        (root / name).write_bytes(b"" if "empty" in name else name.encode())
+    want = {"a.c": ("c", PROGRAM), "sub/B.CPP": ("cpp", "gets(x);\ny\nz"), "bad.h": ("c", "ok \ufffd end"), "empty.c": ("c", ""),
+            "_b.c": ("c", "_b.c"), ".c1.c": ("c", ".c1.c"), "_internal/d.c": ("c", "_internal/d.c"), ".hid/e.c": ("c", ".hid/e.c"),
+            "sp ace.c": ("c", "sp ace.c"), "_internal/empty.h": ("c", "")}
+    monkeypatch.chdir(root)
+    for path in (str(root), f"{root}/", root.as_uri()):
+        got = {r.file_path[len(str(root)) + 1:]: (r.language, r.code) for r in src.load_files(spark, path).collect()}
+        assert got == want, path
     one = src.load_files(spark, str(root / "sub" / "B.CPP")).collect()
     assert [r.language for r in one] == ["cpp"]
-    assert src.load_errors(spark, str(root)).count() == 0
+    assert src.errors(src.load_files(spark, str(root))).count() == 0
 
 
 def test_errors_and_tables(spark):
