@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import json
 import re
+import warnings
 from collections.abc import Iterable, Sequence
 from typing import NamedTuple
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -276,13 +278,27 @@ def type_key(vuln_type: str) -> str:
     return m.group(0).lower() if m else ""
 
 
+def java_dialect(pattern: str) -> str:
+    """A pattern in the rules' dialect for the engine that runs it: group names and the end of
+    the text are written in another way there."""
+    plain = lambda m: m.group(1).replace("_", "") + "x" * m.group(1).count("_")
+    pattern = re.sub(r"(?<!\\)\(\?P<(\w+)>", lambda m: f"(?<{plain(m)}>", pattern)
+    pattern = re.sub(r"(?<!\\)\(\?P=(\w+)\)", lambda m: f"\\k<{plain(m)}>", pattern)
+    return re.sub(r"(?<!\\)((?:\\\\)*)\\Z", r"\1\\z", pattern)
+
+
 def usable_rules(rules: Iterable[Rule]) -> list[Rule]:
-    """Drop rules whose pattern does not compile, as a scan skips them."""
+    """Drop rules whose pattern compiles in neither or only one of the two dialects, as a scan
+    skips them, with a warning that names them."""
+    spark = SparkSession.getActiveSession()
     kept = []
     for r in rules:
         try:
             re.compile(r.pattern)
-        except re.error:
+            if spark is not None and r not in RULES:
+                spark._jvm.java.util.regex.Pattern.compile("(?dU)" + java_dialect(r.pattern))
+        except (re.error, IllegalArgumentException) as problem:
+            warnings.warn(f"rule {r.id} is left out: {str(problem).splitlines()[0]}", stacklevel=2)
             continue
         kept.append(r)
     if len(kept) + len(SIGNATURES) > MAX_DIM_ROWS:

@@ -13,7 +13,6 @@ names a function.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +30,7 @@ HIT = "array<struct<line:int,seq:bigint,function_name:string>>"
 
 def java_pattern(pattern: str) -> str:
     """Give a rule's pattern the meaning its author's regex dialect has."""
-    return "(?dU)" + pattern
+    return "(?dU)" + dims.java_dialect(pattern)
 
 
 def dim_index(seq: Column) -> Column:
@@ -102,7 +101,3 @@ def scan_rules(files: DataFrame, rules: Sequence[Rule] = tuple(RULES)) -> DataFr
     rules = dims.usable_rules(rules)
     spark = files.sparkSession
     return describe(rule_findings(files, rules), dims.finding_dim(spark, rules))
-
-
-def union_detectors(parts: Sequence[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

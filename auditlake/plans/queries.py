@@ -261,6 +261,8 @@ add("scan_lang_gate", lambda s, d: shown(detect.scan_rules(code(s, d), _CPP_ONLY
 _USER_PACK = [
     dims.Rule("USR-001", "broken", r"(unclosed", "CWE-1", "low", "never used", ""),
     dims.Rule("USR-002", "script element", r"<script[^>]*>", "CWE-79", "high", "inline script", "Avoid it", "<script"),
+    dims.Rule("USR-004", "conditional", r"(<)?a(?(1)>|b)", "CWE-1", "low", "runs in one dialect only", ""),
+    dims.Rule("USR-005", "named group", r"<(?P<the_tag>td|li)>", "CWE-2", "low", "cell or item", ""),
     dims.Rule("USR-003", "linked page", r"href=", "CWE-601", "info", "link", "Check it"),
 ]
 add("scan_bad_rule", lambda s, d: detect.scan_rules(corpus.text_files(s, d), _USER_PACK).groupBy(
@@ -268,7 +270,9 @@ add("scan_bad_rule", lambda s, d: detect.scan_rules(corpus.text_files(s, d), _US
     "SELECT file_path, 'USR-002' AS rule_id, 'high' AS severity, count(*) AS n FROM ("
     + hits_of("t_neutral", "neut", r"<script[^>]*>") + ") GROUP BY ALL UNION ALL "
     "SELECT file_path, 'USR-003' AS rule_id, 'info' AS severity, count(*) AS n FROM ("
-    + hits_of("t_neutral", "neut", r"href=") + ") GROUP BY ALL", **{
+    + hits_of("t_neutral", "neut", r"href=") + ") GROUP BY ALL UNION ALL "
+    "SELECT file_path, 'USR-005' AS rule_id, 'low' AS severity, count(*) AS n FROM ("
+    + hits_of("t_neutral", "neut", r"<(?:td|li)>") + ") GROUP BY ALL", **{
     "t_neutral1": CTES["neutral1"].replace("code_files", "text_files"),
     "t_neutral2": CTES["neutral2"].replace("neutral1", "t_neutral1"),
     "t_neutral3": CTES["neutral3"].replace("neutral2", "t_neutral2"),

@@ -3,19 +3,20 @@
 import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from auditlake.functions import dims
 from auditlake.operators import calls, detect, merge
 from auditlake.plans import corpus
-from test_text import py_neutralize
+from test_text import scanned
 
 
 def test_all_rules_equal_python_re(spark, sf):
     files = corpus.code_files(spark, sf).select("file_path", "language", "code")
     expected = Counter()
     for f in files.collect():
-        clean = py_neutralize(f.code)
+        clean = scanned(f.code)
         for rule in dims.RULES:
             for m in re.finditer(rule.pattern, clean):
                 fn = re.search(r"\b(\w+)\s*\(", m.group(0))
@@ -85,3 +86,14 @@ def test_literal_lookup_equals_signature_join(spark, sf):
     assert Counter((r.file_path, r.rule_id, r.line) for r in slim) == joined
     both = merge.detect_all(files).groupBy((F.col("detector") == "regex").alias("rule")).count().collect()
     assert {r.rule: r["count"] for r in both}[False] == sum(joined.values())
+
+
+def test_rule_dialects(spark, files_of):
+    from auditlake.functions import dims
+
+    assert dims.java_dialect(r"(?P<a_b>x)(?P=a_b)\Z \\Z \(?P<q>") == r"(?<abx>x)\k<abx>\z \\Z \(?P<q>"
+    pack = [dims.Rule("N", "named", r"(?P<my_f>gets)\s*\(", "CWE-1", "low", "d", ""), dims.Rule("B", "broken", "(", "CWE-1", "low", "d", ""),
+            dims.Rule("C", "conditional", r"(a)?(?(1)b|c)", "CWE-1", "low", "d", ""), dims.Rule("Z", "end", r"end\Z", "CWE-1", "low", "d", "")]
+    with pytest.warns(UserWarning, match="rule [BC] is left out"):
+        got = detect.scan_rules(files_of(a="gets(x);\nend\nend"), pack).collect()
+    assert sorted((r.rule_id, r.line) for r in got) == [("N", 1), ("Z", 3)]
