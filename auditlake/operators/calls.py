@@ -78,7 +78,7 @@ def _statement_calls(statement: Column, head: str, needed: Sequence[str] | None)
     """Calls of one marked statement. ``needed`` names the functions whose arguments and
     guards are wanted (default all)."""
 
-    def one(pieces: Column, piece: Column, i: Column) -> Column:
+    def one(pieces: Column, guard: Column, piece: Column, i: Column) -> Column:
         prefix = pieces[0]
         just_before = F.element_at(pieces, i + 1)
         keyword = F.regexp_extract(piece, r"^(new|delete)\b", 1)
@@ -92,7 +92,7 @@ def _statement_calls(statement: Column, head: str, needed: Sequence[str] | None)
         args = split_args(F.regexp_replace(tail, rf"^(?:{head})", ""))
         wanted = (keyword == "") if needed is None else name.isin(
             [n for n in needed if n in dims.FORMAT_FUNCTIONS])
-        guarded = F.exists(F.slice(pieces, 1, i + 1), lambda p: F.rlike(p, F.lit(r"\b(?:if|else)\b")))
+        guarded = (guard > 0) & (guard <= i + 1)
         ask_guard = F.lit(True) if needed is None else name.isin(
             [n for n in needed if n in dims.ALLOC_FUNCTIONS])
         declared = (F.when(keyword == "", (i == 0) & F.rlike(prefix, F.lit(DECLARATION_PREFIX))
@@ -106,9 +106,17 @@ def _statement_calls(statement: Column, head: str, needed: Sequence[str] | None)
             F.when(wanted, args).otherwise(F.array().cast("array<string>")).alias("args"),
             F.when(i == 0, prefix).otherwise(F.lit("")).alias("stmt_prefix"))
 
-    return let(F.split(statement, MARK, -1), lambda pieces: F.transform(
+    def guard_of(pieces: Column) -> Column:
+        """Number of the first piece with an if or else, found once for all calls; 0 for none."""
+        first = F.array_position(F.transform(pieces, lambda p: F.rlike(p, F.lit(r"\b(?:if|else)\b"))), F.lit(True))
+        if needed is None:
+            return first
+        asking = "|".join(n for n in needed if n in dims.ALLOC_FUNCTIONS)
+        return F.when(F.rlike(statement, F.lit(rf"\b(?:{asking})\b")), first).otherwise(F.lit(0).cast("bigint"))
+
+    return let(F.split(statement, MARK, -1), lambda pieces: let(guard_of(pieces), lambda guard: F.transform(
         F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))),
-        lambda piece, i: one(pieces, piece, i)))
+        lambda piece, i: one(pieces, guard, piece, i))))
 
 
 FLAGGED_NAMES = sorted({s.function_name for s in dims.SIGNATURES} - {"new", "delete"})

@@ -97,3 +97,9 @@ def test_rule_dialects(spark, files_of):
     with pytest.warns(UserWarning, match="rule [BC] is left out"):
         got = detect.scan_rules(files_of(a="gets(x);\nend\nend"), pack).collect()
     assert sorted((r.rule_id, r.line) for r in got) == [("N", 1), ("Z", 3)]
+
+
+def test_many_calls_in_one_statement(spark, files_of):
+    code = "int f() { x = " + " + ".join(f"g{i}(a, {i})" for i in range(20_000)) + "; }"
+    got = calls.call_sites(files_of(a=code)).selectExpr("count(*) AS n", "max(size(args)) AS a").first()
+    assert got.n == 20_000 and got.a == 2
