@@ -2,7 +2,7 @@
 
 ``code_files`` turns each row of ``orders`` into one C or C++ file whose statements are
 picked by the row's keys; ``text_files`` takes every document and page as a file, whole.
-The same derivation exists as DuckDB SQL in ``oracle.py``.
+The same derivation exists as DuckDB SQL in ``oracle_base.py``.
 """
 
 from __future__ import annotations
@@ -79,8 +79,20 @@ def spread(df: DataFrame) -> DataFrame:
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """file_path, language, code, project"""
-    o = spread(load(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("o"), F.col("o_custkey").alias("c")))
+    return files_of(spread(order_keys(load(spark, sf_dir, "orders"))))
+
+
+def order_keys(orders: DataFrame) -> DataFrame:
+    return orders.select(F.col("o_orderkey").alias("o"), F.col("o_custkey").alias("c"))
+
+
+def arriving_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``code_files`` as a stream over the files of the orders table."""
+    reader = spark.readStream.schema(load(spark, sf_dir, "orders").schema).option("pathGlobFilter", "orders.parquet")
+    return files_of(order_keys(reader.parquet(sf_dir)))
+
+
+def files_of(o: DataFrame) -> DataFrame:
     templates = F.array(*[F.lit(s) for s in STATEMENTS])
 
     def statement(j):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import dims, scalars, text
 from ..operators import analyze, assist, calls, detect, merge, patch, report
-from ..session import materialized
+from ..session import checkpoint_folder, materialized
 from ..sources import files as src
 from ..sources import sinks
+from ..streaming.scan_stream import scan_stream
 from . import corpus
 from .oracle_base import CTES, HEAD_RE2, REPORT_RANK, SEVERITY_RANK, hits_of, lit, newlines, q, rewrite
 
@@ -352,6 +354,16 @@ add("merge_findings", lambda s, d: shown(merge.merge_findings(raw(s, d), _dim(s)
 add("join_cwe", lambda s, d: shown(merge.enrich(merge.merge_findings(raw(s, d), _dim(s)))),
     f"SELECT {FINDING_SQL} FROM findings")
 add("scan_findings", lambda s, d: shown(found(s, d)), f"SELECT {FINDING_SQL} FROM findings")
+
+
+def _streamed(s, d):
+    """The findings a stream has written once it has seen all files of the table."""
+    folder = f"{checkpoint_folder(s).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    scan_stream(corpus.arriving_files(s, d), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return shown(s.read.parquet(f"{folder}/out"))
+
+
+add("scan_stream", _streamed, f"SELECT {FINDING_SQL} FROM findings")
 add("report_order", lambda s, d: shown(merge.report_order(found(s, d))),
     f"SELECT {FINDING_SQL} FROM findings ORDER BY {REPORT_RANK}, file_path, line, seq")
 add("min_severity", lambda s, d: shown(found(s, d, "high")),

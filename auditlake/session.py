@@ -8,23 +8,24 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; only a local session may get its own."""
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; only a local session may get its own."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
+        return sc._jsc.sc().getCheckpointDir().get()
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not folder:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="auditlake-checkpoint-")
     sc.setCheckpointDir(folder)
+    return folder
 
 
 def materialized(df: DataFrame) -> DataFrame:
     """Write a result once that several later steps read, so the texts are scanned once.
     The copy lies in the shared checkpoint folder and survives lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -41,7 +42,7 @@ def numbered(df: DataFrame, keys: list[Column], name: str) -> DataFrame:
     Rows are range-partitioned and checkpointed, so the partition number each row carries is
     fixed; positions are the row number inside a range plus the sizes of the ranges before.
     Only one row per range goes into the offset table."""
-    ensure_checkpoint_dir(df.sparkSession)
+    checkpoint_folder(df.sparkSession)
     keyed = df.select("*", *[k.alias(f"_k{i}") for i, k in enumerate(keys)])
     names = [f"_k{i}" for i in range(len(keys))]
     ranged = keyed.repartitionByRange(*names).withColumn("_range", F.spark_partition_id()).checkpoint()
