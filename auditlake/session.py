@@ -39,16 +39,17 @@ def sized_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str
 def numbered(df: DataFrame, keys: list[Column], name: str) -> DataFrame:
     """1-based position of each row in the total order ``keys``, without sorting on one task.
 
-    Rows are range-partitioned and checkpointed, so the partition number each row carries is
-    fixed; positions are the row number inside a range plus the sizes of the ranges before.
-    Only one row per range goes into the offset table."""
+    Rows travel once: they are range-partitioned, sorted in their range and checkpointed, which
+    fixes the range and the place of each row in it. A position is that place plus the sizes of
+    the ranges before; only one row per range goes into the offset table."""
     checkpoint_folder(df.sparkSession)
-    keyed = df.select("*", *[k.alias(f"_k{i}") for i, k in enumerate(keys)])
     names = [f"_k{i}" for i in range(len(keys))]
-    ranged = keyed.repartitionByRange(*names).withColumn("_range", F.spark_partition_id()).checkpoint()
+    keyed = df.select("*", *[k.alias(n) for n, k in zip(names, keys)])
+    ranged = keyed.repartitionByRange(*names).sortWithinPartitions(*names).drop(*names).withColumn(
+        "_range", F.spark_partition_id()).checkpoint()
     sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
     offsets = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_offset"))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*names))
-    return (ranged.join(F.broadcast(offsets), "_range")
-            .withColumn(name, (inside + F.col("_offset")).cast("bigint"))
-            .drop("_range", "_offset", *names))
+    # the lower 33 bits count the rows of a partition
+    placed = ranged.withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    return (placed.join(F.broadcast(offsets), "_range")
+            .withColumn(name, (F.col("_place") + F.col("_offset") + 1).cast("bigint")).drop("_range", "_place", "_offset"))
