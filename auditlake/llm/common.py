@@ -6,11 +6,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Where set, ``stored`` notes what it writes there, for ``forget``.
+WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -37,10 +40,19 @@ def stored(df: DataFrame) -> DataFrame:
     neither repeat the work nor depend on the executors that did it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
+    if (made := WRITTEN.get()) is not None:
+        made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that ``stored`` wrote and that nothing reads any more."""
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z, nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

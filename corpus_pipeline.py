@@ -3,13 +3,30 @@
 from __future__ import annotations
 
 import uuid
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.llm import line_dedup, minhash, mixing, quality, sentencepiece_bpe
-from auditlake.llm.common import load, shared_folder
+from auditlake.llm.common import WRITTEN, forget, load, shared_folder
+
+
+LEFT: list[str] = []  # intermediate tables of the last stage
+
+
+def stage(f):
+    """A stage drops the intermediate tables of the stage before, whose result is written by now."""
+    @wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        forget(spark, LEFT)
+        token = WRITTEN.set(LEFT)
+        try:
+            return f(spark, docs, sf_dir)
+        finally:
+            WRITTEN.reset(token)
+    return run
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -17,22 +34,26 @@ def counted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
+@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; from the others the lines above the host's limit."""
     return counted(quality.clean(docs))
 
 
+@stage
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that stand elsewhere before go from the text."""
     return counted(line_dedup.dedup(docs).select(*docs.columns))
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one with the smallest id."""
     kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi").select(*docs.columns)
 
 
+@stage
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     taken = mixing.mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("_taken")).agg(F.max("copies").alias("_copies"))
@@ -40,6 +61,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return joined.withColumn("_turn", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
 
 
+@stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens and ids of every document."""
     tokens = sentencepiece_bpe.encode(docs.select("doc_id", "lang", "source", "text"),
