@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, find, running_sum, stored
@@ -37,11 +37,11 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def valid(vectors: DataFrame, vector: str) -> DataFrame:
-    """Rows whose vector has finite components only and not just zeros."""
-    v = F.col(vector).cast("array<double>")
-    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return vectors.where(F.coalesce((F.size(v) > 0) & fine & F.exists(v, lambda x: x != 0), F.lit(False)))
+def fine(vector: str) -> Column:
+    """Whether a vector has finite components only and not just zeros."""
+    v = F.col(vector)
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce((F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
 def rotation(classes: DataFrame) -> np.ndarray:
@@ -119,7 +119,7 @@ def compared(pairs: DataFrame, blocks: DataFrame, least: float, reach: float) ->
         for batch in batches:
             for k in range(batch.num_rows):
                 row = [batch.column(c).slice(k, 1) for c in range(8)]
-                ids, ns = [[np.asarray(row[c].flatten()) for c in (x, x + 1)] for x in (0, 4)], None
+                ids = [[np.asarray(row[c].flatten()) for c in (x, x + 1)] for x in (0, 4)]
                 us, ps = [], []
                 for x in (0, 4):
                     size = len(row[x].flatten())
@@ -168,7 +168,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, id: str = "vec_id",
         raise ValueError("the least cosine must lie in (0, 1]")
     slim = vectors.select(vectors[id].cast("bigint").alias("vec_id"), vectors[vector].cast("array<double>").alias("v"),
                           vectors[label].alias("label"))
-    usable = valid(slim.where("vec_id IS NOT NULL AND label IS NOT NULL"), "v")
+    usable = slim.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & fine("v"))
     classes = stored(usable.groupBy("label", "v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n")))
     reach = 2 - 2 * least + 1e-9
     parts = []
@@ -183,21 +183,12 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, id: str = "vec_id",
     label_of = (classes.join(counts, "vec_id", "left").join(nodes.withColumnRenamed("node", "vec_id"), "vec_id", "left")
                 .select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"),
                         F.coalesce("component", "vec_id").alias("component")))
-    # null for rows that link with nothing, so that they match no class
-    ok = valid(slim, "v").where("vec_id IS NOT NULL AND label IS NOT NULL")
-    rest = slim.where("vec_id IS NULL OR label IS NULL").unionByName(
-        slim.where("vec_id IS NOT NULL AND label IS NOT NULL").where(~_fine("v")))
-    linked = ok.join(label_of, ["label", "v"]).select("vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"))
+    rest = slim.where(F.col("vec_id").isNull() | F.col("label").isNull() | ~fine("v"))
+    linked = usable.join(label_of, ["label", "v"]).select("vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"))
     alone = rest.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
-def _fine(vector: str):
-    v = F.col(vector)
-    return F.coalesce((F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-                      & F.exists(v, lambda x: x != 0), F.lit(False))
-
-
 def _links(classes: DataFrame, least: float, reach: float) -> DataFrame:
     axes = rotation(classes)
     boxed = min(BOXED, len(axes))
