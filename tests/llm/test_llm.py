@@ -142,6 +142,22 @@ def test_line_dedup(spark, empty):
             assert r.text == texts[r.doc_id] and r.removed_words == 0
 
 
+@pytest.mark.parametrize("n, words", [(1, 60), (2, 25), (3, 20), (4, 13), (6, 9)])
+def test_line_dedup_short_passages(spark, n, words):
+    passage = "".join(f"{sentence(words, 9000 + 10 * n + k)}. " for k in range(n))
+    texts = {i: own_lines(i) + passage + own_lines(i + 50) for i in range(12)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for r in line_dedup.dedup(df).collect():
+        assert r.text == (texts[0] if r.doc_id == 0 else texts[r.doc_id].replace(passage, ""))
+        assert (r.removed_lines, r.removed_words) == ((0, 0) if r.doc_id == 0 else (n, n * words))
+
+
+def test_line_dedup_inner_repeats(spark):
+    line = f"{sentence(10, 77)}.\n"
+    df = spark.createDataFrame([(1, own_lines(1) + line * 8 + own_lines(2))], "doc_id long, text string")
+    assert line_dedup.dedup(df).first().text == own_lines(1) + line * 2 + own_lines(2)
+
+
 def test_lines_join_to_the_text(spark, docs):
     df = docs.where("text is not null").select("text", F.array_join(line_dedup.lines_of(F.col("text")), "").alias("again"))
     assert df.where("text != again").count() == 0
