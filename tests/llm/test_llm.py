@@ -158,6 +158,20 @@ def test_line_dedup_inner_repeats(spark):
     assert line_dedup.dedup(df).first().text == own_lines(1) + line * 2 + own_lines(2)
 
 
+def test_line_dedup_mostly_repeated(spark):
+    parts = ["".join(f"{sentence(10, 7000 + 10 * p + k)}. " for k in range(10)) for p in range(4)]
+    own = {i: "".join(f"{sentence(10, 8000 + 10 * i + k)}. " for k in range(4)) for i in range(12)}
+    texts = {i: own_lines(i) + parts[i] for i in range(4)}  # first places
+    texts |= {4: own[4] + parts[0], 5: parts[1] + own[5] + parts[2], 6: parts[0] + parts[1] + parts[2] + parts[3]}
+    page = own_lines(70) + parts[3]
+    texts |= {7: page, 8: page, 9: page.replace("alpha", "omega", 1)}  # copies of one that holds a passage
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.dedup(df).collect()}
+    assert all(got[i] == texts[i] for i in range(4))
+    assert got[4] == own[4] and got[5] == own[5] and got[6] == ""
+    assert got[7] == got[8] == own_lines(70) and got[9] == texts[9].replace(parts[3], "")
+
+
 def test_lines_join_to_the_text(spark, docs):
     df = docs.where("text is not null").select("text", F.array_join(line_dedup.lines_of(F.col("text")), "").alias("again"))
     assert df.where("text != again").count() == 0
