@@ -3,13 +3,15 @@
 The automaton holds the words of all licence templates. A text is streamed through it, which
 gives at each word the longest match that ends there and where it stands in the templates. Long
 matches in the same order in text and template, with small gaps, are chained; a chain that
-covers enough of a template labels the text and gives the span.
+covers enough of a template labels the text and gives the span. Short notices, which differ in a
+word or two, label only where they stand whole.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Mapping
+from collections import Counter
+from collections.abc import Iterator, Mapping, Sequence
 from itertools import repeat
 
 import numpy as np
@@ -49,6 +51,39 @@ your option) any later version.""",
     "cc-by-nc": "Licensed under CC BY-NC 4.0.",
     "cc-by-4": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "copyright-reserved": "Copyright. All rights reserved.",
+    "mpl": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL
+was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy,
+modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary,
+for any purpose, commercial or non-commercial, and by any means.""",
+}
+# Short notices as the licences' publishers and SPDX write them, without what stands before "under".
+NOTICES = {
+    "mit": ["under the MIT License", "under an MIT License", "under the terms of the MIT License", "under MIT License",
+            "SPDX-License-Identifier: MIT", "opensource.org/licenses/MIT"],
+    "bsd": ["under the BSD License", "under a BSD-style license", "governed by a BSD-style license", "under the BSD 2-Clause License",
+            "under the BSD 3-Clause License", "under the 2-Clause BSD License", "under the 3-Clause BSD License", "under the New BSD License",
+            "under the Simplified BSD License", "SPDX-License-Identifier: BSD-2-Clause", "SPDX-License-Identifier: BSD-3-Clause"],
+    "apache": ["the Apache License, Version 2.0", "the Apache License 2.0", "the Apache License v2.0", "the Apache 2.0 License",
+               "under the Apache License", "under Apache License 2.0", "under Apache 2.0", "SPDX-License-Identifier: Apache-2.0",
+               "www.apache.org/licenses/LICENSE-2.0"],
+    "isc": ["under the ISC License", "under the terms of the ISC License", "SPDX-License-Identifier: ISC"],
+    "gpl-3": ["under the GNU General Public License, version 3", "under the GNU General Public License v3", "under the GNU GPL version 3",
+              "under the GNU GPLv3", "under the GPLv3", "under the GPL, version 3", "under the terms of the GNU General Public License, version 3",
+              "SPDX-License-Identifier: GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-or-later"],
+    "gpl-2": ["under the GNU General Public License, version 2", "under the GNU General Public License v2", "under the GNU GPL version 2",
+              "under the GNU GPLv2", "under the GPLv2", "under the GPL, version 2", "under the terms of the GNU General Public License, version 2",
+              "SPDX-License-Identifier: GPL-2.0-only", "SPDX-License-Identifier: GPL-2.0-or-later"],
+    "lgpl": ["under the GNU Lesser General Public License", "under the terms of the GNU Lesser General Public License", "under the LGPL"],
+    "agpl": ["under the GNU Affero General Public License", "under the terms of the GNU Affero General Public License", "under the AGPL"],
+    "mpl": ["the Mozilla Public License, v. 2.0", "the Mozilla Public License, version 2.0", "the Mozilla Public License 2.0",
+            "under the Mozilla Public License", "under the MPL 2.0", "SPDX-License-Identifier: MPL-2.0"],
+    "unlicense": ["under the Unlicense", "released into the public domain", "SPDX-License-Identifier: Unlicense"],
+    "cc-by-4": ["under a Creative Commons Attribution 4.0", "under the Creative Commons Attribution 4.0", "under CC BY 4.0",
+                "SPDX-License-Identifier: CC-BY-4.0", "creativecommons.org/licenses/by/4.0"],
+    "cc-by-sa": ["Creative Commons Attribution-ShareAlike", "under CC BY-SA", "SPDX-License-Identifier: CC-BY-SA-4.0"],
+    "cc-by-nc": ["Creative Commons Attribution-NonCommercial", "under CC BY-NC", "SPDX-License-Identifier: CC-BY-NC-4.0"],
+    "cc0": ["under CC0", "under the CC0", "CC0 1.0 Universal", "SPDX-License-Identifier: CC0-1.0"],
 }
 
 
@@ -123,7 +158,7 @@ class Automaton:
 
 
 class Scanner:
-    def __init__(self, templates: Mapping[str, str], phrases: Mapping[str, str]):
+    def __init__(self, templates: Mapping[str, str], phrases: Mapping[str, str], notices: Mapping[str, Sequence[str]]):
         self.labels = list(templates)
         texts = [words_of(t) for t in templates.values()]
         parts = [(words_of(p), label) for p, label in phrases.items()]
@@ -135,6 +170,14 @@ class Scanner:
         self.sizes = [len(c) for c in coded]
         self.phrases = [([self.code[w] for w in p], label) for p, label in parts if p]
         self.automaton = Automaton(coded)
+        self.top = len(self.code)  # words behind it stand in notices only
+        short = [([self.code.setdefault(w, len(self.code) + 1) for w in words_of(n)], label) for label, ns in notices.items() for n in ns]
+        common = Counter(c for n, _ in short for c in n)
+        self.notices: dict[int, list[tuple[list[int], int, str]]] = {}  # by the word that the fewest of them hold
+        for n, label in short:
+            if n:
+                at = min(range(len(n)), key=lambda i: common[n[i]])
+                self.notices.setdefault(n[at], []).append((n, at, label))
 
     def scan(self, text: str | None) -> tuple[int, list[tuple[str, bool, int, int, float]]]:
         """Number of words, and label, whether it is a phrase, first word, word behind and covered
@@ -149,7 +192,7 @@ class Scanner:
                 for j in range(1, len(phrase)):
                     hit &= codes[j:j + n] == phrase[j]
                 found += [(label, True, i, i + len(phrase), 1.0) for i in np.nonzero(hit)[0].tolist()]
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], codes > 0, [0]])))
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], (codes > 0) & (codes <= self.top), [0]])))
         chains: dict[int, list] = {}
         for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
             if b - a < LEAST:
@@ -157,9 +200,22 @@ class Scanner:
             for end, length, state in self.automaton.matches(codes[a:b].tolist()):
                 for k, place in self.automaton.ends[state]:
                     chains.setdefault(k, []).append((a + end - length, a + end, place - length, place))
-        for k, matches in chains.items():
-            found += self._chained(k, sorted(matches))
-        return len(words), sorted(found)
+        spans = [s for k, matches in chains.items() for s in self._chained(k, sorted(matches))]
+        for c in self.notices.keys() & set(codes.tolist()):
+            for i in np.flatnonzero(codes == c).tolist():
+                for notice, at, label in self.notices[c]:
+                    if i >= at and codes[i - at:i - at + len(notice)].tolist() == notice:
+                        spans.append((label, False, i - at, i - at + len(notice), 1.0))
+        return len(words), sorted(found + self._outer(spans))
+
+    @staticmethod
+    def _outer(spans: list[tuple[str, bool, int, int, float]]) -> list[tuple[str, bool, int, int, float]]:
+        """Without spans that lie inside another of the same label."""
+        out: list[tuple[str, bool, int, int, float]] = []
+        for s in sorted(spans, key=lambda s: (s[0], s[2], -s[3], -s[4])):
+            if not out or out[-1][0] != s[0] or s[3] > out[-1][3]:
+                out.append(s)
+        return out
 
     def _chained(self, k: int, matches: list[tuple[int, int, int, int]]) -> list[tuple[str, bool, int, int, float]]:
         """Best chains of one template: in order on both sides, at most GAP words apart."""
@@ -187,13 +243,14 @@ SCHEMA = pa.list_(pa.struct([("label", pa.string()), ("phrase", pa.bool_()), ("f
 
 
 def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, phrases: Mapping[str, str] = PHRASES,
-         id: str = "doc_id", text: str = "text") -> DataFrame:
+         notices: Mapping[str, Sequence[str]] = NOTICES, id: str = "doc_id",
+         text: str = "text") -> DataFrame:
     """doc_id, n_words and spans of each row: label, phrase (of the base scan), first word, word behind
-    and score (covered share of the template, 1 for a phrase).
+    and score (covered share of the template, 1 for a phrase or a short notice).
 
     A null or empty text has no words and no spans. A template shorter than four words is found by
-    nothing. Rows are independent; other columns are not read."""
-    scanner = Scanner(templates, phrases)  # bounded by the templates
+    nothing; a notice may be of any length. A span inside another of its label is left out. Rows are independent; other columns are not read."""
+    scanner = Scanner(templates, phrases, notices)  # bounded by the fixed values
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

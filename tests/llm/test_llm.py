@@ -344,6 +344,18 @@ def test_licenses(spark, docs, empty):
     assert licenses.scan(empty).collect() == []
 
 
+def test_license_notices(spark):
+    own = {"Licensed under the Apache License, Version 2.0.": "apache", "Released under the MIT License.": "mit",
+           "Licensed under the Apache License, Version 2.0. The code": "apache", "governed by a BSD-style license": "bsd",
+           "under the GNU General Public License, version 2": "gpl-2", "Mozilla Public License": None, "the MIT campus": None,
+           licenses.TEMPLATES["mpl"]: "mpl", licenses.TEMPLATES["unlicense"]: "unlicense"}
+    texts = list((own | {n: label for label, ns in licenses.NOTICES.items() for n in ns}).items())
+    df = spark.createDataFrame([(i, f"Some text. {t} more text") for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    for r in licenses.scan(df).collect():
+        text, label = texts[r.doc_id]
+        assert {s.label for s in r.spans if not s.phrase} == ({label} if label else set()), text
+
+
 # 10
 def brute_near(texts, k, percent):
     sets = {}
