@@ -10,6 +10,7 @@ word or two, label only where they stand whole.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Mapping, Sequence
 from itertools import repeat
@@ -220,7 +221,7 @@ class Scanner:
     def _chained(self, k: int, matches: list[tuple[int, int, int, int]]) -> list[tuple[str, bool, int, int, float]]:
         """Best chains of one template: in order on both sides, at most GAP words apart."""
         best: list[tuple[int, int]] = []  # words covered up to here, first word
-        low, out, tops = 0, [], []
+        low, out, tops, taken = 0, [], [], []  # taken: by place
         for i, (a, b, s, e) in enumerate(matches):
             covered, first = b - a, a
             while low < i and matches[low][0] + self.sizes[k] + GAP < a:
@@ -234,7 +235,9 @@ class Scanner:
             if covered >= COVERED * self.sizes[k]:
                 tops.append((first, b, min(1.0, covered / self.sizes[k])))
         for first, end, share in sorted(tops, key=lambda t: (-t[2], t[0])):
-            if all(end <= a or first >= b for _, _, a, b, _ in out[-64:]):
+            at = bisect_left(taken, (first, end))
+            if (at == 0 or taken[at - 1][1] <= first) and (at == len(taken) or taken[at][0] >= end):
+                taken.insert(at, (first, end))
                 out.append((self.labels[k], False, first, end, share))
         return out
 

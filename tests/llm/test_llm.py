@@ -344,6 +344,14 @@ def test_licenses(spark, docs, empty):
     assert licenses.scan(empty).collect() == []
 
 
+def test_license_chains_do_not_overlap():
+    scanner = licenses.Scanner({"t": " ".join(f"w{i}" for i in range(20))}, {}, {})
+    # 100 copies of the template, each found in two parts, the first of which covers enough alone
+    matches = sorted(m for c in range(0, 10_000, 100) for m in ((c, c + 14, 0, 14), (c + 15, c + 20, 15, 20)))
+    spans = sorted((a, b) for _, _, a, b, _ in scanner._chained(0, matches))
+    assert spans == [(c, c + 20) for c in range(0, 10_000, 100)]
+
+
 def test_license_notices(spark):
     own = {"Licensed under the Apache License, Version 2.0.": "apache", "Released under the MIT License.": "mit",
            "Licensed under the Apache License, Version 2.0. The code": "apache", "governed by a BSD-style license": "bsd",
