@@ -8,13 +8,18 @@ import uuid
 from collections.abc import Iterator, Sequence
 from contextvars import ContextVar
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Where set, ``stored`` notes what it writes there, for ``forget``.
 WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
 WORD = r"[^\x20\x09-\x0D]+"
+#: A term is a longest run of ASCII letters, digits and all that is not ASCII.
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 SPACES = " \t\n\x0b\x0c\r"
 
 
@@ -88,6 +93,16 @@ def running_sum(df: DataFrame, groups: Sequence[str], order: Sequence[str], valu
             .drop("_range", "_r", "_offset", *[f"_g{i}" for i in range(len(groups))]))
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into runs of rows with about ``most`` bytes of the text column each, one row at least."""
+    size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64) + 16)
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def find(parent: dict, x):
     root = x
     while (up := parent.get(root, root)) != root:

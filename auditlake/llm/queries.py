@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (chat, embedding_join, language_id, licenses, line_dedup, minhash, mixing, quality, sentencepiece_bpe,
-               url_filter)
+from . import (chat, embedding_join, language_id, lexical_search, licenses, line_dedup, minhash, mixing, quality,
+               sentencepiece_bpe, token_alignment, toxicity, url_filter)
 from .common import load
 
 QUERIES: dict = {}
@@ -214,3 +214,39 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", F.size(base).cast("bigint").alias("n_base"), F.array_min(starts).alias("first_word"),
                         F.array_max(starts).alias("last_word"), names(base).alias("base_labels"), names(F.col("spans")).alias("labels"),
                         F.coalesce(F.array_max(F.transform("spans", lambda s: s["score"])), F.lit(0.0)).alias("score"))
+
+
+@query
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), k=50)
+
+
+ORACLES["op11_search"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+s AS (SELECT count(*) FILTER (len(w) > 0) AS n, sum(len(w))::BIGINT AS l FROM d),
+p AS (SELECT doc_id, len(w) AS own, unnest(w) AS term FROM d),
+t AS (SELECT doc_id, own, term, count(*) AS tf FROM p GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+x AS (SELECT item_id, doc_id, sum(floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT
+                                  * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * own * n) // l))))::BIGINT AS score
+      FROM i JOIN t USING (term) JOIN f USING (term), s GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM x WHERE score > 0)
+SELECT item_id, place::INT AS rank, doc_id, score FROM r WHERE place <= 50"""
+
+
+@query
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = load(spark, sf_dir, "labels")
+    held = lambda id: F.coalesce(F.crc32(F.col(id).cast("string")) % 3 == 1, F.lit(False))
+    model = toxicity.fit(docs, labels.where(~held("doc_id")), label="toxic")
+    return toxicity.score(docs, model, limit=0.7).select("doc_id", held("doc_id").alias("held_out"), "score", "predicted")
+
+
+@query
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.cross_align(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                       public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"))
