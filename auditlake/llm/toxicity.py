@@ -129,11 +129,19 @@ def sample(labels: DataFrame, id: str, label: str, rows: int = SAMPLE) -> DataFr
     return known.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else known
 
 
+def _once(texts: pa.Array, usual: np.ndarray) -> np.ndarray:
+    """Sorted (row << BITS) + coordinate of the features of a column, each once a row."""
+    found, of = features(*words(texts))
+    inside = usual[found]
+    return np.unique((of[inside] << BITS) | found[inside])
+
+
 def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many rows of a partition hold each coordinate."""
-    total = np.zeros(1 << BITS, np.int64)
+    """How many texts of a partition hold each coordinate."""
+    total, all = np.zeros(1 << BITS, np.int64), np.ones(1 << BITS, bool)
     for batch in batches:
-        total += np.bincount(batch.column(0).flatten().to_numpy(), minlength=1 << BITS)
+        for part in slices(batch, 0, SLICE):
+            total += np.bincount(_once(part.column(0), all) & ((1 << BITS) - 1), minlength=1 << BITS)
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["at", "n"])
 
@@ -149,36 +157,23 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     taught = docs.where(docs[text].isNotNull()).select(docs[id].alias("_id"), docs[text].cast("string").alias("_text")).join(
         F.broadcast(chosen), "_id").select("_id", "_text", "_label")
 
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, 1, SLICE):
-                found, of = features(*words(part.column(1)))
-                once = np.unique((of << BITS) | found)
-                ends = np.searchsorted(once, np.arange(part.num_rows + 1) << BITS)
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((once & ((1 << BITS) - 1)).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists, part.column(2)], ["_id", "at", "label"])
-
-    kind = dict(taught.dtypes)["_id"]
-    known = stored(taught.mapInArrow(extract, f"_id {kind}, at array<int>, label double"))
-    shards = max(1, math.ceil(known.count() / SHARD))
+    shards = max(1, math.ceil(chosen.count() / SHARD))
     usual = np.zeros(1 << BITS, bool)
-    held = known.select("at").mapInArrow(_holders, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n"))
+    held = taught.select("_text").mapInArrow(_holders, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n"))
     usual[held.where(F.col("n") >= SEEN).select("at").toArrow()["at"].to_numpy()] = True  # at most one row for each coordinate
     kept = spark.sparkContext.broadcast(np.packbits(usual))
 
-    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         usual = np.unpackbits(kept.value).astype(bool)
         for batch in batches:
-            lists = batch.column(0)
-            ends = lists.offsets.to_numpy().astype(np.int64)
-            values = lists.values.to_numpy()[ends[0]:ends[-1]]
-            inside = usual[values]
-            ends = np.append(0, np.cumsum(inside))[ends - ends[0]]
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values[inside])), *batch.columns[1:]],
-                                             ["at", "label", "turn"])
-
-    turn = known.select("at", "label", F.xxhash64(F.lit("turn"), "_id", "at", "label").alias("turn"))
-    dealt = stored(turn.mapInArrow(thin, "at array<int>, label double, turn bigint").repartition(shards, "turn")
+            for part in slices(batch, 0, SLICE):
+                once = _once(part.column(0), usual)
+                ends = np.searchsorted(once, np.arange(part.num_rows + 1) << BITS)
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((once & ((1 << BITS) - 1)).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([lists, *part.columns[1:]], ["at", "label", "turn"])
+
+    turn = taught.select("_text", F.col("_label").alias("label"), F.xxhash64(F.lit("turn"), "_id", "_text", "_label").alias("turn"))
+    dealt = stored(turn.mapInArrow(extract, "at array<int>, label double, turn bigint").repartition(shards, "turn")
                    .sortWithinPartitions("turn").select("at", "label"))
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     for _ in range(ROUNDS):
