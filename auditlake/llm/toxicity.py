@@ -23,9 +23,9 @@ from .common import TERM_BYTES, slices, stored
 
 BITS = 20  # 2^BITS coordinates bound the weights
 SAMPLE = 60_000  # labelled rows to learn from, about; fewer are all taken
-SHARD = 4_000  # rows of a shard
+SHARD = 15_000  # rows of a shard
 ROUNDS = 10
-SEEN = 3  # documents of the sample that must hold a feature
+SEEN, SHARE = 3, 5_000  # a feature must stand in so many texts of the sample, and in one of SHARE
 ALPHA, BETA, L1, L2 = 3.0, 1.0, 8.0, 0.1
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -157,10 +157,11 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     taught = docs.where(docs[text].isNotNull()).select(docs[id].alias("_id"), docs[text].cast("string").alias("_text")).join(
         F.broadcast(chosen), "_id").select("_id", "_text", "_label")
 
-    shards = max(1, math.ceil(chosen.count() / SHARD))
+    labelled = chosen.count()
+    shards = max(1, math.ceil(labelled / SHARD))
     usual = np.zeros(1 << BITS, bool)
     held = taught.select("_text").mapInArrow(_holders, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n"))
-    usual[held.where(F.col("n") >= SEEN).select("at").toArrow()["at"].to_numpy()] = True  # at most one row for each coordinate
+    usual[held.where(F.col("n") >= max(SEEN, labelled // SHARE)).select("at").toArrow()["at"].to_numpy()] = True  # at most one row for each coordinate
     kept = spark.sparkContext.broadcast(np.packbits(usual))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,14 +190,20 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
                 for where, label in zip(batch.column(0), batch.column(1).to_pylist()):
                     _learn(z, n, np.append(where.values.to_numpy(), 1 << BITS), label)
             new = np.flatnonzero(n != old_n)
-            yield pa.RecordBatch.from_arrays([pa.array(new.astype(np.int32)), pa.array(z[new] - old_z[new]), pa.array(n[new] - old_n[new])],
-                                             ["at", "z", "n"])
-
-        step = dealt.mapInArrow(learn, "at int, z double, n double").groupBy("at").agg(F.avg("z").alias("z"), F.avg("n").alias("n"))
-        moved = step.toArrow()  # at most one row for each coordinate
-        at = moved["at"].to_numpy()
-        z[at] += moved["z"].to_numpy()
-        n[at] += moved["n"].to_numpy()
+            lists = [pa.array([v], pa.list_(t)) for v, t in ((new.astype(np.int32), pa.int32()), (z[new] - old_z[new], pa.float64()),
+                                                             (n[new] - old_n[new], pa.float64()))]
+            yield pa.RecordBatch.from_arrays(lists, ["at", "z", "n"])
+
+        # one row for each shard, and SAMPLE / SHARD bounds these
+        moved, touched = [np.zeros((1 << BITS) + 1) for _ in range(2)], np.zeros((1 << BITS) + 1)
+        for at, zs, ns in zip(*(c.combine_chunks() for c in dealt.mapInArrow(learn, "at array<int>, z array<double>, n array<double>").toArrow().columns)):
+            at = at.values.to_numpy()
+            touched[at] += 1
+            moved[0][at] += zs.values.to_numpy()
+            moved[1][at] += ns.values.to_numpy()
+        hit = touched > 0
+        z[hit] += moved[0][hit] / touched[hit]
+        n[hit] += moved[1][hit] / touched[hit]
         shared.unpersist()
     w = weights(z, n)
     at = np.flatnonzero(w[:-1])
