@@ -1,7 +1,7 @@
 """Dimension data: rules, call signatures, weakness names, severities, fix functions.
 
-Every table here is small and fixed (or, for a user's rule pack, bounded by
-``MAX_DIM_ROWS``), so joining it with ``broadcast`` never depends on the data size.
+Every table here is made on the driver from lists of the program, so joining it with
+``broadcast`` never depends on the data size.
 """
 
 from __future__ import annotations
@@ -9,11 +9,11 @@ from __future__ import annotations
 import json
 import re
 import warnings
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from typing import NamedTuple
 
 from pyspark.errors import IllegalArgumentException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------
@@ -54,6 +54,7 @@ FUNCTION_KEYWORDS = ["if", "else", "for", "while", "switch", "do", "return", "si
 
 TEMPLATE_FUNCTIONS = ["gets", "strcpy", "strcat", "sprintf", "vsprintf", "scanf", "wcscpy"]
 
+DETECTOR_RANK = {"ast": 3, "tree-sitter": 3, "regex": 1}
 RULE_CONFIDENCE = 0.6
 SAME_SPOT_BOOST = 0.15
 REPEAT_BOOST = 0.05
@@ -194,7 +195,7 @@ ALLOC_FUNCTIONS = ["malloc", "calloc", "realloc"]
 # Tables built from the values above.
 # ---------------------------------------------------------------------------
 
-MAX_DIM_ROWS = 4096  # a dimension index takes 12 bits of a finding's order key
+REPORT_RANK = {k: 4 - v for k, v in SEVERITY_RANK.items()}
 
 
 class Signature(NamedTuple):
@@ -301,36 +302,60 @@ def usable_rules(rules: Iterable[Rule]) -> list[Rule]:
             warnings.warn(f"rule {r.id} is left out: {str(problem).splitlines()[0]}", stacklevel=2)
             continue
         kept.append(r)
-    if len(kept) + len(SIGNATURES) > MAX_DIM_ROWS:
-        raise ValueError(f"a rule pack may hold at most {MAX_DIM_ROWS - len(SIGNATURES)} rules")
     return kept
 
 
+def _rows_literal(rows: Sequence[dict], schema: str) -> Column:
+    """Rows as an array of structs that folds to one literal."""
+    return F.from_json(F.lit(json.dumps(list(rows))), f"array<struct<{schema}>>")
+
+
 def table(spark: SparkSession, rows: Sequence[dict], schema: str) -> DataFrame:
     """A small fixed table as one folded literal; it plans as a local relation."""
-    parsed = F.from_json(F.lit(json.dumps(list(rows))), f"array<struct<{schema}>>")
-    return spark.range(0, 1, 1, 1).select(F.inline(parsed))
-
-
-def finding_dim(spark: SparkSession, rules: Sequence[Rule] = tuple(RULES)) -> DataFrame:
-    """One row per rule and per signature, keyed by the index a finding carries."""
-    rows = []
-    for i, r in enumerate(rules):
-        rows.append(dict(
-            dim_idx=i, rule_id=r.id, vuln_type=r.name, cwe_id=r.cwe_id, severity=r.severity,
-            confidence=RULE_CONFIDENCE, description=r.description,
-            recommendation=r.recommendation, detector="regex", category=r.category,
-            canon_cwe=canonical_cwe(r.cwe_id), type_key=type_key(r.name)))
-    for j, s in enumerate(SIGNATURES):
-        rows.append(dict(
-            dim_idx=len(rules) + j, rule_id=s.rule_id, vuln_type=s.vuln_type, cwe_id=s.cwe_id,
-            severity=s.severity, confidence=s.confidence, description=s.description,
-            recommendation=s.recommendation, detector=s.detector, category=s.family,
-            canon_cwe=canonical_cwe(s.cwe_id), type_key=type_key(s.vuln_type)))
-    return table(spark, rows, (
-        "dim_idx:bigint,rule_id:string,vuln_type:string,cwe_id:string,severity:string,"
-        "confidence:double,description:string,recommendation:string,detector:string,"
-        "category:string,canon_cwe:string,type_key:string"))
+    return spark.range(0, 1, 1, 1).select(F.inline(_rows_literal(rows, schema)))
+
+
+class Detector(NamedTuple):
+    """A user's own detector. ``hits`` takes the columns of a file's text and language and gives its
+    findings in order, as array<struct<line int, rule int, function_name string>>; ``rule`` is a
+    place in ``rules``. Names other than the built-in ones rank below them in merging."""
+
+    name: str
+    rules: Sequence[Rule]
+    hits: Callable[[Column, Column], Column]
+    confidence: float = RULE_CONFIDENCE
+
+
+FINDING_DIM = ("dim_idx:bigint,rule_id:string,vuln_type:string,cwe_id:string,severity:string,"
+               "confidence:double,description:string,recommendation:string,detector:string,"
+               "category:string,canon_cwe:string,type_key:string")
+
+
+def finding_rows(rules: Sequence[Rule] = tuple(RULES), detectors: Sequence[Detector] = ()) -> list[dict]:
+    """One row per rule and per signature, and per rule of further detectors, keyed by the index
+    that a finding carries."""
+    of_rule = lambda r, detector, confidence: dict(
+        rule_id=r.id, vuln_type=r.name, cwe_id=r.cwe_id, severity=r.severity, confidence=confidence,
+        description=r.description, recommendation=r.recommendation, detector=detector, category=r.category)
+    rows = [of_rule(r, "regex", RULE_CONFIDENCE) for r in rules]
+    rows += [dict(rule_id=s.rule_id, vuln_type=s.vuln_type, cwe_id=s.cwe_id, severity=s.severity, confidence=s.confidence,
+                  description=s.description, recommendation=s.recommendation, detector=s.detector, category=s.family)
+             for s in SIGNATURES]
+    rows += [of_rule(r, d.name, d.confidence) for d in detectors for r in d.rules]
+    return [dict(row, dim_idx=i, canon_cwe=canonical_cwe(row["cwe_id"]), type_key=type_key(row["vuln_type"])) for i, row in enumerate(rows)]
+
+
+def finding_dim(spark: SparkSession, rules: Sequence[Rule] = tuple(RULES), detectors: Sequence[Detector] = ()) -> DataFrame:
+    return table(spark, finding_rows(rules, detectors), FINDING_DIM)
+
+
+def finding_literal(rules: Sequence[Rule] = tuple(RULES), detectors: Sequence[Detector] = ()) -> Column:
+    """``finding_dim`` as an array in the order of ``dim_idx``, with the weakness name, the detector's
+    rank and the severity's ranks, for lookups inside a row."""
+    rows = [dict(row, cwe_name=CWE_NAMES.get(row["cwe_id"]), rank=DETECTOR_RANK.get(row["detector"], 0),
+                 severity_rank=SEVERITY_RANK.get(row["severity"], 0), report_rank=REPORT_RANK.get(row["severity"], 9))
+            for row in finding_rows(rules, detectors)]
+    return _rows_literal(rows, FINDING_DIM + ",cwe_name:string,rank:int,severity_rank:int,report_rank:int")
 
 
 def rule_dim(spark: SparkSession, rules: Sequence[Rule] = tuple(RULES)) -> DataFrame:

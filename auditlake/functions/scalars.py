@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .dims import CWE_ALIASES, CWE_NAMES, CWE_URL_PREFIX, SEVERITY_RANK
+from .dims import CWE_ALIASES, CWE_NAMES, CWE_URL_PREFIX, DETECTOR_RANK, REPORT_RANK, SEVERITY_RANK
 
 
 def lookup(key: Column, mapping: dict, default: Column) -> Column:
@@ -25,7 +25,7 @@ def severity_rank(severity: Column) -> Column:
 
 def report_rank(severity: Column) -> Column:
     """critical 0 .. info 4, unknown 9: the order of a report."""
-    return lookup(severity, {k: 4 - v for k, v in SEVERITY_RANK.items()}, F.lit(9))
+    return lookup(severity, REPORT_RANK, F.lit(9))
 
 
 def confidence_percent(confidence: Column) -> Column:
@@ -56,4 +56,4 @@ def function_key(function_name: Column, vuln_type: Column) -> Column:
 
 def detector_rank(detector: Column) -> Column:
     """Trust in a detector; a merged name such as "ast+regex" ranks 0."""
-    return F.when(detector.isin("ast", "tree-sitter"), 3).when(detector == "regex", 1).otherwise(0)
+    return lookup(detector, DETECTOR_RANK, F.lit(0))

@@ -137,6 +137,12 @@ def _window(code: Column, line: Column, window: int) -> tuple[Column, Column, Co
     return lines, start, end
 
 
+def window_of(lines: Column, line: Column, window: int = 5) -> Column:
+    """The lines around one of them, from lines that are cut already."""
+    start, end = F.greatest(F.lit(0), line - window - 1), F.least(F.size(lines), line + window)
+    return F.array_join(F.slice(lines, start + 1, F.greatest(F.lit(0), end - start)), "\n")
+
+
 def raw_snippet(code: Column, line: Column, window: int = 5) -> Column:
     lines, start, end = _window(code, line, window)
     return F.array_join(F.slice(lines, start + 1, F.greatest(F.lit(0), end - start)), "\n")
@@ -156,7 +162,12 @@ def includes(code: Column) -> Column:
 
 
 def functions(code: Column) -> Column:
-    return F.filter(F.regexp_extract_all(strip_comments(code), F.lit(FUNCTION_HEAD), F.lit(1)),
+    return functions_of(strip_comments(code))
+
+
+def functions_of(plain: Column) -> Column:
+    """Function heads of a text without comments."""
+    return F.filter(F.regexp_extract_all(plain, F.lit(FUNCTION_HEAD), F.lit(1)),
                     lambda x: ~x.isin(FUNCTION_KEYWORDS))
 
 
@@ -165,7 +176,12 @@ def total_lines(code: Column) -> Column:
 
 
 def code_lines(code: Column) -> Column:
-    return F.size(F.filter(lines_of(strip_comments(code)), lambda s: F.rlike(s, F.lit(rf"[^{SPACE}]"))))
+    return code_lines_of(strip_comments(code))
+
+
+def code_lines_of(plain: Column) -> Column:
+    """Lines of a text without comments that hold more than white space."""
+    return F.size(F.filter(lines_of(plain), lambda s: F.rlike(s, F.lit(rf"[^{SPACE}]"))))
 
 
 def unmark(text: Column) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dims, scalars, text
+from ..functions.arrays import running, runs
 from ..session import sized_join
 
 SEVERITIES = ["critical", "high", "medium", "low", "info"]
@@ -19,15 +22,19 @@ def severity_counts(findings: DataFrame) -> DataFrame:
         *[F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES])
 
 
-def summary(files: DataFrame, merged: DataFrame, findings: DataFrame, target: str,
-            seconds: float = 0.0) -> DataFrame:
-    """One row; the three inputs are counted apart and met as scalar subqueries. ``merged``
-    are the findings before the severity filter: merging keeps every file that had any."""
-    return severity_counts(findings).select(
-        F.lit(target).alias("target"),
-        files.agg(F.count("*")).scalar().alias("files_scanned"),
-        files_with_issues(merged).scalar().alias("files_with_issues"),
-        "total_findings", *SEVERITIES, F.bround(F.lit(float(seconds)), 2).alias("duration_seconds"))
+def summary(files: DataFrame, target: str, minimum: str = "low", seconds: float = 0.0) -> DataFrame:
+    """One row, in one pass over files that carry all their findings: merging keeps every file that
+    had any, and the threshold counts for the severities only."""
+    least = dims.SEVERITY_RANK.get(minimum, 0)
+    shown = [s for s in SEVERITIES if dims.SEVERITY_RANK[s] >= least]
+    number = lambda s: F.size(F.filter("findings", lambda f: f["severity"] == s)).cast("bigint")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    counts = [F.count("*").alias("files_scanned"), F.count_if(F.size("findings") > 0).alias("files_with_issues")]
+    kept = F.size(F.filter("findings", lambda f: scalars.severity_rank(f["severity"]) >= least)).cast("bigint")
+    slim = files.select(kept.alias("total_findings"), "findings", *[(number(s) if s in shown else F.lit(0)).alias(s) for s in SEVERITIES])
+    return slim.agg(*counts, *[total(c).alias(c) for c in ("total_findings", *SEVERITIES)]).select(
+        F.lit(target).alias("target"), "files_scanned", "files_with_issues", "total_findings", *SEVERITIES,
+        F.bround(F.lit(float(seconds)), 2).alias("duration_seconds"))
 
 
 def severity_percent(findings: DataFrame) -> DataFrame:
@@ -37,16 +44,14 @@ def severity_percent(findings: DataFrame) -> DataFrame:
                       for s in SEVERITIES[:4]])
 
 
-def by_file(findings: DataFrame) -> DataFrame:
-    """Findings of each file in report order (a merged file holds few)."""
-    key = F.struct(scalars.report_rank(F.col("severity")).alias("r"), "line", "seq",
-                   "rule_id", "cwe_id", "severity")
-    return findings.groupBy("file_path").agg(F.array_sort(F.collect_list(key)).alias("findings"))
+def by_file(files: DataFrame) -> DataFrame:
+    """The files with findings, each with its own in report order."""
+    return files.select("file_path", "findings").where(F.size("findings") > 0)
 
 
-def files_with_issues(raw: DataFrame) -> DataFrame:
-    """Number of files with at least one unmerged finding."""
-    return raw.agg(F.count_distinct("file_path").alias("files_with_issues"))
+def files_with_issues(files: DataFrame) -> DataFrame:
+    """Number of files with at least one finding."""
+    return files.agg(F.count_if(F.size("findings") > 0).alias("files_with_issues"))
 
 
 def distinct_files(findings: DataFrame) -> DataFrame:
@@ -55,10 +60,11 @@ def distinct_files(findings: DataFrame) -> DataFrame:
 
 def file_metadata(files: DataFrame) -> DataFrame:
     code = F.col("code")
-    return files.select(
+    plain = files.select("file_path", "language", "code", text.strip_comments(code).alias("_plain"))
+    return plain.select(
         F.col("file_path").alias("path"), text.total_lines(code).cast("bigint").alias("total_lines"),
-        text.code_lines(code).cast("bigint").alias("code_lines"), "language",
-        text.includes(code).alias("includes"), text.functions(code).alias("functions"))
+        text.code_lines_of(F.col("_plain")).cast("bigint").alias("code_lines"), "language",
+        text.includes(code).alias("includes"), text.functions_of(F.col("_plain")).alias("functions"))
 
 
 def project_info(files: DataFrame) -> DataFrame:
@@ -80,17 +86,15 @@ def top_files(files: DataFrame, n: int = 50) -> DataFrame:
                     F.size("includes").cast("bigint").alias("includes"))
 
 
-def bench_file(files: DataFrame, findings: DataFrame) -> DataFrame:
-    """Score each file against the label its name carries."""
-    counts = findings.groupBy("file_path").agg(
-        F.count("*").alias("n"), F.count_if(F.col("severity").isin(SIGNIFICANT)).alias("hits"))
+def bench_file(files: DataFrame) -> DataFrame:
+    """Score each file, which carries its findings, against the label that its name carries."""
     name = text.basename(F.col("file_path"))
     safe = F.lit(False)
     for mark in SAFE_MARKS:
         safe = safe | F.contains(F.lower(name), F.lit(mark))
-    hit = F.coalesce("hits", F.lit(0)) > 0
-    return sized_join(files.select("file_path"), counts, "file_path", "left").select(
-        "file_path", name.alias("file_name"), F.coalesce("n", F.lit(0)).alias("findings"),
+    hit = F.exists("findings", lambda f: f["severity"].isin(SIGNIFICANT))
+    return files.select(
+        "file_path", name.alias("file_name"), F.size("findings").cast("bigint").alias("findings"),
         F.when(safe, "safe").otherwise("vuln").alias("expected"),
         F.when(safe & ~hit, "TN").when(safe, "FP").when(hit, "TP").otherwise("FN").alias("result"))
 
@@ -107,10 +111,11 @@ def bench_metrics(scores: DataFrame) -> DataFrame:
 
 
 def rules_by_category(findings: DataFrame) -> DataFrame:
-    """All rules per category and severity, with the raw hits they have in the data."""
+    """All rules per category and severity, with the raw hits they have in the data, from hits
+    counted by rule (``n``)."""
     rules = dims.rule_dim(findings.sparkSession).groupBy("category", "severity").agg(
         F.count("*").alias("rules"))
-    hits = findings.groupBy("category", "severity").agg(F.count("*").alias("hits"))
+    hits = findings.groupBy("category", "severity").agg(F.sum("n").alias("hits"))
     return rules.join(F.broadcast(hits), ["category", "severity"], "left").withColumn(
         "hits", F.coalesce("hits", F.lit(0)))
 
@@ -156,12 +161,37 @@ def search_rules(rules: DataFrame, query: str = "") -> DataFrame:
 
 # ---------------------------------------------------------------- joins
 
-def with_snippet(findings: DataFrame, files: DataFrame, window: int = 5) -> DataFrame:
-    """Finding and the text around it; an unknown file has an empty text."""
-    code = files.select("file_path", F.col("code").alias("_code"))
-    joined = sized_join(findings, code, "file_path", "left")
-    return joined.withColumn("snippet", text.raw_snippet(
-        F.coalesce("_code", F.lit("")), F.col("line"), window)).drop("_code")
+def attach(files: DataFrame, findings: DataFrame) -> DataFrame:
+    """Files with the findings of a table, as ``merge.scan_files`` gives them: findings that went
+    through other hands come back to their texts, so this is the one step that shuffles texts."""
+    order = F.struct(scalars.report_rank(F.col("severity")).alias("rank"), "line", "seq",
+                     *[c for c in findings.columns if c not in ("file_path", "rank", "line", "seq")])
+    grouped = findings.groupBy("file_path").agg(F.sort_array(F.collect_list(order)).alias("findings"))
+    joined = sized_join(files.drop("findings"), grouped, "file_path", "left")
+    return joined.withColumn("findings", F.coalesce("findings", F.array().cast(grouped.schema["findings"].dataType)))
+
+
+def held(files: DataFrame, findings: DataFrame | None) -> DataFrame:
+    return files if findings is None else attach(files, findings)
+
+
+def extended(f: Column, fields: Sequence[str], **more: Column) -> Column:
+    """A finding of a file's row with further fields."""
+    return F.struct(*[f[c].alias(c) for c in fields if c not in more], *[v.alias(k) for k, v in more.items()])
+
+
+def fields_of(files: DataFrame, column: str = "findings") -> list[str]:
+    return files.schema[column].dataType.elementType.fieldNames()
+
+
+def with_snippet(files: DataFrame, window: int = 5) -> DataFrame:
+    """The findings of files that carry them, each with the text around it; a file without a text
+    gives empty ones."""
+    fields = fields_of(files)
+    lines = text.lines_of(F.coalesce("code", F.lit("")))
+    snipped = text.let(lines, lambda ls: F.transform("findings", lambda f: extended(
+        f, fields, snippet=text.window_of(ls, f["line"], window))))
+    return files.select("file_path", F.inline(snipped)).drop("rank")
 
 
 def fix_state(findings: DataFrame, fixed: DataFrame) -> DataFrame:
@@ -193,34 +223,30 @@ def seq_pairs(files: DataFrame, first: str, second: str, max_gap: int, same_argu
     """For each match of ``first``, the nearest match of ``second`` that starts at most
     ``max_gap`` characters after its end (with ``same_argument``, of equal group 1).
 
-    Each text is cut once. Offsets are running sums over match lengths and the partner is a
-    running "last seen" in descending position order, so no pair beyond the nearest is ever
-    built. Windows are keyed by text, so copies of a path do not mix."""
+    Inside the file's row: the matches of both patterns are sorted by argument and place and cut
+    behind each match of ``second``; all firsts of a piece have that one as their partner."""
     code = F.col("_code")
 
     def located(pattern: str, kind: int) -> Column:
         p = "(?dU)" + pattern
         hits = F.regexp_extract_all(code, F.lit(p), F.lit(0))
-        args = F.regexp_extract_all(code, F.lit(p), F.lit(1)) if same_argument else F.transform(
-            hits, lambda m: F.lit(""))
-        ends = F.zip_with(F.slice(F.split(code, p, -1), 1, F.size(hits)), hits, lambda g, h: F.struct(
-            F.length(g).alias("gap"), F.length(h).alias("len")))
-        numbered = F.transform(ends, lambda x, i: F.struct(x["gap"].alias("gap"), x["len"].alias("len"), i.alias("k")))
-        return F.zip_with(numbered, args, lambda x, a: F.struct(
-            F.lit(kind).alias("kind"), x["k"].alias("k"), x["gap"].alias("gap"), x["len"].alias("len"), a.alias("arg")))
-
-    prepared = files.select("file_path", text.neutralize(F.col("code")).alias("_code"),
-                            F.monotonically_increasing_id().alias("_text"))
-    hits = prepared.select("file_path", "_text", F.inline(F.concat(located(first, 0), located(second, 1))))
-    along = Window.partitionBy("_text", "kind").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum((F.col("gap") + F.col("len")).cast("bigint")).over(along)
-    both = hits.withColumn("end", end).withColumn("start", F.col("end") - F.col("len"))
-    # position of a first match is its end; at one position seconds come before firsts
-    spot = both.withColumn("pos", F.when(F.col("kind") == 0, F.col("end")).otherwise(F.col("start")))
-    back = Window.partitionBy("_text", "arg").orderBy(F.desc("pos"), F.desc("kind")).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    partner = F.last(F.when(F.col("kind") == 1, F.col("start")), ignorenulls=True).over(back)
-    return (spot.withColumn("second_start", partner)
-            .where((F.col("kind") == 0) & (F.col("second_start") - F.col("end") <= max_gap))
-            .select("file_path", "arg", F.col("start").alias("first_start"),
-                    F.col("end").alias("first_end"), "second_start"))
+        args = F.regexp_extract_all(code, F.lit(p), F.lit(1)) if same_argument else F.transform(hits, lambda m: F.lit(""))
+        steps = F.zip_with(F.slice(F.split(code, p, -1), 1, F.size(hits)), hits, lambda g, h: (F.length(g) + F.length(h)).cast("bigint"))
+        spot = lambda end, h: F.struct(end.alias("end"), F.length(h).cast("bigint").alias("len"))
+        found = text.let(hits, lambda hs: F.zip_with(running(steps), hs, spot))
+        # a first counts from its end; at one place firsts come before seconds
+        return F.zip_with(found, args, lambda x, a: F.struct(
+            a.alias("arg"), (x["end"] if kind == 0 else x["end"] - x["len"]).alias("pos"), F.lit(kind).alias("kind"),
+            (x["end"] - x["len"]).alias("start"), x["end"].alias("end")))
+
+    def pairs(run: Column) -> Column:
+        last = F.element_at(run, -1)
+        near = F.filter(run, lambda x: (x["kind"] == 0) & (last["start"] - x["end"] <= max_gap))
+        return F.when(last["kind"] == 1, F.transform(near, lambda x: F.struct(
+            x["arg"].alias("arg"), x["start"].alias("first_start"), x["end"].alias("first_end"), last["start"].alias("second_start")))).otherwise(
+            F.array().cast("array<struct<arg:string,first_start:bigint,first_end:bigint,second_start:bigint>>"))
+
+    prepared = files.select("file_path", text.neutralize(F.col("code")).alias("_code"))
+    hits = prepared.select("file_path", F.concat(located(first, 0), located(second, 1)).alias("_hits"))
+    whole = runs(F.sort_array("_hits"), lambda before, x: (before["kind"] == 1) | (before["arg"] != x["arg"]), pairs)
+    return hits.select("file_path", F.inline(F.flatten(whole)))

@@ -3,14 +3,14 @@ answers are a table, or the result of a function the user passes to ``answer``."
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..session import sized_join
-from .analyze import with_snippet
+from .analyze import extended, fields_of, held, with_snippet
 
 # ---------------------------------------------------------------------------
 # The prompt texts.
@@ -96,32 +96,44 @@ def finding_id() -> Column:
     return F.concat_ws(":", "file_path", "rule_id", "function_name", "line")
 
 
-def _prompts(findings: DataFrame, files: DataFrame, template: str) -> DataFrame:
-    return with_snippet(findings, files).select(
-        finding_id().alias("finding_id"), fill(template).alias("prompt"))
+def id_in(f: Column, fields: Sequence[str]) -> Column:
+    """``finding_id`` of a finding in its file's row, whose line may have moved."""
+    line = f["original_line" if "original_line" in fields else "line"]
+    return F.concat_ws(":", F.col("file_path"), f["rule_id"], f["function_name"], line.cast("string"))
 
 
-def reason_prompts(findings: DataFrame, files: DataFrame) -> DataFrame:
-    return _prompts(findings, files, REASON_PROMPT)
+def reason_prompts(files: DataFrame, findings: DataFrame | None = None) -> DataFrame:
+    """finding_id and prompt of each finding of files that carry theirs (or of a table)."""
+    return with_snippet(held(files, findings)).select(finding_id().alias("finding_id"), fill(REASON_PROMPT).alias("prompt"))
 
 
-def fix_prompts(findings: DataFrame, files: DataFrame) -> DataFrame:
-    return _prompts(findings, files, FIX_PROMPT)
+def batch_prompts(files: DataFrame, findings: DataFrame | None = None) -> DataFrame:
+    """One prompt per file with all its issues in line order over the whole text."""
+    issue = lambda f: F.struct(f["line"].alias("line"), f["seq"].alias("seq"), F.concat(
+        F.lit("  - Line "), f["line"].cast("string"), F.lit(": "), f["vuln_type"], F.lit(" ("), f["cwe_id"], F.lit(")")).alias("text"))
+    issues = F.array_join(F.transform(F.sort_array(F.transform("findings", issue)), lambda i: i["text"]), "\n")
+    asked = held(files, findings).where((F.size("findings") > 0) & F.col("code").isNotNull())
+    return asked.select("file_path", F.col("code").alias("snippet"), issues.alias("issues")).select(
+        "file_path", fill(BATCH_PROMPT).alias("prompt"))
 
 
-def snippet_prompts(findings: DataFrame, files: DataFrame) -> DataFrame:
-    return _prompts(findings, files, SNIPPET_PROMPT)
+def with_answers(files: DataFrame, response: Callable[[Column, Column], Column], name: str = "response") -> DataFrame:
+    """The findings of each file with a further field, ``response(finding_id, finding)``."""
+    fields = fields_of(files)
+    return files.withColumn("findings", F.transform("findings", lambda f: extended(f, fields, **{name: response(id_in(f, fields), f)})))
 
 
-def batch_prompts(findings: DataFrame, files: DataFrame) -> DataFrame:
-    """One prompt per file with all its issues in line order over the whole text."""
-    issue = F.struct("line", "seq", F.concat(
-        F.lit("  - Line "), F.col("line").cast("string"), F.lit(": "), F.col("vuln_type"),
-        F.lit(" ("), F.col("cwe_id"), F.lit(")")).alias("text"))
-    issues = findings.groupBy("file_path").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(issue)), lambda i: i["text"]), "\n").alias("issues"))
-    return sized_join(files.select("file_path", F.col("code").alias("snippet")), issues, "file_path").select(
-        "file_path", fill(BATCH_PROMPT).alias("prompt"))
+def join_answers(files: DataFrame, answers: DataFrame, name: str = "response") -> DataFrame:
+    """The same from a table of ``finding_id`` and ``response`` (the greatest of several): answers
+    are gathered by file and meet the texts on their path, the one step that shuffles texts."""
+    answers = answers.groupBy("finding_id").agg(F.max(name).alias(name))
+    fields = fields_of(files)
+    key = files.select("file_path", F.explode("findings").alias("f")).select("file_path", id_in(F.col("f"), fields).alias("finding_id")).distinct()
+    by_file = sized_join(answers.select("finding_id", F.col(name).alias("_a")).where("_a IS NOT NULL"), key, "finding_id").groupBy(
+        "file_path").agg(F.map_from_entries(F.collect_list(F.struct("finding_id", "_a"))).alias("_answers"))
+    joined = sized_join(files, by_file, "file_path", "left")
+    return joined.withColumn("findings", F.transform("findings", lambda f: extended(
+        f, fields, **{name: F.try_element_at("_answers", id_in(f, fields))}))).drop("_answers")
 
 
 def answer(prompts: DataFrame, generate: Callable[[str], str], key: str = "finding_id") -> DataFrame:

@@ -2,8 +2,9 @@
 
 The text is lexed by one pattern (comments, raw strings, strings, char literals), cut
 into statements at ``; { }`` and every call head is located in place, so one narrow pass
-gives name, receiver, line, statement prefix and arguments. Argument lists are cut at any
-nesting depth by folding the innermost parentheses away step by step.
+gives name, receiver, line, statement prefix and arguments. A statement is cut at its brackets
+and commas once; sorted by depth and place, each bracket is followed by its own commas and its
+partner, which gives the arguments of all calls at any nesting depth.
 
 Known differences from a full parse: a file that a parser would reject still reports;
 ``name name(`` at the start of a statement counts as a declaration; macros are not expanded.
@@ -17,8 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dims, text
+from ..functions.arrays import running, runs
 from ..functions.text import MARK, let
-from .detect import CALL_BAND, order_key
+from ..session import remembered
+from .detect import HIT, hit_rows
 
 # Fixed patterns of the C/C++ lexical grammar.
 RAW_STRING = r'\bR"([^\s()\\"]{0,16}+)\([\s\S]*?\)\1"'
@@ -53,32 +56,72 @@ def head_pattern(names: Sequence[str] | None) -> str:
     return rf"({CHAIN})\b({which})\s*+\(|\b(?:new|delete)\b"
 
 
-def split_args(after: Column) -> Column:
-    """Top-level arguments of the text that follows a call's opening parenthesis."""
+def all_args(statement: Column) -> Column:
+    """Top-level arguments of every mark of a statement, in order: those of the bracket that opens
+    right behind its head, null where none does. A bracket without a partner ends with the statement."""
 
-    def fold(t: Column) -> Column:
-        comma = F.regexp_replace(t, r"\(([^(),]*+),", "($1\u0007")
-        return F.regexp_replace(comma, r"\(([^(),]*+)\)", "\u0005$1\u0006")
+    def brackets(pieces: Column) -> Column:
+        sign = F.transform(pieces, lambda p: F.when(F.startswith(p, F.lit("(")), 1).when(
+            F.startswith(p, F.lit(")")), -1).otherwise(0).cast("bigint"))
 
-    def go(t: Column) -> Column:
-        steps = text.count_char(t, "(") + text.count_char(t, ",")
-        flat = F.when(F.contains(t, F.lit("(")), F.aggregate(
-            F.array_repeat(F.lit(0), steps), t,
-            lambda acc, _: F.when(F.contains(acc, F.lit("(")), fold(acc)).otherwise(acc),
-        )).otherwise(t)
-        return let(F.substring_index(flat, ")", 1), lambda inner: F.when(
-            text.strip(inner) == "", F.array().cast("array<string>")).otherwise(F.transform(
-                F.split(inner, ",", -1),
-                lambda a: text.strip(F.translate(a, "\u0005\u0006\u0007", "(),")))))
+        def with_depth(depth: Column) -> Column:
+            # a closing bracket belongs to the level it ends
+            tokens = F.filter(F.transform(pieces, lambda p, i: F.struct(
+                (F.get(depth, i) + F.when(F.startswith(p, F.lit(")")), 1).otherwise(0)).alias("level"), i.alias("at"),
+                F.substring(p, 1, 1).alias("token"))), lambda t: t["token"].isin("(", ")", ","))
 
-    return let(after, go)
+            def one(run: Column) -> Column:
+                upto = F.transform(F.filter(run, lambda t: t["token"] != "("), lambda t: t["at"])
+                ends = F.when(F.exists(run, lambda t: t["token"] == ")"), upto).otherwise(F.array_append(upto, F.size(pieces)))
+                return F.struct(F.get(run, F.lit(0))["at"].alias("open"), ends.alias("ends"))
 
+            # a run goes from an opening bracket to its partner
+            cut = lambda before, t: (t["token"] == "(") | (before["token"] == ")") | (t["level"] != before["level"])
+            opened = F.filter(runs(F.sort_array(tokens), cut, lambda r: F.struct(F.get(r, F.lit(0))["token"].alias("token"), one(r).alias("r"))),
+                              lambda r: r["token"] == "(")
+            return let(F.sort_array(F.transform(opened, lambda r: r["r"])), taken)
 
-def _statement_calls(statement: Column, head: str, needed: Sequence[str] | None) -> Column:
+        def between(a: Column, b: Column) -> Column:
+            whole = F.array_join(F.slice(pieces, a + 1, b - a), "")
+            return text.strip(F.replace(F.substring(whole, 2, F.length(whole)), F.lit(MARK), F.lit("")))
+
+        def args(bracket: Column) -> Column:
+            ends = bracket["ends"]
+            whole = F.transform(ends, lambda e, i: between(F.when(i == 0, bracket["open"]).otherwise(F.get(ends, i - 1)), e))
+            return let(whole, lambda w: F.when((F.size(w) == 1) & (F.get(w, F.lit(0)) == ""), F.array().cast("array<string>")).otherwise(w))
+
+        def taken(opened: Column) -> Column:
+            number = running(F.transform(sign, lambda x: F.greatest(x, F.lit(0).cast("bigint"))))
+            marks = lambda p: text.count_char(p, MARK)
+            none = F.lit(None).cast("array<string>")
+            return let(number, lambda n: F.flatten(F.transform(pieces, lambda p, i: F.when(F.contains(p, F.lit(MARK)), F.concat(
+                F.array_repeat(none, marks(p) - 1),
+                F.array(F.when(F.startswith(F.get(pieces, i + 1), F.lit("(")), args(F.get(opened, (F.get(n, i)).cast("int")))))))
+                .otherwise(F.array().cast("array<array<string>>")))))
+
+        return let(running(sign), with_depth)
+
+    return let(F.split(statement, r"(?=[(),])", -1), brackets)
+
+
+def nested(piece: Column) -> Column:
+    """Whether the arguments behind this head hold a bracket or go on behind another head."""
+    return F.contains(piece, F.lit("(")) & (~F.contains(piece, F.lit(")")) | (
+        text.count_char(F.substring_index(piece, ")", 1), "(") > 1))
+
+
+def flat_args(piece: Column) -> Column:
+    """The arguments behind a head that holds no further bracket."""
+    inner = F.substring_index(piece, ")", 1)
+    return let(F.substring(inner, F.length(F.substring_index(inner, "(", 1)) + 2, F.length(inner)), lambda t: F.when(
+        text.strip(t) == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(t, ",", -1), text.strip)))
+
+
+def _statement_calls(statement: Column, needed: Sequence[str] | None) -> Column:
     """Calls of one marked statement. ``needed`` names the functions whose arguments and
     guards are wanted (default all)."""
 
-    def one(pieces: Column, guard: Column, piece: Column, i: Column) -> Column:
+    def one(pieces: Column, guard: Column, found: Column, piece: Column, i: Column) -> Column:
         prefix = pieces[0]
         just_before = F.element_at(pieces, i + 1)
         keyword = F.regexp_extract(piece, r"^(new|delete)\b", 1)
@@ -86,12 +129,8 @@ def _statement_calls(statement: Column, head: str, needed: Sequence[str] | None)
         name = F.when(keyword != "", keyword).otherwise(F.regexp_extract(head_text, r"(\w+)\s*$", 1))
         chain = F.when((keyword == "") & F.rlike(head_text, F.lit("[.>:]")), F.regexp_replace(
             F.regexp_extract(head_text, r"(?s)^(.*\W)\w+\s*$", 1), r"\s+", "")).otherwise("")
-        closed = text.count_char(piece, ")") >= text.count_char(piece, "(")
-        tail = F.when(closed, piece).otherwise(
-            F.array_join(F.slice(pieces, i + 2, F.size(pieces)), ""))
-        args = split_args(F.regexp_replace(tail, rf"^(?:{head})", ""))
-        wanted = (keyword == "") if needed is None else name.isin(
-            [n for n in needed if n in dims.FORMAT_FUNCTIONS])
+        wanted = (keyword == "") if needed is None else name.isin([n for n in needed if n in dims.FORMAT_FUNCTIONS])
+        none = F.array().cast("array<string>")
         guarded = (guard > 0) & (guard <= i + 1)
         ask_guard = F.lit(True) if needed is None else name.isin(
             [n for n in needed if n in dims.ALLOC_FUNCTIONS])
@@ -103,7 +142,7 @@ def _statement_calls(statement: Column, head: str, needed: Sequence[str] | None)
             name.alias("function_name"), chain.alias("receiver"),
             F.when(ask_guard, guarded).otherwise(False).alias("guarded"),
             F.contains(piece, F.lit("nothrow")).alias("nothrow"), declared.alias("declared"),
-            F.when(wanted, args).otherwise(F.array().cast("array<string>")).alias("args"),
+            F.when(wanted, F.when(nested(piece), F.get(found, i)).otherwise(flat_args(piece))).otherwise(none).alias("args"),
             F.when(i == 0, prefix).otherwise(F.lit("")).alias("stmt_prefix"))
 
     def guard_of(pieces: Column) -> Column:
@@ -114,9 +153,20 @@ def _statement_calls(statement: Column, head: str, needed: Sequence[str] | None)
         asking = "|".join(n for n in needed if n in dims.ALLOC_FUNCTIONS)
         return F.when(F.rlike(statement, F.lit(rf"\b(?:{asking})\b")), first).otherwise(F.lit(0).cast("bigint"))
 
-    return let(F.split(statement, MARK, -1), lambda pieces: let(guard_of(pieces), lambda guard: F.transform(
+    def found(pieces: Column) -> Column:
+        """Arguments of all marks, where some are nested."""
+        def asks(p: Column) -> Column:
+            out = F.lit(needed is None)
+            for n in needed or ():
+                if n in dims.FORMAT_FUNCTIONS:
+                    out = out | F.contains(p, F.lit(n))
+            return nested(p) & out
+
+        return F.when(F.exists(pieces, asks), all_args(statement))
+
+    return let(F.split(statement, MARK, -1), lambda pieces: let(F.struct(guard_of(pieces).alias("g"), found(pieces).alias("f")), lambda x: F.transform(
         F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))),
-        lambda piece, i: one(pieces, guard, piece, i))))
+        lambda piece, i: one(pieces, x["g"], x["f"], piece, i))))
 
 
 FLAGGED_NAMES = sorted({s.function_name for s in dims.SIGNATURES} - {"new", "delete"})
@@ -129,16 +179,25 @@ def marked_calls(names: Sequence[str] | None = tuple(FLAGGED_NAMES)) -> Column:
 
 def _call_array(marked: Column, names: Sequence[str] | None) -> Column:
     """Array of struct(line, c) of all calls in the marked text, in text order."""
-    head = head_pattern(names)
     calls = F.flatten(F.transform(
         F.filter(F.split(marked, r"[;{}]", -1), lambda s: F.contains(s, F.lit(MARK))),
-        lambda s: _statement_calls(s, head, names)))
+        lambda s: _statement_calls(s, names)))
     return F.zip_with(text.mark_lines(marked), calls, lambda line, c: F.struct(line.alias("line"), c.alias("c")))
 
 
+@remembered
+def _marked(names: tuple[str, ...] | None) -> Column:
+    return marked_calls(names)
+
+
+@remembered
+def _array(names: tuple[str, ...] | None) -> Column:
+    return _call_array(F.col("_m"), names)
+
+
 def _calls(files: DataFrame, names: Sequence[str] | None) -> DataFrame:
-    marked = files.select("file_path", "language", marked_calls(names).alias("_m"))
-    return (marked.select("file_path", "language", F.posexplode(_call_array(F.col("_m"), names)).alias("seq", "r"))
+    marked = files.select("file_path", "language", _marked(names and tuple(names)).alias("_m"))
+    return (marked.select("file_path", "language", F.posexplode(_array(names and tuple(names))).alias("seq", "r"))
             .select("file_path", "language", F.col("seq").cast("bigint"), "r.line", "r.c.*"))
 
 
@@ -187,7 +246,7 @@ def flagged_calls(marked: Column, language: Column, dim_base: int) -> Column:
     """``matched_calls`` inside a row, as an array in the shape of the rule hits: the signature
     table is so small that its key lookup is a literal map. ``marked`` is ``marked_calls`` text."""
     index = F.create_map(*[x for j, s in enumerate(dims.SIGNATURES) for x in (
-        F.lit(f"{s.language}:{s.function_name}"), F.lit(dim_base + j).cast("bigint"))])
+        F.lit(f"{s.language}:{s.function_name}"), F.lit(dim_base + j))])
     family_of: dict[str, str] = {s.function_name: s.family for s in dims.SIGNATURES}
     fmt_of = {s.function_name: s.fmt_arg for s in dims.SIGNATURES if s.fmt_arg >= 0}
 
@@ -199,23 +258,20 @@ def flagged_calls(marked: Column, language: Column, dim_base: int) -> Column:
 
     wanted = {k: v for k, v in family_of.items() if v in ("format", "alloc", "new")}
 
-    def numbered(r: Column, i: Column) -> Column:
+    def hit(r: Column) -> Column:
         c = r["c"]
         name = c["function_name"]
         risky = _is_risky(language, by_name(name, wanted, "other"), by_name(name, fmt_of, 0),
                           c["args"], c["guarded"], c["nothrow"])
         keep = ~c["declared"] & ~is_member_call(language, c["receiver"]) & risky
-        shown = F.when(name.isin("new", "delete"), "").otherwise(name)
-        key = F.when(keep, F.element_at(index, F.concat(language, F.lit(":"), name)))
-        return F.struct(r["line"].alias("line"),
-                        order_key(i, shown, key + F.lit(CALL_BAND).cast("bigint")).alias("seq"),
-                        shown.alias("function_name"))
+        return F.struct(r["line"].alias("line"), F.when(keep, F.element_at(index, F.concat(language, F.lit(":"), name))).alias("dim"),
+                        F.when(name.isin("new", "delete"), "").otherwise(name).alias("function_name"))
 
-    return F.filter(F.transform(_call_array(marked, FLAGGED_NAMES), numbered), lambda h: h["seq"].isNotNull())
+    hits = F.filter(F.transform(_call_array(marked, FLAGGED_NAMES), hit), lambda h: h["dim"].isNotNull())
+    return F.when(F.contains(marked, F.lit(MARK)), hits).otherwise(F.array().cast(HIT))
 
 
 def call_findings(files: DataFrame, dim_base: int = len(dims.RULES)) -> DataFrame:
     """Slim findings in the shape of ``detect.rule_findings``."""
     marked = files.select("file_path", "language", marked_calls().alias("_m"))
-    return marked.select("file_path", "language", F.inline(
-        flagged_calls(F.col("_m"), F.col("language"), dim_base)))
+    return hit_rows(marked, flagged_calls(F.col("_m"), F.col("language"), dim_base))

@@ -1,17 +1,17 @@
 """Rule scan: all rules over all files in one narrow pass (no shuffle).
 
-A finding carries ``seq``, a BIGINT that orders findings inside a file the way the
-detectors emit them and whose low 12 bits name the rule or signature:
+A hit is (line, dim, function_name): ``dim`` is the position of its rule or signature among
+those of the scan, and the place of a hit in its file's array is the order in which the
+detectors emit it. As a row, a finding keeps that place as ``seq``.
 
-    rule hit   rule position << 43 | hit number << 13 | named << 12 | dim_idx
-    call site  1 << 56             | call number << 13 | named << 12 | dim_idx
-
-so that later aggregations run on plain numbers. ``named`` tells whether the match itself
-names a function.
+Rules that are a plain call of one function share one pass over the text: at one place only one
+function can be called, so their matches never overlap. Each other rule takes one pass, and only
+over texts that hold its key word.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -20,12 +20,9 @@ from pyspark.sql import functions as F
 from ..functions import dims, text
 from ..functions.dims import RULES, Rule
 
-DIM_BITS = 12
-NAMED_BIT = 1 << DIM_BITS
-NUMBER_SHIFT = DIM_BITS + 1
-RULE_SHIFT = 43
-CALL_BAND = 1 << 56
-HIT = "array<struct<line:int,seq:bigint,function_name:string>>"
+HIT = "array<struct<line:int,dim:int,function_name:string>>"
+PLAIN_CALL = re.compile(r"\\b([A-Za-z_]\w*)\\s\*\\\(")  # a pattern like \bname\s*\(
+LEADING_CALL = re.compile(r"\\b([A-Za-z_]\w*)\\s\*\\\((?![?*{])(?!.*\|)")  # one that begins so, without a branch
 
 
 def java_pattern(pattern: str) -> str:
@@ -33,68 +30,85 @@ def java_pattern(pattern: str) -> str:
     return "(?dU)" + dims.java_dialect(pattern)
 
 
-def dim_index(seq: Column) -> Column:
-    return seq.bitwiseAND(F.lit((1 << DIM_BITS) - 1).cast("bigint"))
+def sql_text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def order_key(number: Column, function_name: Column, rest: Column) -> Column:
-    named = F.when(function_name != "", F.lit(NAMED_BIT)).otherwise(F.lit(0))
-    return F.shiftleft(number.cast("bigint"), NUMBER_SHIFT) + rest.cast("bigint") + named
+def _gate(rule: Rule) -> str:
+    gate = f"language IN ({', '.join(sql_text(x) for x in rule.languages)})"
+    return gate + (f" AND contains(_code, {sql_text(rule.needle)})" if rule.needle else "")
 
 
-def is_named(seq: Column) -> Column:
-    return seq.bitwiseAND(F.lit(NAMED_BIT).cast("bigint")) != 0
+def _fenced(pattern: str) -> str:
+    return f"regexp_replace(_code, {sql_text(pattern)}, concat({MARK}, '$0', {END}))"
 
 
-def sql_text(value: str) -> str:
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+MARK, END = sql_text(text.MARK), sql_text(text.MARK_END)
+#: Line of each mark of the fenced text t.
+LINES = f"""flatten(transform(split(t, '\\n', -1), (s, i) -> array_repeat(i + 1, IF(contains(s, {MARK}),
+    length(s) - length(replace(s, {MARK}, '')), 0))))"""
+#: The matches of the fenced text t.
+MATCHES = f"filter(transform(split(t, {MARK}, -1), p -> substring_index(p, {END}, 1)), (p, i) -> i > 0)"
 
 
-def rule_hits(rule: Rule, ordinal: int) -> str:
+def rule_hits(rule: Rule, dim: int) -> str:
     """SQL for the array of this rule's hits in ``_code``, the neutralized text.
 
-    A pack holds many rules, so each is one SQL text instead of dozens of column calls."""
-    pattern = sql_text(java_pattern(rule.pattern))
-    mark = sql_text(text.MARK)
-    languages = ", ".join(sql_text(x) for x in rule.languages)
-    gate = f"language IN ({languages})"
-    if rule.needle:
-        gate += f" AND contains(_code, {sql_text(rule.needle)})"
-    return f"""
-      CASE WHEN {gate} THEN transform(
-        zip_with(
-          flatten(transform(
-            split(regexp_replace(_code, {pattern}, concat({mark}, '$0')), '\\n', -1),
-            (s, i) -> array_repeat(i + 1, IF(contains(s, {mark}),
-              length(s) - length(replace(s, {mark}, '')), 0)))),
-          regexp_extract_all(_code, {pattern}, 0),
-          (line, m) -> struct(line, regexp_extract(m, {sql_text(text.CALL_NAME)}, 1) AS fn)),
-        (h, i) -> struct(
-          h.line AS line,
-          shiftleft(CAST(i AS BIGINT), {NUMBER_SHIFT}) + {(ordinal << RULE_SHIFT) | ordinal}L
-            + IF(h.fn <> '', {NAMED_BIT}, 0) AS seq,
-          h.fn AS function_name))
+    A pack holds many rules, so each is one SQL text instead of dozens of column calls. The
+    function name is the first called name of the match; a pattern that begins with one tells it."""
+    named = LEADING_CALL.match(rule.pattern)
+    if named:
+        hits = f"transform({LINES}, n -> struct(n AS line, {dim} AS dim, {sql_text(named[1])} AS function_name))"
+    else:
+        hits = f"""zip_with({LINES}, {MATCHES}, (n, m) -> struct(n AS line, {dim} AS dim,
+          regexp_extract(m, {sql_text(text.CALL_NAME)}, 1) AS function_name))"""
+    return f"CASE WHEN {_gate(rule)} THEN transform(array({_fenced(java_pattern(rule.pattern))}), t -> {hits})[0] ELSE CAST(array() AS {HIT}) END"
+
+
+def plain_call_hits(rules: Sequence[tuple[int, Rule, str]]) -> str:
+    """SQL for the hits of all rules (position, rule, function) that are plain calls, in the
+    order of the rules."""
+    names = "|".join(dict.fromkeys(name for _, _, name in rules))
+    words = " OR ".join(f"contains(_code, {sql_text(name)})" for name in dict.fromkeys(name for _, _, name in rules))
+    mine = ", ".join(f"IF({_gate(r)}, transform(filter(h, x -> x.m = {sql_text(name)}), x -> struct(x.n AS line, {dim} AS dim, "
+                     f"x.m AS function_name)), CAST(array() AS {HIT}))" for dim, r, name in rules)
+    found = f"zip_with({LINES}, {MATCHES}, (n, m) -> struct(n, regexp_extract(m, '^(\\\\w+)', 1) AS m))"
+    fenced = _fenced(java_pattern(rf"\b(?:{names})\s*\("))
+    return f"""CASE WHEN {words} THEN transform(transform(array({fenced}), t -> {found}), h -> flatten(array({mine})))[0]
       ELSE CAST(array() AS {HIT}) END"""
 
 
-def all_rule_hits(rules: Sequence[Rule]) -> Column:
+def all_rule_hits(rules: Sequence[Rule], base: int = 0) -> Column:
     """Hits of all rules in ``_code``, rule after rule, as one array."""
-    arrays = ", ".join(rule_hits(r, i) for i, r in enumerate(rules)) or f"CAST(array() AS {HIT})"
-    return F.expr(f"concat({arrays})")
+    plain = [(base + i, r, m[1]) for i, r in enumerate(rules) if (m := PLAIN_CALL.fullmatch(r.pattern))]
+    others = {base + i: rule_hits(r, base + i) for i, r in enumerate(rules) if not PLAIN_CALL.fullmatch(r.pattern)}
+    arrays = [*([plain_call_hits(plain)] if plain else []), *others.values()] or [f"CAST(array() AS {HIT})"]
+    whole = f"concat({', '.join(arrays)})"
+    if not plain or not others:
+        return F.expr(whole)
+    # plain calls came first: back into the order of the rules, hits of a rule staying in order
+    return F.transform(F.sort_array(F.transform(F.expr(whole), lambda h, i: F.struct(
+        h["dim"].alias("dim"), i.alias("i"), h["line"].alias("line"), h["function_name"].alias("function_name")))),
+        lambda h: F.struct(h["line"], h["dim"], h["function_name"]))
 
 
 def rule_findings(files: DataFrame, rules: Sequence[Rule] = tuple(RULES)) -> DataFrame:
-    """files(file_path, language, code) -> file_path, language, line, seq, function_name."""
+    """files(file_path, language, code) -> file_path, language, seq, line, dim, function_name."""
     rules = dims.usable_rules(rules)
     prepared = files.select("file_path", "language", text.scan_text(F.col("code")).alias("_code"))
-    return prepared.select("file_path", "language", F.inline(all_rule_hits(rules)))
+    return hit_rows(prepared, all_rule_hits(rules))
+
+
+def hit_rows(files: DataFrame, hits: Column) -> DataFrame:
+    """One row for each hit of each file."""
+    return files.select("file_path", "language", F.posexplode(hits).alias("seq", "h")).select(
+        "file_path", "language", "seq", "h.line", "h.dim", "h.function_name")
 
 
 def describe(findings: DataFrame, dim: DataFrame) -> DataFrame:
-    """Attach rule texts to slim findings (broadcast join with a fixed-size table)."""
+    """Attach rule texts to slim findings (broadcast join with the scan's own rules)."""
     d = F.broadcast(dim)
-    return (findings.join(d, dim_index(findings["seq"]) == d["dim_idx"])
-            .drop("dim_idx", "type_key", "category"))
+    return findings.join(d, findings["dim"] == d["dim_idx"]).drop("dim", "dim_idx", "type_key", "category")
 
 
 def scan_rules(files: DataFrame, rules: Sequence[Rule] = tuple(RULES)) -> DataFrame:

@@ -1,9 +1,10 @@
 """Merging findings: same-spot merge, per-file collapse, enrichment and report order.
 
-The same-spot fold only depends on counts and on the first/last order key of each
-detector, so it is a plain aggregation with map-side combine: copies of a file or a hot
-key shrink before the shuffle. The per-file fold is a small state machine over the merged
-spots; a group there holds at most one entry per distinct line of one file.
+A file is a row, and all its findings come from that row, so merging happens inside it: hits are
+sorted by their key and cut into runs, and each run is folded from its first finding to its
+last, for any number of detectors. Nothing is shuffled, and the text is still at hand for
+whatever comes next (``scan_files``). Findings that come as a table of raw hits are gathered by
+file once (``merge_findings``) and folded in the same way.
 """
 
 from __future__ import annotations
@@ -14,154 +15,280 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dims, scalars, text
-from ..functions.dims import REPEAT_BOOST, RULES, SAME_SPOT_BOOST, Rule
+from ..functions.arrays import runs
+from ..functions.dims import REPEAT_BOOST, RULES, SAME_SPOT_BOOST, Detector, Rule
+from ..functions.text import let
+from ..session import remembered
 from .calls import flagged_calls, marked_calls
-from .detect import CALL_BAND, all_rule_hits, describe, dim_index, is_named
+from .detect import HIT, all_rule_hits, describe, hit_rows
 
-SPOT_KEYS = ["file_path", "language", "canon_cwe", "fn_key", "line"]
-FILE_KEYS = ["file_path", "language", "canon_cwe", "fn_key"]
-# After this many boosts a confidence has reached 1.0 whatever it started from.
-SATURATED = 7
+SPOT_KEYS = ["canon_cwe", "fn_key", "line"]
+FILE_KEYS = ["canon_cwe", "fn_key"]
+#: What a finding in a file's row has, in this order, so that sorting them gives the report's order.
+FINDING_FIELDS = ["rank", "line", "seq", "vuln_type", "rule_id", "cwe_id", "severity", "confidence", "description",
+                  "recommendation", "detector", "function_name"]
 
 
-def raw_findings(files: DataFrame, rules: Sequence[Rule] = tuple(RULES)) -> DataFrame:
-    """Both detectors in one pass over the texts: file_path, language, line, seq,
-    function_name."""
-    rules = dims.usable_rules(rules)
-    prepared = files.select("file_path", "language", text.scan_text(F.col("code")).alias("_code"),
-                            marked_calls().alias("_m"))
-    hits = F.concat(all_rule_hits(rules), flagged_calls(F.col("_m"), F.col("language"), len(rules)))
-    return prepared.select("file_path", "language", F.inline(hits))
+def prepared(files: DataFrame) -> DataFrame:
+    """The files with the texts that the detectors read, each made once."""
+    return files.select("*", _scan_text().alias("_code"), _marked_calls().alias("_m"))
+
+
+@remembered
+def _scan_text() -> Column:
+    return text.scan_text(F.col("code"))
+
+
+@remembered
+def _marked_calls() -> Column:
+    return marked_calls()
+
+
+def _placed(base: int):
+    """The hit of a further detector, whose rules come behind ``base`` others."""
+    return lambda h: F.struct(h["line"].cast("int").alias("line"), (h["rule"] + base).cast("int").alias("dim"),
+                              F.coalesce(h["function_name"], F.lit("")).alias("function_name"))
+
+
+def hits(rules: Sequence[Rule], detectors: Sequence[Detector] = ()) -> Column:
+    """All hits of a ``prepared`` file, detector after detector."""
+    found = [_rule_hits(tuple(rules)), _flagged_calls(len(rules))]
+    base = len(rules) + len(dims.SIGNATURES)
+    for d in detectors:
+        own = F.coalesce(d.hits(F.col("code"), F.col("language")), F.array().cast("array<struct<line:int,rule:int,function_name:string>>"))
+        found.append(F.transform(own, _placed(base)))
+        base += len(d.rules)
+    return F.concat(*found)
+
 
+@remembered
+def _rule_hits(rules: tuple[Rule, ...]) -> Column:
+    return all_rule_hits(rules)
 
-def detect_all(files: DataFrame, rules: Sequence[Rule] = tuple(RULES)) -> DataFrame:
+
+@remembered
+def _flagged_calls(dim_base: int) -> Column:
+    return flagged_calls(F.col("_m"), F.col("language"), dim_base)
+
+
+def raw_findings(files: DataFrame, rules: Sequence[Rule] = tuple(RULES), detectors: Sequence[Detector] = ()) -> DataFrame:
+    """All detectors in one pass over the texts: file_path, language, seq, line, dim, function_name."""
+    return hit_rows(prepared(files), hits(dims.usable_rules(rules), detectors))
+
+
+def detect_all(files: DataFrame, rules: Sequence[Rule] = tuple(RULES), detectors: Sequence[Detector] = ()) -> DataFrame:
     rules = dims.usable_rules(rules)
-    return describe(raw_findings(files, rules), dims.finding_dim(files.sparkSession, rules))
-
-
-def _boost(start: Column, steps: Column) -> Column:
-    return F.aggregate(F.array_repeat(F.lit(0), F.least(steps, F.lit(SATURATED)).cast("int")), start,
-                       lambda s, _: F.least(F.lit(1.0), s + F.lit(SAME_SPOT_BOOST)))
-
-
-def same_spot(raw: DataFrame, dim: DataFrame) -> DataFrame:
-    """One row per (file, line, canonical weakness, function).
-
-    In a file, rule hits come before call sites, and a detector reports one confidence per
-    spot. So a spot seen by rules only, or by calls only, keeps its first finding; a spot
-    seen by both ends at the last call, as each call outranks the merged name before it."""
-    d = F.broadcast(dim.select("dim_idx", "canon_cwe", "type_key", "confidence", "detector"))
-    keyed = raw.join(d, dim_index(raw["seq"]) == d["dim_idx"]).select(
-        "file_path", "language", "canon_cwe", "line", "seq", "confidence",
-        F.when(F.col("function_name") != "", F.lower("function_name"))
-        .otherwise(F.col("type_key")).alias("fn_key"),
-        (F.col("seq") >= CALL_BAND).alias("is_call"))
-    is_call = F.col("is_call")
-    spots = keyed.groupBy(*SPOT_KEYS).agg(
-        F.count_if(~is_call).alias("n_rule"), F.count_if(is_call).alias("n_call"),
-        F.min("seq").alias("seq"), F.max("seq").alias("last_seq"),
-        F.max(F.when(~is_call, F.col("confidence"))).alias("rule_conf"),
-        F.max(F.when(is_call, F.col("confidence"))).alias("call_conf"))
-    both = (F.col("n_rule") > 0) & (F.col("n_call") > 0)
-    rules_only = _boost(F.col("rule_conf"), F.col("n_rule") - 1)
-    met = F.least(F.lit(1.0), F.greatest(rules_only, F.col("call_conf")) + F.lit(SAME_SPOT_BOOST))
-    conf = (F.when(both, _boost(met, F.col("n_call") - 1))
-            .when(F.col("n_rule") > 0, rules_only)
-            .otherwise(_boost(F.col("call_conf"), F.col("n_call") - 1)))
-    return spots.select(
-        *SPOT_KEYS, "seq",
-        F.when(both, F.col("last_seq")).otherwise(F.col("seq")).alias("win_seq"),
-        conf.alias("confidence"),
-        F.when(both, 3).when(F.col("n_rule") > 0, 1).otherwise(2).alias("mask"),
-        "n_call")
-
-
-def _rank(mask: Column) -> Column:
-    return F.when(mask == 1, 1).when(mask == 2, 3).otherwise(0)
-
-
-def per_file(spots: DataFrame) -> DataFrame:
-    """One row per (file, canonical weakness, function).
-
-    ``mask`` stands for the set of detector names: 1 rules, 2 calls, 3 both."""
-    entry = F.struct("seq", "line", "win_seq", "confidence", "mask", "n_call")
-    grouped = spots.groupBy(*FILE_KEYS).agg(F.array_sort(F.collect_list(entry)).alias("g"))
-    state = lambda win, line, conf, mask: F.struct(
-        win.alias("win_seq"), line.alias("line"), conf.alias("confidence"), mask.alias("mask"))
+    return describe(raw_findings(files, rules, detectors), dims.finding_dim(files.sparkSession, rules, detectors))
+
+
+# ---------------------------------------------------------------- folds over the hits of a file
+
+def _same(keys: Sequence[str]):
+    """Whether an item of a sorted array begins a new key."""
+    def begins(before: Column, x: Column) -> Column:
+        out = F.lit(False)
+        for k in reversed(keys):  # lines differ more often than weaknesses
+            out = out | (before[k] != x[k])
+        return out
+    return begins
+
+
+def same_spot(found: Column, dim: Column) -> Column:
+    """One entry per (canonical weakness, function, line), sorted so, from the hits of one file."""
+    kind = lambda x: F.get(dim, x["dim"])
+
+    def keyed(h: Column, i: Column) -> Column:
+        return let(kind(h), lambda d: F.struct(
+            d["canon_cwe"].alias("canon_cwe"),
+            F.when(h["function_name"] != "", F.lower(h["function_name"])).otherwise(d["type_key"]).alias("fn_key"),
+            h["line"].alias("line"), i.alias("seq"), h["dim"].alias("dim"), h["function_name"].alias("function_name")))
+
+    state = lambda dim, fn, detector, rank, confidence: F.struct(
+        dim.alias("dim"), fn.alias("function_name"), detector.alias("detector"), rank.alias("rank"), confidence.alias("confidence"))
+
+    def step(s: Column, x: Column) -> Column:
+        def met(d: Column) -> Column:
+            better = d["rank"] > s["rank"]
+            known = F.contains(s["detector"], d["detector"])
+            # a merged name ranks 0
+            return state(
+                F.when(better, x["dim"]).otherwise(s["dim"]),
+                F.when(better, x["function_name"]).otherwise(s["function_name"]),
+                F.when(better, F.concat(d["detector"], F.lit("+"), s["detector"])).when(known, s["detector"])
+                .otherwise(F.concat(s["detector"], F.lit("+"), d["detector"])),
+                F.when(~better & known, s["rank"]).otherwise(F.lit(0)),
+                F.least(F.lit(1.0), F.greatest(s["confidence"], d["confidence"]) + F.lit(SAME_SPOT_BOOST)))
+        return let(kind(x), met)
+
+    def fold(run: Column) -> Column:
+        return let(F.get(run, F.lit(0)), lambda first: let(kind(first), lambda d: let(F.aggregate(
+            F.slice(run, 2, F.size(run)),
+            state(first["dim"], first["function_name"], d["detector"], d["rank"], d["confidence"]), step),
+            lambda s: F.struct(first["canon_cwe"].alias("canon_cwe"), first["fn_key"].alias("fn_key"), first["line"].alias("line"),
+                               first["seq"].alias("seq"), *[s[c].alias(c) for c in ("dim", "function_name", "detector", "rank", "confidence")]))))
+
+    return runs(F.sort_array(F.transform(found, keyed)), _same(SPOT_KEYS), fold)
+
+
+def per_file(spots: Column) -> Column:
+    """One entry per (canonical weakness, function) from the spots of one file, folded in the order
+    in which the detectors met them; ``lines`` has all its lines."""
+    fields = ("dim", "line", "function_name", "detector", "rank", "confidence")
 
     def step(s: Column, x: Column) -> Column:
-        replace = (_rank(x["mask"]) > _rank(s["mask"])) | (x["confidence"] > s["confidence"])
-        kept = F.when(replace, x["confidence"]).otherwise(s["confidence"])
-        return state(
-            F.when(replace, x["win_seq"]).otherwise(s["win_seq"]),
-            F.when(replace, x["line"]).otherwise(s["line"]),
-            F.least(F.lit(1.0), kept + F.lit(REPEAT_BOOST)),
-            F.when(replace, x["mask"]).otherwise(s["mask"].bitwiseOR(x["mask"])))
-
-    first = F.col("g")[0]
-    folded = F.aggregate(
-        F.slice("g", 2, F.greatest(F.size("g") - 1, F.lit(0))),
-        state(first["win_seq"], first["line"], first["confidence"], first["mask"]), step)
-    whole = F.transform(F.array(folded), lambda s: F.struct(
-        first["seq"].alias("first_seq"), first["n_call"].alias("n_call"),
-        F.array_sort(F.transform("g", lambda x: x["line"])).alias("lines"),
-        *[s[c].alias(c) for c in ("win_seq", "line", "confidence", "mask")]))
-    # through a generator: conditions of later joins would otherwise be pushed below and
-    # run the fold again
-    return grouped.select(*FILE_KEYS, F.inline(whole))
-
-
-def detector_name(mask: Column, spots: Column, n_call: Column) -> Column:
-    """Merged name: a lone spot lists every call that replaced the one before it; a
-    collapsed group lists the distinct names in alphabetical order."""
-    call_detector = F.when(F.col("language") == "c", "ast").otherwise("tree-sitter")
-    return (F.when(mask == 1, "regex")
-            .when(mask == 2, call_detector)
-            .when(spots > 1, F.array_join(F.array_sort(F.array(F.lit("regex"), call_detector)), "+"))
-            .otherwise(F.concat(F.repeat(F.concat(call_detector, F.lit("+")), n_call.cast("int")),
-                                F.lit("regex"))))
-
-
-def _winner(rows: DataFrame, dim: DataFrame, seq: Column) -> DataFrame:
-    """Texts of the kept finding."""
-    d = F.broadcast(dim.select("dim_idx", "rule_id", "vuln_type", "cwe_id", "severity",
-                               "description", "recommendation"))
-    return rows.join(d, dim_index(seq) == d["dim_idx"])
-
-
-def _finding_columns(rows: DataFrame, description: Column, n_spots: Column, *extra: str) -> DataFrame:
-    return rows.select(
-        "file_path", "line", "vuln_type", "rule_id", "cwe_id", "severity", "confidence",
-        description.alias("description"), "recommendation",
-        detector_name(F.col("mask"), n_spots, F.col("n_call")).alias("detector"),
-        F.when(is_named(F.col("win_seq")), F.col("fn_key")).otherwise("").alias("function_name"),
-        *extra)
-
-
-def merge_same_spot(raw: DataFrame, dim: DataFrame) -> DataFrame:
-    rows = same_spot(raw, dim)
-    return _finding_columns(_winner(rows, dim, F.col("win_seq")), F.col("description"), F.lit(1), "seq")
-
-
-def merge_findings(raw: DataFrame, dim: DataFrame) -> DataFrame:
-    """Both passes. ``seq`` is the position a finding holds among its file's findings."""
-    rows = per_file(same_spot(raw, dim)).withColumnRenamed("first_seq", "seq")
-    also = F.when(F.size("lines") > 1, F.concat(
-        F.col("description"), F.lit(" [also on line(s): "),
-        F.array_join(F.col("lines").cast("array<string>"), ", "), F.lit("]"))
-    ).otherwise(F.col("description"))
-    return _finding_columns(_winner(rows, dim, F.col("win_seq")), also, F.size("lines"), "seq")
+        replace = (x["rank"] > s["rank"]) | (x["confidence"] > s["confidence"])
+        names = F.when(replace, x["detector"]).otherwise(F.concat(s["detector"], F.lit("+"), x["detector"]))
+
+        def named(name: Column) -> Column:
+            merged = F.contains(name, F.lit("+"))
+            whole = F.when(merged, F.array_join(F.array_sort(F.array_distinct(F.split(name, "[+]", -1))), "+")).otherwise(name)
+            return let(whole, lambda w: F.struct(
+                *[F.when(replace, x[c]).otherwise(s[c]).alias(c) for c in ("dim", "line", "function_name")],
+                w.alias("detector"),
+                F.when(F.contains(w, F.lit("+")), 0).otherwise(F.when(replace, x["rank"]).otherwise(s["rank"])).alias("rank"),
+                F.least(F.lit(1.0), F.when(replace, x["confidence"]).otherwise(s["confidence"]) + F.lit(REPEAT_BOOST)).alias("confidence")))
+
+        return let(names, named)
+
+    def fold(run: Column) -> Column:
+        in_order = F.sort_array(F.transform(run, lambda x: F.struct(x["seq"].alias("seq"), *[x[c].alias(c) for c in fields])))
+        return let(in_order, lambda xs: let(F.get(xs, F.lit(0)), lambda first: let(F.aggregate(
+            F.slice(xs, 2, F.size(xs)), F.struct(*[first[c].alias(c) for c in fields]), step),
+            lambda s: F.struct(
+                F.get(run, F.lit(0))["canon_cwe"].alias("canon_cwe"), F.get(run, F.lit(0))["fn_key"].alias("fn_key"),
+                first["seq"].alias("seq"), F.transform(run, lambda x: x["line"]).alias("lines"), *[s[c].alias(c) for c in fields]))))
+
+    return runs(spots, _same(FILE_KEYS), fold)
+
+
+def _finding(x: Column, d: Column, description: Column) -> Column:
+    return F.struct(
+        d["report_rank"].alias("rank"), x["line"].alias("line"), x["seq"].alias("seq"),
+        *[d[c].alias(c) for c in ("vuln_type", "rule_id", "cwe_id", "severity")], x["confidence"].alias("confidence"),
+        description.alias("description"), d["recommendation"].alias("recommendation"), x["detector"].alias("detector"),
+        x["function_name"].alias("function_name"))
+
+
+def described(whole: Column, dim: Column, minimum: str = "", enriched: bool = False) -> Column:
+    """The entries of ``per_file`` as findings in report order, texts attached."""
+    least = dims.SEVERITY_RANK.get(minimum, 0)
+
+    def one(x: Column) -> Column:
+        d = F.get(dim, x["dim"])
+        lines = F.concat(F.lit(" [also on line(s): "), F.array_join(F.transform(x["lines"], lambda n: n.cast("string")), ", "), F.lit("]"))
+        text = F.when(F.size(x["lines"]) > 1, F.concat(d["description"], lines)).otherwise(d["description"])
+        return _finding(x, d, with_name(text, d["cwe_id"], d["cwe_name"]) if enriched else text)
+
+    if least > 0:
+        whole = F.filter(whole, lambda x: F.get(dim, x["dim"])["severity_rank"] >= least)
+    return F.sort_array(F.transform(whole, one))
+
+
+def with_name(description: Column, cwe_id: Column, cwe_name: Column) -> Column:
+    """The weakness name in front of the description unless it is there already."""
+    return F.when(cwe_name.isNotNull() & ~F.contains(description, cwe_name), F.concat(
+        F.lit("["), cwe_id, F.lit("] "), cwe_name, F.lit(" — "), description)).otherwise(description)
+
+
+# ---------------------------------------------------------------- operators
+
+def in_row(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is worked out once. It goes through a generator of one row: a filter or a
+    join behind a projection would be pushed below it and work the column out again."""
+    keep = [c for c in rows.columns if c != name]
+    return rows.select(*keep, F.inline(F.array(F.struct(value.alias(name)))))
+
+
+@remembered
+def _spots(rules: tuple[Rule, ...], detectors: tuple[Detector, ...]) -> Column:
+    return same_spot(F.coalesce("_hits", F.array().cast(HIT)), dims.finding_literal(rules, detectors))
+
+
+@remembered
+def _entries() -> Column:
+    return per_file(F.col("_spots"))
+
+
+@remembered
+def _described(rules: tuple[Rule, ...], detectors: tuple[Detector, ...], minimum: str, enriched: bool) -> Column:
+    return described(F.col("_merged"), dims.finding_literal(rules, detectors), minimum, enriched)
+
+
+def _keys(rules: Sequence[Rule], detectors: Sequence[Detector]) -> tuple[tuple[Rule, ...], tuple[Detector, ...]]:
+    return tuple(rules), tuple(d._replace(rules=tuple(d.rules)) for d in detectors)
+
+
+def folded(rows: DataFrame, rules: Sequence[Rule], detectors: Sequence[Detector]) -> DataFrame:
+    """From the hits in ``_hits`` to ``_merged``, the entries of ``per_file``."""
+    spots = rows.withColumn("_spots", _spots(*_keys(rules, detectors))).drop("_hits")
+    return spots.withColumn("_merged", _entries()).drop("_spots")
+
+
+def scan_files(files: DataFrame, minimum: str = "low", rules: Sequence[Rule] = tuple(RULES),
+               detectors: Sequence[Detector] = (), enriched: bool = True) -> DataFrame:
+    """The files, each with ``findings``: merged, named and filtered, in report order.
+
+    Every row is a file of its own. Other columns stay; a file without a text has no findings."""
+    rules = dims.usable_rules(rules)
+    rows = prepared(files.drop("findings")).withColumn("_hits", hits(rules, detectors)).drop("_code", "_m")
+    texts = _described(*_keys(rules, detectors), minimum, enriched)
+    return in_row(folded(rows, rules, detectors), "findings", texts).drop("_merged")
+
+
+def findings_of(files: DataFrame) -> DataFrame:
+    """One row for each finding of files that carry theirs."""
+    return files.select("file_path", F.inline("findings")).drop("rank")
+
+
+def scan(files: DataFrame, minimum: str = "low", rules: Sequence[Rule] = tuple(RULES),
+         detectors: Sequence[Detector] = ()) -> DataFrame:
+    """files -> merged, enriched and filtered findings (unordered)."""
+    return findings_of(scan_files(files, minimum, rules, detectors))
+
+
+def gathered(raw: DataFrame) -> DataFrame:
+    """``file_path, _hits`` of a table of raw hits; the hits of a file in their order."""
+    hit = F.struct("seq", "line", "dim", "function_name")
+    grouped = raw.groupBy("file_path").agg(F.sort_array(F.collect_list(hit)).alias("h"))
+    return grouped.select("file_path", F.transform("h", lambda h: F.struct(
+        h["line"].cast("int").alias("line"), h["dim"].cast("int").alias("dim"), h["function_name"].alias("function_name"))).alias("_hits"))
+
+
+def merge_same_spot(files: DataFrame, rules: Sequence[Rule] = tuple(RULES), detectors: Sequence[Detector] = ()) -> DataFrame:
+    """The first pass alone: one row per spot of each file."""
+    rules = dims.usable_rules(rules)
+    dim = dims.finding_literal(rules, detectors)
+    rows = prepared(files).select("file_path", hits(rules, detectors).alias("_hits"))
+    spots = rows.select("file_path", _spots(*_keys(rules, detectors)).alias("_spots"))
+
+    def one(x: Column) -> Column:
+        d = F.get(dim, x["dim"])
+        return _finding(x, d, d["description"])
+
+    return spots.select("file_path", F.inline(F.transform("_spots", one))).drop("rank")
+
+
+def collapse_per_file(files: DataFrame, rules: Sequence[Rule] = tuple(RULES), detectors: Sequence[Detector] = ()) -> DataFrame:
+    """Both passes without the texts: file_path, canon_cwe, fn_key, seq, lines, dim, line, ..."""
+    rules = dims.usable_rules(rules)
+    rows = prepared(files).select("file_path", hits(rules, detectors).alias("_hits"))
+    return folded(rows, rules, detectors).select("file_path", F.inline("_merged"))
+
+
+def merge_findings(raw: DataFrame, rules: Sequence[Rule] = tuple(RULES), detectors: Sequence[Detector] = ()) -> DataFrame:
+    """Both passes over a table of raw hits, whose ``dim`` counts ``rules``, signatures and
+    detectors: the hits of a path are gathered, so rows of one path merge. ``seq`` is the
+    position a finding holds among its file's findings."""
+    rules = dims.usable_rules(rules)
+    rows = folded(gathered(raw), rules, detectors).withColumn("findings", _described(*_keys(rules, detectors), "", False))
+    return findings_of(rows)
 
 
 def enrich(findings: DataFrame) -> DataFrame:
     """Put the weakness name in front of the description unless it is there already."""
     d = F.broadcast(dims.cwe_dim(findings.sparkSession))
-    named = F.col("cwe_name").isNotNull() & ~F.contains("description", F.col("cwe_name"))
     return (findings.join(d, "cwe_id", "left")
-            .withColumn("description", F.when(named, F.concat(
-                F.lit("["), F.col("cwe_id"), F.lit("] "), F.col("cwe_name"), F.lit(" — "),
-                F.col("description"))).otherwise(F.col("description")))
-            .drop("cwe_name"))
+            .withColumn("description", with_name(F.col("description"), F.col("cwe_id"), F.col("cwe_name"))).drop("cwe_name"))
 
 
 def min_severity(findings: DataFrame, minimum: str = "low") -> DataFrame:
@@ -176,10 +303,3 @@ def report_keys() -> list[Column]:
 
 def report_order(findings: DataFrame) -> DataFrame:
     return findings.orderBy(*report_keys())
-
-
-def scan(files: DataFrame, minimum: str = "low", rules: Sequence[Rule] = tuple(RULES)) -> DataFrame:
-    """files -> merged, enriched and filtered findings (unordered)."""
-    rules = dims.usable_rules(rules)
-    dim = dims.finding_dim(files.sparkSession, rules)
-    return min_severity(enrich(merge_findings(raw_findings(files, rules), dim)), minimum)

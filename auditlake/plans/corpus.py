@@ -70,11 +70,9 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Regex work is CPU-heavy: when a narrow table has fewer input splits than the cluster
-    has cores, deal its (small) rows out before they grow into texts. Larger inputs have
-    splits enough and stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Texts and regex work come out of a few bytes of a row, so rows are dealt out before they grow."""
+    conf = df.sparkSession.conf
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, int(conf.get("spark.sql.shuffle.partitions"))))
 
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,3 +138,22 @@ def path_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
                     pick(EXTENSIONS, F.col("o") + F.col("c")))
     return o.select(path.alias("path"), F.concat(
         F.lit("a"), F.col("o").cast("string"), F.lit("\r\nb\rc\n")).alias("code"))
+
+
+def write_tree(files: DataFrame, root: str) -> None:
+    """Write ``code`` of each row to its path, whose first two folders become ``root``; by the tasks."""
+    from ..sources.files import open_store
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            store, base = open_store(root)
+            for path, code in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                at = f"{base}/{path.split('/', 3)[3]}"
+                store.create_dir(at.rpartition("/")[0], recursive=True)
+                with store.open_output_stream(at) as out:
+                    out.write(code.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    files.select("path", "code").mapInArrow(run, "n bigint").agg(F.sum("n")).collect()

@@ -156,10 +156,10 @@ def _spots() -> str:
     better = f"{RANK.format(x='x')} > {RANK.format(x='a')}"
     return f"""
     SELECT file_path, canon_cwe, fn_key, line, list_reduce(list_sort(list(
-             {{'seq': seq, 'dim_idx': dim_idx, 'named': function_name <> '', 'det': detector, 'conf': confidence}})),
+             {{'seq': seq, 'dim_idx': dim_idx, 'fn': function_name, 'det': detector, 'conf': confidence}})),
              lambda a, x: {{'seq': a.seq,
                'dim_idx': CASE WHEN {better} THEN x.dim_idx ELSE a.dim_idx END,
-               'named': CASE WHEN {better} THEN x.named ELSE a.named END,
+               'fn': CASE WHEN {better} THEN x.fn ELSE a.fn END,
                'det': CASE WHEN {better} THEN x.det || '+' || a.det
                            WHEN contains(a.det, x.det) THEN a.det ELSE a.det || '+' || x.det END,
                'conf': {boosted}}}) AS s
@@ -170,11 +170,11 @@ def _merged() -> str:
     replace = f"({RANK.format(x='x')} > {RANK.format(x='a')} OR x.conf > a.conf)"
     return f"""
     SELECT file_path, canon_cwe, fn_key, list_sort(list(line)) AS lines, list_reduce(list_sort(list(
-             {{'seq': s.seq, 'line': line, 'dim_idx': s.dim_idx, 'named': s.named, 'det': s.det, 'conf': s.conf}})),
+             {{'seq': s.seq, 'line': line, 'dim_idx': s.dim_idx, 'fn': s.fn, 'det': s.det, 'conf': s.conf}})),
              lambda a, x: {{'seq': a.seq,
                'line': CASE WHEN {replace} THEN x.line ELSE a.line END,
                'dim_idx': CASE WHEN {replace} THEN x.dim_idx ELSE a.dim_idx END,
-               'named': CASE WHEN {replace} THEN x.named ELSE a.named END,
+               'fn': CASE WHEN {replace} THEN x.fn ELSE a.fn END,
                'det': array_to_string(list_sort(list_distinct(string_split(
                         CASE WHEN {replace} THEN x.det ELSE a.det || '+' || x.det END, '+'))), '+'),
                'conf': least(1.0::DOUBLE, CASE WHEN {replace} THEN x.conf ELSE a.conf END + 0.05::DOUBLE)}}) AS s
@@ -187,7 +187,7 @@ def _merged_findings() -> str:
            description || CASE WHEN len(lines) > 1
              THEN ' [also on line(s): ' || array_to_string(lines, ', ') || ']' ELSE '' END AS description,
            recommendation, s.det AS detector,
-           CASE WHEN s.named THEN fn_key ELSE '' END AS function_name, s.seq AS seq
+           s.fn AS function_name, s.seq AS seq
     FROM (SELECT *, s.dim_idx AS dim_idx FROM merged) JOIN finding_dim USING (dim_idx)"""
 
 

@@ -40,9 +40,9 @@ def found(s: SparkSession, d: str, minimum: str = "low") -> DataFrame:
     return merge.scan(code(s, d), minimum)
 
 
-def kept(s: SparkSession, d: str, minimum: str = "low") -> DataFrame:
-    """Findings written once, for queries that read them more than once."""
-    return materialized(found(s, d, minimum))
+def scanned(s: SparkSession, d: str) -> DataFrame:
+    """The files, each with its findings."""
+    return merge.scan_files(code(s, d))
 
 
 def big(*names: str):
@@ -73,8 +73,15 @@ PATHS_SQL = f"""SELECT '/build/root/proj' || (c % 25) || '/' || {_pick(corpus.DI
   || {_pick(corpus.EXTENSIONS, 'o + c')} AS path, o FROM (SELECT o_orderkey AS o, o_custkey AS c FROM orders)"""
 EXT_SQL = "lower(regexp_extract(path, '(\\.[^./]*)$', 1))"
 
-add("src_files",
-    lambda s, d: corpus.path_candidates(s, d).where(src.is_source(F.col("path"), ROOT)).select("path"),
+def _listed(s, d):
+    """The candidates as files of a real folder, and what the source lists there."""
+    root = f"{checkpoint_folder(s).rstrip('/')}/tree-{uuid.uuid4().hex}"
+    corpus.write_tree(corpus.path_candidates(s, d), root + ROOT)
+    listed = src.list_files(s, root + ROOT)
+    return listed.select(F.concat(F.lit(ROOT), F.substring_index("path", root.rpartition("/")[2] + ROOT, -1)).alias("path"))
+
+
+add("src_files", _listed,
     f"SELECT path FROM paths WHERE {EXT_SQL} IN ({EXT_LIST}) AND NOT list_has_any("
     f"string_split(substr(path, {len(ROOT) + 1}), '/')[1:-2], [{SKIP_LIST}])", paths=PATHS_SQL)
 add("src_decode",
@@ -339,19 +346,21 @@ def raw(s, d):
     return merge.raw_findings(code(s, d))
 
 
-add("merge_same_spot", lambda s, d: shown(merge.merge_same_spot(raw(s, d), _dim(s)),
+add("merge_same_spot", lambda s, d: shown(merge.merge_same_spot(code(s, d)),
         "file_path", "line", "rule_id", "severity", "confidence", "detector", "function_name"),
     """SELECT file_path, line::BIGINT AS line, rule_id, severity, s.conf AS confidence, s.det AS detector,
-         CASE WHEN s.named THEN fn_key ELSE '' END AS function_name
+         s.fn AS function_name
        FROM (SELECT *, s.dim_idx AS dim_idx FROM spots) JOIN finding_dim USING (dim_idx)""")
-add("collapse_per_file", lambda s, d: merge.per_file(merge.same_spot(raw(s, d), _dim(s))).select(
+add("collapse_per_file", lambda s, d: merge.collapse_per_file(code(s, d)).select(
         "file_path", "canon_cwe", "fn_key", *big("line"), "confidence",
         F.array_join(F.col("lines").cast("array<string>"), ", ").alias("lines")),
     """SELECT file_path, canon_cwe, fn_key, s.line::BIGINT AS line, s.conf AS confidence,
          array_to_string(lines, ', ') AS lines FROM merged""")
-add("merge_findings", lambda s, d: shown(merge.merge_findings(raw(s, d), _dim(s))),
+add("merge_findings", lambda s, d: shown(merge.findings_of(merge.scan_files(code(s, d), minimum="", enriched=False))),
     f"SELECT {FINDING_SQL} FROM merged_findings")
-add("join_cwe", lambda s, d: shown(merge.enrich(merge.merge_findings(raw(s, d), _dim(s)))),
+add("merge_table", lambda s, d: shown(merge.merge_findings(raw(s, d))),
+    f"SELECT {FINDING_SQL} FROM merged_findings")
+add("join_cwe", lambda s, d: shown(merge.enrich(merge.findings_of(merge.scan_files(code(s, d), minimum="", enriched=False)))),
     f"SELECT {FINDING_SQL} FROM findings")
 add("scan_findings", lambda s, d: shown(found(s, d)), f"SELECT {FINDING_SQL} FROM findings")
 
@@ -376,8 +385,7 @@ COUNTS = ", ".join(f"count(*) FILTER (severity = '{x}') AS {x}" for x in analyze
 add("severity_counts", lambda s, d: analyze.severity_counts(found(s, d)),
     f"SELECT count(*) AS total_findings, {COUNTS} FROM findings")
 def _summary(s, d):
-    merged = materialized(merge.enrich(merge.merge_findings(raw(s, d), _dim(s))))
-    return analyze.summary(code(s, d), merged, merge.min_severity(merged), "orders", 1.005)
+    return analyze.summary(merge.scan_files(code(s, d), minimum=""), "orders", "low", 1.005)
 
 
 add("scan_summary", _summary,
@@ -387,13 +395,13 @@ add("scan_summary", _summary,
 add("sev_percent", lambda s, d: analyze.severity_percent(found(s, d)),
     "SELECT " + ", ".join(f"round_even(count(*) FILTER (severity = '{x}') / greatest(count(*), 1) * 100, 0)::BIGINT "
                           f"AS {x}_pct" for x in analyze.SEVERITIES[:4]) + " FROM findings")
-add("by_file", lambda s, d: analyze.by_file(found(s, d)).select(
+add("by_file", lambda s, d: analyze.by_file(scanned(s, d)).select(
         "file_path", F.size("findings").cast("bigint").alias("n"),
         F.array_join(F.transform("findings", lambda f: F.concat_ws("@", f["rule_id"], f["line"].cast("string"))), ",")
         .alias("findings")),
     f"SELECT file_path, count(*) AS n, string_agg(rule_id || '@' || line, ',' ORDER BY {REPORT_RANK}, line, seq) "
     "AS findings FROM findings GROUP BY file_path")
-add("files_with_issues", lambda s, d: analyze.files_with_issues(raw(s, d)),
+add("files_with_issues", lambda s, d: analyze.files_with_issues(merge.scan_files(code(s, d), minimum="")),
     "SELECT count(DISTINCT file_path) AS files_with_issues FROM raw_findings")
 add("project_info", lambda s, d: analyze.project_info(all_files(s, d)).select(
         *big("file_count", "total_lines", "total_code_lines"),
@@ -412,7 +420,7 @@ SCORES = f"""SELECT c.file_path, regexp_extract(c.file_path, '[^/]*$') AS file_n
 
 
 def _scores(s, d):
-    return analyze.bench_file(code(s, d), merge.merge_findings(raw(s, d), _dim(s)))
+    return analyze.bench_file(merge.scan_files(code(s, d), minimum="", enriched=False))
 
 
 add("bench_file", _scores, SCORES)
@@ -437,7 +445,7 @@ add("distinct_files", lambda s, d: analyze.distinct_files(found(s, d)),
 def _categories(s, d):
     f = detect.rule_findings(code(s, d))
     dim = F.broadcast(_dim(s))
-    return analyze.rules_by_category(f.join(dim, detect.dim_index(f["seq"]) == dim["dim_idx"]))
+    return analyze.rules_by_category(f.groupBy("dim").agg(F.count("*").alias("n")).join(dim, F.col("dim") == dim["dim_idx"]))
 
 
 add("rules_by_category", _categories,
@@ -545,7 +553,7 @@ PATCH_CTES = {
 
 
 def fixed(s, d):
-    return patch.fix_files(code(s, d), found(s, d))
+    return patch.fix_files(scanned(s, d))
 
 
 add("can_template_fix", lambda s, d: found(s, d).select(
@@ -558,7 +566,7 @@ def _lines_with(fn: str) -> Query:
     def run(s, d):
         lines = code(s, d).select("file_path", F.posexplode(text.lines_of(F.col("code"))).alias("i", "old"))
         return lines.where(F.contains("old", F.lit(fn))).select(
-            "file_path", (F.col("i") + 1).cast("bigint").alias("line"), "old", patch.template_fix(F.col("old"), fn).alias("fixed"))
+            "file_path", (F.col("i") + 1).cast("bigint").alias("line"), "old", patch.template_fix(F.col("old"), next(t for t in patch.TEMPLATES if fn in t.functions)).alias("fixed"))
     return run
 
 
@@ -578,7 +586,7 @@ add("try_template_fix", lambda s, d: code(s, d).select(
     "'\\b(\\w+)\\s*\\(', 1) AS fn FROM every_line)",
     every_line=f"SELECT file_path, unnest(range(1, len(ls) + 1)) AS line, unnest(ls) AS old "
                f"FROM (SELECT file_path, {LINES} AS ls FROM code_files)")
-add("apply_templates", lambda s, d: patch.apply_templates(code(s, d), found(s, d)).select(
+add("apply_templates", lambda s, d: patch.apply_templates(scanned(s, d)).select(
         "file_path", F.array_join("blocks", "\n").alias("fixed_code"), F.size("applied").cast("bigint").alias("applied")),
     "SELECT file_path, string_agg(new, chr(10) ORDER BY line) AS fixed_code, sum(len(ok))::BIGINT AS applied "
     "FROM blocks GROUP BY file_path", **PATCH_CTES)
@@ -587,9 +595,8 @@ add("fix_file", lambda s, d: fixed(s, d).select("file_path", "fixed_code"),
 
 
 def _remaining(s, d):
-    f = kept(s, d)
-    return patch.remaining_findings(f, patch.apply_templates(code(s, d), f)).select(
-        "file_path", *big("line"), "rule_id", "function_name")
+    return patch.remaining_findings(scanned(s, d)).select(
+        "file_path", F.col("original_line").cast("bigint").alias("line"), "rule_id", "function_name")
 
 
 add("fix_remaining", _remaining,
@@ -599,9 +606,7 @@ add("fix_remaining", _remaining,
 
 
 def _shifted(s, d):
-    f = kept(s, d)
-    return patch.line_shift(f, patch.fix_files(code(s, d), f)).select(
-        "file_path", "rule_id", "function_name", *big("line", "fixed_line"))
+    return patch.line_shift(scanned(s, d)).select("file_path", "rule_id", "function_name", *big("line", "fixed_line"))
 
 
 add("line_shift", _shifted,
@@ -616,37 +621,62 @@ add("patch_lines", lambda s, d: patch.patch_lines(fixed(s, d)).select(
 PATCH_COUNTS = ("SELECT file_path, sum(1 + length(new) - length(replace(new, chr(10), '')))::BIGINT AS additions, "
                 "count(*) AS deletions FROM changed GROUP BY file_path")
 add("patch_counts", lambda s, d: patch.patch_counts(patch.patch_lines(fixed(s, d))), PATCH_COUNTS, **PATCH_CTES)
-add("fixes_list", lambda s, d: patch.unified_diff(fixed(s, d)).select(
-        "file_path", "filename", "hunks", "additions", "deletions",
-        F.size(F.filter(F.split("diff", "\n", -1), lambda x: F.startswith(x, F.lit("@@")))).cast("bigint").alias("headers"),
-        F.regexp_extract("diff", r"@@ -(\d+,\d+)", 1).alias("first_range")),
-    f"""SELECT h.file_path, regexp_extract(h.file_path, '[^/]*$') AS filename, hunks, additions, deletions, hunks AS headers,
-         greatest(1, l1 - 3) || ',' || (least(n, l2 + 3) - greatest(1, l1 - 3) + 1) AS first_range
-       FROM (SELECT file_path, count(DISTINCT h)::BIGINT AS hunks, min(line) AS l1, max(line) FILTER (h = 1) AS l2 FROM (
-         SELECT *, sum(CASE WHEN gap IS NULL OR gap > 7 THEN 1 ELSE 0 END) OVER (PARTITION BY file_path ORDER BY line) AS h
-         FROM (SELECT *, line - lag(line) OVER (PARTITION BY file_path ORDER BY line) AS gap FROM changed)) GROUP BY 1) h
-       JOIN counts c ON c.file_path = h.file_path
-       JOIN (SELECT file_path, {TOTAL_LINES} AS n FROM code_files) t ON t.file_path = h.file_path""",
-    counts=PATCH_COUNTS, **PATCH_CTES)
-add("sink_fixed", lambda s, d: sinks.with_out_path(fixed(s, d), "/out/").select("file_path", "out_path"),
+def _plain_diffs(s, d):
+    return patch.unified_diff(fixed(s, d)).select(
+        "filename", F.col("file_path").alias("original_path"), F.concat(F.lit("/out/"), "filename").alias("fixed_path"), "diff",
+        "additions", "deletions", F.lit(False).alias("applied"))
+
+
+# rows of a hunk: a context line or removed line comes from the original, the new lines of a run of
+# changed lines follow its last removed one
+DIFF_CTES = PATCH_CTES | {
+    "hunks": """SELECT *, sum(CASE WHEN gap IS NULL OR gap > 7 THEN 1 ELSE 0 END) OVER (PARTITION BY file_path ORDER BY line) AS h,
+        line - row_number() OVER (PARTITION BY file_path ORDER BY line) AS run, length(new) - length(replace(new, chr(10), '')) AS gain
+        FROM (SELECT *, line - lag(line) OVER (PARTITION BY file_path ORDER BY line) AS gap FROM changed)""",
+    "spans": """SELECT *, coalesce(sum(gain) OVER (PARTITION BY file_path ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+        FROM (SELECT x.file_path, h, greatest(1, min(x.line) - 3) AS a, least(any_value(n), max(x.line) + 3) AS b, sum(gain) AS gain
+        FROM hunks x JOIN (SELECT file_path, max(line) AS n FROM blocks GROUP BY 1) t ON t.file_path = x.file_path GROUP BY x.file_path, h)""",
+    "pieces": """SELECT s.file_path, s.h, b.line AS pos, 0 AS part, 0 AS nth, CASE WHEN b.old <> b.new THEN '-' ELSE ' ' END || b.old AS t
+        FROM spans s JOIN blocks b ON b.file_path = s.file_path AND b.line BETWEEN s.a AND s.b
+      UNION ALL SELECT c.file_path, c.h, max(c.line) OVER (PARTITION BY c.file_path, c.run), 1, c.line,
+        '+' || replace(c.new, chr(10), chr(10) || '+') FROM hunks c""",
+    "rendered": """SELECT s.file_path, s.h, '@@ -' || a || CASE WHEN b - a <> 0 THEN ',' || (b - a + 1) ELSE '' END || ' +' || (a + before)::BIGINT
+        || CASE WHEN b - a + gain <> 0 THEN ',' || (b - a + 1 + gain)::BIGINT ELSE '' END || ' @@' || chr(10)
+        || body AS t FROM spans s JOIN (SELECT file_path, h, string_agg(t, chr(10) ORDER BY pos, part, nth) AS body FROM pieces GROUP BY ALL) p
+        ON p.file_path = s.file_path AND p.h = s.h""",
+}
+RECORD_SQL = f"""SELECT {BASE} AS filename, file_path AS original_path, '/out/' || {BASE} AS fixed_path,
+     '--- original/' || {BASE} || chr(10) || '+++ fixed/' || {BASE} || chr(10) || string_agg(t, chr(10) ORDER BY h) AS diff,
+     any_value(additions) AS additions, any_value(deletions) AS deletions, false AS applied
+   FROM rendered JOIN counts USING (file_path) GROUP BY file_path"""
+add("fixes_list", lambda s, d: patch.fix_record(fixed(s, d), "/out/"), RECORD_SQL, counts=PATCH_COUNTS, **DIFF_CTES)
+add("fix_diffs", _plain_diffs, RECORD_SQL, counts=PATCH_COUNTS, **DIFF_CTES)
+add("sink_fixed", lambda s, d: sinks.with_out_path(fixed(s, d).select("file_path", "fixed_code"), "/out/").select("file_path", "out_path"),
     f"""SELECT file_path, '/out/' || CASE WHEN (SELECT count(DISTINCT {BASE}) <> count(*) FROM fixed)
          THEN regexp_extract(file_path, '([^/]*)/[^/]*$', 1) || '/' ELSE '' END || {BASE} AS out_path FROM fixed""",
     **PATCH_CTES)
-add("fix_publish", lambda s, d: sinks.publish(fixed(s, d), code(s, d)),
+add("fix_publish", lambda s, d: sinks.publish(fixed(s, d)),
     f"""SELECT {BASE} AS filename, file_path AS original_path, file_path || '.bak' AS backup_path, fixed_code AS code,
          'applied' AS status, NULL::VARCHAR AS error FROM fixed""", **PATCH_CTES)
 
 
+def _slim(s, d):
+    """Findings of all files and whether a template changes the file, without the texts, written
+    once: both joins below read it several times."""
+    files = patch.all_fixed(scanned(s, d)).select("file_path", "findings", F.col("fixed_code").isNotNull().alias("changed"))
+    return materialized(files)
+
+
 def _originals(s, d):
-    f = kept(s, d)
-    return analyze.fix_original(patch.fix_files(code(s, d), f), f, code(s, d))
+    files = _slim(s, d)
+    return analyze.fix_original(files.where("changed").select("file_path"), merge.findings_of(files), files)
 
 
 add("join_fix_original", _originals,
     f"""SELECT DISTINCT {BASE} AS filename, file_path AS original_path FROM fixed""", **PATCH_CTES)
 def _fix_states(s, d):
-    f = kept(s, d)
-    return analyze.fix_state(f, patch.fix_files(code(s, d), f)).select(
+    files = _slim(s, d)
+    return analyze.fix_state(merge.findings_of(files), files.where("changed").select("file_path")).select(
         "file_path", *big("line"), "rule_id", "function_name", "fix_state")
 
 
@@ -689,7 +719,7 @@ VERDICTS_SQL = (f"SELECT * FROM (SELECT {ID_SQL} AS finding_id, [" + ", ".join(
 
 
 def _judged(s, d):
-    f = kept(s, d)
+    f = materialized(found(s, d))
     return assist.apply_verdicts(f, _verdicts(f)).select(
         "finding_id", "confidence", "llm_confirmed", "llm_confidence", "llm_explanation")
 
@@ -721,15 +751,26 @@ def _prompt_sql(template: str, source: str, *keys: str) -> str:
     return f"SELECT {', '.join(keys)}, {' || '.join(parts)} AS prompt FROM {source}"
 
 
-add("join_snippet", lambda s, d: analyze.with_snippet(found(s, d), code(s, d)).select(
+add("join_snippet", lambda s, d: analyze.with_snippet(scanned(s, d)).select(
         "file_path", *big("line"), "rule_id", "function_name", "snippet"),
     "SELECT file_path, line::BIGINT AS line, rule_id, function_name, snippet FROM snipped", snipped=SNIPPED)
-for _key, _run, _template in [("reason_prompts", assist.reason_prompts, assist.REASON_PROMPT),
-                              ("fix_prompts", assist.fix_prompts, assist.FIX_PROMPT),
-                              ("snippet_prompts", assist.snippet_prompts, assist.SNIPPET_PROMPT)]:
-    add(_key, lambda s, d, run=_run: run(found(s, d), code(s, d)),
-        _prompt_sql(_template, "snipped", "finding_id"), snipped=SNIPPED)
-add("batch_prompts", lambda s, d: assist.batch_prompts(found(s, d), code(s, d)),
+add("reason_prompts", lambda s, d: assist.reason_prompts(scanned(s, d)),
+    _prompt_sql(assist.REASON_PROMPT, "snipped", "finding_id"), snipped=SNIPPED)
+# prompts for a fix show the text that the templates leave, at the finding's new place
+LEFT_CTES = PATCH_CTES | {
+    "templated": """SELECT c.file_path, coalesce(b.t, c.code) AS code FROM code_files c LEFT JOIN
+        (SELECT file_path, string_agg(new, chr(10) ORDER BY line) AS t FROM blocks GROUP BY 1) b ON b.file_path = c.file_path""",
+    "left_findings": f"""SELECT f.* REPLACE (f.line + coalesce((SELECT sum(length(new) - length(replace(new, chr(10), '')))::BIGINT
+          FROM changed c WHERE c.file_path = f.file_path AND c.line < f.line), 0)::BIGINT AS line), f.line AS original_line,
+          {ID_SQL.replace('file_path', 'f.file_path').replace('line', 'f.line')} AS finding_id
+        FROM findings f LEFT JOIN (SELECT file_path, unnest(ok) AS seq FROM blocks) b ON b.file_path = f.file_path AND b.seq = f.seq
+        WHERE b.seq IS NULL""",
+    "snipped_left": f"SELECT f.*, {SNIP} AS snippet FROM left_findings f JOIN templated c ON c.file_path = f.file_path",
+}
+for _key, _run, _template in [("fix_prompts", patch.fix_prompts, assist.FIX_PROMPT), ("snippet_prompts", patch.snippet_prompts, assist.SNIPPET_PROMPT)]:
+    add(_key, lambda s, d, run=_run: run(patch.remaining(scanned(s, d))),
+        _prompt_sql(_template, "snipped_left", "finding_id"), **LEFT_CTES)
+add("batch_prompts", lambda s, d: assist.batch_prompts(scanned(s, d)),
     _prompt_sql(assist.BATCH_PROMPT, "batches", "file_path"),
     batches="""SELECT c.file_path, any_value(c.code) AS snippet, string_agg('  - Line ' || f.line || ': ' || f.vuln_type
        || ' (' || f.cwe_id || ')', chr(10) ORDER BY f.line, f.seq) AS issues
@@ -742,8 +783,8 @@ ANSWERS = [
 ]
 
 
-def _answer(key):
-    return F.get(F.array(*[F.lit(v) for v in ANSWERS]), (F.length(key) * 3 + F.col("line")) % 9)
+def _answer(key, line=None):
+    return F.get(F.array(*[F.lit(v) for v in ANSWERS]), (F.length(key) * 3 + (F.col("line") if line is None else line)) % 9)
 
 
 ANSWER_SQL = "[" + ", ".join(" || chr(10) || ".join(lit(p) for p in v.split("\n")) for v in ANSWERS) + \
@@ -770,7 +811,7 @@ add("clean_response", lambda s, d: found(s, d).select(
 
 
 def _with_answer(s, d, name):
-    return found(s, d).withColumn(name, _answer(assist.finding_id()))
+    return assist.with_answers(scanned(s, d), lambda key, f: _answer(key, f["line"]), name)
 
 
 # splices fold over a file's lines; recursion over findings, last line first
@@ -794,16 +835,28 @@ def _splice_oracle(body: str) -> str:
         "WITH RECURSIVE ", 1)[1]
 
 
-add("apply_llm_fix", lambda s, d: patch.apply_llm_fix(code(s, d), _with_answer(s, d, "llm_fix")).select(
+add("apply_llm_fix", lambda s, d: patch.apply_llm_fix(_with_answer(s, d, "llm_fix")).select(
         "file_path", "fixed_code"))
 ORACLES["apply_llm_fix"] = _splice_oracle(_splice_sql(
     "greatest(0, r.line - 6)", "least(len(w.ls), r.line + 5)", "string_split(r.v, chr(10))", "true", ANSWER_SQL))
-add("snippet_splice", lambda s, d: patch.snippet_splice(code(s, d), _with_answer(s, d, "response")).select(
+add("snippet_splice", lambda s, d: patch.snippet_splice(_with_answer(s, d, "response")).select(
         "file_path", "fixed_code"))
 ORACLES["snippet_splice"] = _splice_oracle(_splice_sql(
     "greatest(0, r.line - 6)", "least(len(w.ls), r.line + 5)", "string_split(" + _sql_clean("r.v") + ", chr(10))",
     "nl <> [''] AND len(nl) >= (b - a) * 0.3::DOUBLE AND len(nl) <= (b - a) * 3", ANSWER_SQL))
-add("patch_one", lambda s, d: patch.patch_one(_with_answer(s, d, "llm_fix"), code(s, d)).select(
+add("fix_two_tiers", lambda s, d: patch.fix_two_tiers(assist.with_answers(
+        patch.remaining(scanned(s, d)), lambda key, f: _answer(key, f["original_line"]))).select("file_path", "fixed_code"))
+_TWO = _splice_sql(
+    "greatest(0, r.line - 6)", "least(len(w.ls), r.line + 5)", "string_split(" + _sql_clean("r.v") + ", chr(10))",
+    "nl <> [''] AND len(nl) >= (b - a) * 0.3::DOUBLE AND len(nl) <= (b - a) * 3", "v0")
+_TWO = _TWO.replace("FROM findings WHERE", "FROM (SELECT *, " + ANSWER_SQL.replace(ID_SQL, "finding_id").replace("+ line)", "+ original_line)")
+                    + " AS v0 FROM left_findings) WHERE").replace("FROM code_files c", "FROM templated c")
+_TWO = _TWO.replace("SELECT file_path, array_to_string(ls, chr(10)) AS fixed_code FROM last", f"""SELECT c.file_path, coalesce(array_to_string(ls, chr(10)), t.code)
+      AS fixed_code FROM code_files c JOIN templated t ON t.file_path = c.file_path LEFT JOIN last l ON l.file_path = c.file_path
+      WHERE regexp_replace(coalesce(array_to_string(ls, chr(10)), t.code), '^[{WS}]+|[{WS}]+$', '', 'g') <> regexp_replace(c.code, '^[{WS}]+|[{WS}]+$', '', 'g')""")
+_TWO_HEAD = q("SELECT 1 FROM left_findings JOIN templated USING (file_path)", **LEFT_CTES)
+ORACLES["fix_two_tiers"] = _TWO_HEAD[:_TWO_HEAD.rindex("\nSELECT 1")].replace("WITH ", "WITH RECURSIVE ", 1) + ", " + _TWO.split("WITH RECURSIVE ", 1)[1]
+add("patch_one", lambda s, d: patch.patch_one(_with_answer(s, d, "llm_fix")).select(
         assist.finding_id().alias("finding_id"), "patch"),
     f"""SELECT finding_id, CASE WHEN coalesce(v, '') = '' THEN '' ELSE '--- a/' || base || chr(10) || '+++ b/' || base
          || chr(10) || '@@ -' || st || ',' || len(o) || ' +' || st || ',' || len(nw) || ' @@' || chr(10)
@@ -813,7 +866,7 @@ add("patch_one", lambda s, d: patch.patch_one(_with_answer(s, d, "llm_fix"), cod
 
 
 def _answered(s, d):
-    prompts = assist.reason_prompts(found(s, d), code(s, d))
+    prompts = assist.reason_prompts(scanned(s, d))
     return assist.answer(prompts, lambda p: f"Confirmed: {'YES' if 'strcpy' in p else 'NO'}").groupBy(
         "response", "error").agg(F.count("*").alias("n"))
 

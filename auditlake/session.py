@@ -3,11 +3,21 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
+from functools import lru_cache, wraps
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def remembered(build: Callable[..., Column]) -> Callable[..., Column]:
+    """Keep the columns that a function of hashable arguments builds: a large one takes thousands of
+    calls into the JVM, and says the same over every table."""
+    kept = lru_cache(256)(lambda jvm, *args: build(*args))
+    return wraps(build)(lambda *args: kept(id(SparkContext._gateway), *args))
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; only a local session may get its own."""
     sc = spark.sparkContext

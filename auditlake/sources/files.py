@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.dims import ALL_EXTENSIONS, C_EXTENSIONS, SKIP_DIRS
+from ..session import materialized
 
 OUTPUT_DIR = "_fixed"
 NON_CHARACTER = "\U0010FFFE"  # stands in for genuine U+FFFD while bad bytes are dropped
@@ -50,89 +53,163 @@ def normalize_newlines(code: Column) -> Column:
     return F.regexp_replace(code, r"\r\n?", "\n")
 
 
-def _glob(extensions: Sequence[str]) -> str:
-    any_case = lambda e: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e)
-    return "*{" + ",".join(any_case(e) for e in extensions) + "}"
-
-
 def plain_path(uri: Column) -> Column:
     """A path without the scheme of local files."""
     return F.regexp_replace(uri, r"^file:/+", "/")
 
 
-def qualified(spark: SparkSession, path: str) -> tuple[str, bool]:
-    """The absolute path with its scheme, and whether it is a folder."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    status = target.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(target)
-    return status.getPath().toString(), status.isDirectory()
+# ---------------------------------------------------------------- folders: listed and read by tasks
+
+LISTING = "path string, length bigint, modified bigint, folder boolean, error string"
+READ_MOST = (1 << 31) - 1 - (1 << 20)  # a text is one value of a row, which a JVM array must hold
+READ_SLICE = 1 << 25
+
 
+def open_store(uri: str):
+    """File system and path of a uri, as pyarrow knows it. Pass another function where stores need
+    settings of their own."""
+    from pyarrow import fs
 
-def unlisted(spark: SparkSession, root: str, extensions: Sequence[str], skip_dirs: Sequence[str]) -> list[str]:
-    """Source files that Spark's own listing leaves out: empty ones, and those with a name, or in a
-    folder, that begins with ``_`` or a dot. Only their paths come to the driver."""
-    fs = spark._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    found, open_ = [], [(root, False)]
-    while open_:
-        folder, hidden = open_.pop()
-        for status in fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(folder)):
-            at = status.getPath()
-            name = at.getName()
-            apart = hidden or name[0] in "._"
-            if status.isDirectory():
-                if name not in skip_dirs:
-                    open_.append((at.toString(), apart))
-            elif (apart or status.getLen() == 0) and _suffix(name) in extensions:
-                found.append(at.toString())
-    return found
+    scheme, colon, rest = re.sub("^file:/+", "file:///", uri).partition(":")
+    return fs.FileSystem.from_uri(f"{scheme}:{quote(rest, safe='/:@')}" if colon else uri)
 
 
-def _suffix(name: str) -> str:
-    rest = name.lstrip(".")
-    return "." + rest.rpartition(".")[2].lower() if "." in rest else ""
+def absolute(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, as Spark's own sources see it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target).toString()
 
 
-def _bytes_of(uris: DataFrame) -> DataFrame:
-    """path, content, error of each ``uri``, read on the executors."""
+def _lister(store: Callable):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
 
+        def entries(uri: str) -> Iterator[tuple]:
+            head = uri[:uri.index(":") + 1] if ":" in uri else ""
+            try:
+                system, path = store(uri)
+                children = system.get_file_info(fs.FileSelector(path))
+            except (OSError, ValueError) as problem:  # the folder becomes a row with its reason
+                yield uri, None, None, False, str(problem)
+                return
+            for x in children:
+                if x.type == fs.FileType.Directory and isinstance(system, fs.LocalFileSystem) and os.path.islink(x.path):
+                    continue  # links to folders are not followed
+                broken = x.type in (fs.FileType.NotFound, fs.FileType.Unknown)
+                at = f"{uri.rstrip('/')}/{x.base_name}" if head else x.path
+                yield (at, x.size, x.mtime_ns and x.mtime_ns // 1_000_000, x.type == fs.FileType.Directory,
+                       "not a readable file" if broken else None)
+            if isinstance(system, fs.LocalFileSystem):  # which leaves links that lead nowhere out
+                for name in set(os.listdir(path)) - {x.base_name for x in children}:
+                    yield f"{uri.rstrip('/')}/{name}", None, None, False, "no such file behind the link"
+
+        for batch in batches:
+            for uri in batch.column(0).to_pylist():
+                found = list(entries(uri))
+                for at in range(0, len(found), 10_000):
+                    columns = list(zip(*found[at:at + 10_000]))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (
+                        pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string()))], ["path", "length", "modified", "folder", "error"])
+    return run
+
+
+def list_files(spark: SparkSession, path: str, extensions: Sequence[str] = ALL_EXTENSIONS,
+               skip_dirs: Sequence[str] = SKIP_DIRS, store: Callable = open_store) -> DataFrame:
+    """path, length, modified, error of every source file below ``path`` (or of the one file):
+    hidden, empty and very large files as well. A folder that cannot be listed and an entry that
+    is no readable file are rows with an error.
+
+    Folders are rows: tasks list those of one level, and the next round takes the folders that
+    they found. A round is one job, so the driver sees depths, never names. Skipped names
+    count below ``path`` only."""
+    root = absolute(spark, path)
+    info = spark.createDataFrame([(root,)], "path string").coalesce(1).mapInArrow(_kind_of(store), "folder boolean, length bigint, modified bigint, error string").first()
+    if not info.folder:
+        only = spark.createDataFrame([(root, info.length, info.modified, info.error)], "path string, length bigint, modified bigint, error string")
+        return only.where(extension(F.col("path")).isin(list(extensions)))
+    name = text.basename(F.col("path"))
+    wanted = extension(F.col("path")).isin(list(extensions))
+    skipped = [*skip_dirs, OUTPUT_DIR]
+    level, found = spark.createDataFrame([(root,)], "path string"), []
+    wide = spark.sparkContext.defaultParallelism
+    while True:
+        here = materialized(level.repartition(wide, "path").mapInArrow(_lister(store), LISTING))
+        found.append(here.where("NOT folder").where(wanted | (F.col("error").isNotNull() & F.col("length").isNull())))
+        level = here.where("folder").where(~name.isin(skipped)).select("path")
+        if level.isEmpty():
+            break
+    whole = found[0]
+    for more in found[1:]:
+        whole = whole.unionByName(more)
+    return whole.select("path", "length", "modified", "error")
+
+
+def _kind_of(store: Callable):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         for batch in batches:
             for uri in batch.column(0).to_pylist():
-                content = error = None
+                folder, length, modified, error = False, None, None, None
                 try:
-                    store, path = fs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri)
-                    with store.open_input_stream(path) as stream:
-                        content = stream.read()
-                except OSError as problem:  # the file becomes a row with its reason
+                    system, path = store(uri)
+                    x = system.get_file_info(path)
+                    folder, length = x.type == fs.FileType.Directory, x.size
+                    modified = x.mtime_ns and x.mtime_ns // 1_000_000
+                    error = "no such file or folder" if x.type == fs.FileType.NotFound else None
+                except (OSError, ValueError) as problem:
                     error = str(problem)
+                yield pa.RecordBatch.from_arrays([pa.array([folder]), pa.array([length], pa.int64()), pa.array([modified], pa.int64()),
+                                                  pa.array([error], pa.string())], ["folder", "length", "modified", "error"])
+    return run
+
+
+def _reader(store: Callable, most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def read(uri: str, error: str | None) -> tuple[bytes | None, str | None]:
+            if error is not None:
+                return None, error
+            try:
+                system, path = store(uri)
+                with system.open_input_stream(path) as stream:
+                    parts, size = [], 0
+                    while part := stream.read(READ_SLICE):
+                        size += len(part)
+                        if size > most:
+                            return None, f"larger than {most} bytes"
+                        parts.append(part)
+                return b"".join(parts), None
+            except (OSError, ValueError) as problem:  # the file becomes a row with its reason
+                return None, str(problem)
+
+        for batch in batches:
+            for uri, error in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                content, error = read(uri, error)
                 yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([content], pa.binary()), pa.array([error], pa.string())],
                                                  ["path", "content", "error"])
+    return run
+
 
-    return uris.mapInArrow(run, "path string, content binary, error string")
+def read_listed(listed: DataFrame, store: Callable = open_store, most: int = READ_MOST) -> DataFrame:
+    """file_path, language, code, error of listed files (``path`` and ``error``), read by tasks. A
+    file that cannot be opened, or is larger than ``most``, has a null code and its reason."""
+    read = listed.select("path", "error").mapInArrow(_reader(store, most), "path string, content binary, error string")
+    return read.select(plain_path(F.col("path")).alias("file_path"), language_of(F.col("path")).alias("language"),
+                       decode(F.col("content")).alias("code"), "error")
 
 
 def load_files(spark: SparkSession, path: str, extensions: Sequence[str] = ALL_EXTENSIONS,
-               skip_dirs: Sequence[str] = SKIP_DIRS) -> DataFrame:
-    """file_path, language, code of every source file below ``path`` (or of one file), empty ones
-    and names that begin with ``_`` or a dot as well. A file of those that cannot be read has a
-    null code, and ``errors`` tells of it.
+               skip_dirs: Sequence[str] = SKIP_DIRS, store: Callable = open_store, most: int = READ_MOST) -> DataFrame:
+    """file_path, language, code, error of every source file below ``path`` (or of one file), empty
+    ones and hidden names as well. ``path`` may be relative or have a scheme. What cannot be
+    listed or read has a null code and a reason, which ``errors`` reports."""
+    listed = list_files(spark, path, extensions, skip_dirs, store)
+    return read_listed(spread(listed), store, most)
 
-    Skipped folders count below ``path`` only, which may be relative or have a scheme. The name
-    pattern prunes the listing and the path condition prunes files before they are read."""
-    skipped = [*skip_dirs, OUTPUT_DIR]
-    root, folder = qualified(spark, path)
-    base = re.sub("^file:/+", "/", root)
-    found = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-             .option("pathGlobFilter", _glob(extensions)).load(root))
-    below = base.rstrip("/") if folder else base.rpartition("/")[0]
-    listed = found.where(is_source(plain_path(F.col("_metadata.file_path")), below, extensions, skipped)).select("path", "content")
-    apart = unlisted(spark, root, extensions, skipped) if folder else []
-    if apart:
-        uris = spark.createDataFrame([(u,) for u in apart], "uri string").repartition(min(len(apart), 64))
-        listed = listed.unionByName(_bytes_of(uris).select("path", "content"))
-    return listed.select(plain_path(F.col("path")).alias("file_path"), language_of(F.col("path")).alias("language"),
-                         decode(F.col("content")).alias("code"))
+
+def spread(listed: DataFrame) -> DataFrame:
+    """Names dealt out again, a few for each task, since the files behind them are heavy."""
+    return listed.repartition(4 * listed.sparkSession.sparkContext.defaultParallelism, "path")
 
 
 def from_table(df: DataFrame, path: str, code: str) -> DataFrame:
@@ -147,6 +224,7 @@ def valid(files: DataFrame) -> DataFrame:
 
 def errors(files: DataFrame) -> DataFrame:
     """Rows that cannot be scanned, with the reason; the scan goes on without them."""
+    reason = F.col("error") if "error" in files.columns else F.lit(None).cast("string")
     return files.where(F.col("file_path").isNull() | F.col("code").isNull()).select(
-        "file_path", F.concat(F.coalesce("file_path", F.lit("")), F.when(
-            F.col("code").isNull(), ": no text").otherwise(": no path")).alias("error"))
+        "file_path", F.concat(F.coalesce("file_path", F.lit("")), F.lit(": "), F.when(F.col("file_path").isNull(), "no path")
+                              .otherwise(F.coalesce(reason, F.lit("no text")))).alias("error"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..session import sized_join
+from ..session import materialized, sized_join
 
 FINDING_FIELDS = [
     "file_path", "line", "column", "vuln_type", "rule_id", "cwe_id", "severity", "confidence",
@@ -43,24 +43,32 @@ def write_report(findings: DataFrame, summary: DataFrame, errors: DataFrame, fol
 
 def with_out_path(fixed: DataFrame, output_dir: str) -> DataFrame:
     """Where each fixed file goes: its base name, or parent/base name for all files as soon
-    as two files share a base name."""
+    as two files share a base name. The fixed files are written once; names and texts are both
+    read from there."""
+    kept = materialized(fixed)
     name = text.basename(F.col("file_path"))
-    clash = (fixed.select(name.alias("_name")).groupBy("_name").count().where("count > 1")
+    clash = (kept.select(name.alias("_name")).groupBy("_name").count().where("count > 1")
              .agg((F.count("*") > 0).alias("clash")).scalar())
     parent = F.element_at(F.split("file_path", "/", -1), -2)
-    return fixed.withColumn("out_path", F.concat(
+    return kept.withColumn("out_path", F.concat(
         F.lit(output_dir.rstrip("/") + "/"), F.when(clash, F.concat(parent, F.lit("/"))).otherwise(""), name))
 
 
 def write_fixed(fixed: DataFrame, output_dir: str) -> None:
-    with_out_path(fixed, output_dir).select("file_path", "out_path", "fixed_code").write.mode(
+    with_out_path(fixed.select("file_path", "fixed_code"), output_dir).select("file_path", "out_path", "fixed_code").write.mode(
         "overwrite").parquet(output_dir)
 
 
-def publish(fixed: DataFrame, files: DataFrame) -> DataFrame:
-    """Replacement set: original path, backup path and new text, or an error row."""
-    originals = files.select("file_path", F.lit(True).alias("_found"))
-    joined = sized_join(fixed.select("file_path", "fixed_code"), originals, "file_path", "left")
+def publish(fixed: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Replacement set: original path, backup path and new text, or an error row.
+
+    Fixed files that come from their own rows have the original beside them (``code``). For
+    others ``files`` tells which originals there are."""
+    if files is None:
+        joined = fixed.select("file_path", "fixed_code", F.col("code").isNotNull().alias("_found"))
+    else:
+        originals = files.select("file_path").distinct().withColumn("_found", F.lit(True))
+        joined = sized_join(fixed.select("file_path", "fixed_code"), originals, "file_path", "left")
     found: Column = F.coalesce("_found", F.lit(False))
     return joined.select(
         text.basename(F.col("file_path")).alias("filename"),

@@ -1,6 +1,7 @@
 """Rules and call sites: against Python's ``re`` on all derived files, and small cases."""
 
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -103,3 +104,27 @@ def test_many_calls_in_one_statement(spark, files_of):
     code = "int f() { x = " + " + ".join(f"g{i}(a, {i})" for i in range(20_000)) + "; }"
     got = calls.call_sites(files_of(a=code)).selectExpr("count(*) AS n", "max(size(args)) AS a").first()
     assert got.n == 20_000 and got.a == 2
+
+
+def test_nested_calls_in_linear_time(spark, files_of):
+    """Ten thousand levels: each bracket is paired once."""
+    depth = 10_000
+    code = "int f() { printf(" + "g(" * depth + "fmt, 1" + ")" * depth + ", x); }"
+    started = time.perf_counter()
+    got = calls.matched_calls(files_of(a=code)).collect()
+    assert [(r.rule_id, len(r.args)) for r in got] == [("AST-FMT-printf", 2)] and got[0].args[1] == "x"
+    assert time.perf_counter() - started < 60
+    some = calls.call_sites(files_of(a="x = " + "g(a, " * 300 + "b" + ")" * 300 + ";")).select("args").collect()
+    assert len(some) == 300 and all(len(r.args) == 2 for r in some) and {r.args[0] for r in some} == {"a"}
+    odd = calls.call_sites(files_of(a="f(a, (b, c); g(h(1), 2 ; k) m(3, n(4))")).collect()
+    assert {r.function_name: r.args for r in odd} == {"f": ["a", "(b, c)"], "g": ["h(1)", "2"], "h": ["1"], "m": ["3", "n(4)"], "n": ["4"]}
+
+
+def test_running_sums_and_runs(spark):
+    from auditlake.functions.arrays import running, runs
+
+    rows = [([],), ([5],), (list(range(-9, 40)),), ([1] * 1000,)]
+    df = spark.createDataFrame(rows, "v array<bigint>")
+    for r in df.select("v", running(F.col("v")).alias("s"), runs(F.col("v"), lambda a, x: x > a, lambda run: F.size(run)).alias("n")).collect():
+        assert r.s == [sum(r.v[:i + 1]) for i in range(len(r.v))]
+        assert sum(r.n) == len(r.v) and len(r.n) == (len(r.v) and 1 + sum(x > a for a, x in zip(r.v, r.v[1:])))

@@ -37,6 +37,33 @@ def test_load_folder_and_file(spark, tmp_path, monkeypatch):
     assert src.errors(src.load_files(spark, str(root))).count() == 0
 
 
+def test_unreadable_files_are_rows(spark, tmp_path):
+    root = tmp_path / "in"
+    tree(root)
+    (root / "dead.c").symlink_to(root / "nowhere.c")
+    (root / "loop").symlink_to(root)
+    (root / "sub" / "big.c").write_bytes(b"gets(a);" * 500)
+    (root / "deep" / "er").mkdir(parents=True)
+    (root / "deep" / "er" / "z.h").write_text("gets(z);")
+
+    def store(uri):
+        if uri.endswith("/er"):
+            raise PermissionError("not allowed here")
+        return src.open_store(uri)
+
+    files = src.load_files(spark, str(root), store=store, most=3000)
+    got = {r.file_path[len(str(root)) + 1:]: r.error for r in src.errors(files).collect()}
+    assert set(got) == {"dead.c", "sub/big.c", "deep/er"}
+    assert "larger than 3000 bytes" in got["sub/big.c"] and "not allowed here" in got["deep/er"] and got["dead.c"].startswith(f"{root}/dead.c: ")
+    assert {r.file_path.rsplit("/", 1)[1] for r in src.valid(files).collect()} == {"a.c", "B.CPP", "bad.h", "empty.c"}
+    assert merge.scan(files).select("file_path").distinct().count() == 2
+    summary = analyze.summary(merge.scan_files(files), str(root)).first()
+    assert (summary.files_scanned, summary.files_with_issues) == (7, 2)
+    gone = src.load_files(spark, str(tmp_path / "gone.c")).collect()
+    assert len(gone) == 1 and gone[0].code is None and "no such file" in gone[0].error
+    assert src.load_files(spark, str(root / "sub" / "c.txt")).count() == 0
+
+
 def test_errors_and_tables(spark):
     t = spark.createDataFrame([("x/a.H", "b\r\nc"), ("y.hh", None)], "p string, t string")
     f = src.from_table(t, "p", "t")
@@ -62,13 +89,24 @@ def test_json_and_fixed_files(spark, files_of, tmp_path):
 def test_stream_equals_batch(spark, tmp_path):
     folder = tmp_path / "in"
     tree(folder)
+    (folder / "_h.c").write_text("gets(h);")
     def run():
-        scan_stream(read_arriving(spark, str(folder)), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+        scan_stream(read_arriving(spark, str(folder), str(tmp_path / "names")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
         return {(r.file_path, r.rule_id, r.line) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     batch = lambda: {(r.file_path, r.rule_id, r.line) for r in merge.scan(src.load_files(spark, str(folder))).collect()}
     assert run() == batch()
     (folder / "late.c").write_text("strcpy(a, b);")
+    (folder / ".hid").mkdir()
+    (folder / ".hid" / "x.c").write_text("system(a);")
     assert run() == batch()
+    # nothing new: no batch; a batch that runs again replaces its own output
+    before = sorted(p.name for p in (tmp_path / "out").iterdir())
+    assert run() == batch() and sorted(p.name for p in (tmp_path / "out").iterdir()) == before
+    last = max((tmp_path / "cp" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    last.unlink()
+    (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+    rows = spark.read.parquet(str(tmp_path / "out")).count()
+    assert run() == batch() and spark.read.parquet(str(tmp_path / "out")).count() == rows
 
 
 def test_seq_pairs_nearest_partner(spark, files_of):
