@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import TERM_BYTES, slices, stored
 
 BITS = 20  # 2^BITS coordinates bound the weights
-SAMPLE = 60_000  # labelled rows to learn from, about; fewer are all taken
+SAMPLE = 30_000  # labelled rows to learn from, about; fewer are all taken
 SHARD = 15_000  # rows of a shard
 ROUNDS = 10
 SEEN, SHARE = 3, 5_000  # a feature must stand in so many texts of the sample, and in one of SHARE
@@ -159,55 +159,51 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
 
     labelled = chosen.count()
     shards = max(1, math.ceil(labelled / SHARD))
-    usual = np.zeros(1 << BITS, bool)
     held = taught.select("_text").mapInArrow(_holders, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n"))
-    usual[held.where(F.col("n") >= max(SEEN, labelled // SHARE)).select("at").toArrow()["at"].to_numpy()] = True  # at most one row for each coordinate
-    kept = spark.sparkContext.broadcast(np.packbits(usual))
+    # at most one row for each coordinate; from here on a feature is its place among these
+    usual = np.sort(held.where(F.col("n") >= max(SEEN, labelled // SHARE)).select("at").toArrow()["at"].to_numpy())
+    kept = spark.sparkContext.broadcast(usual.astype(np.int32))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        usual = np.unpackbits(kept.value).astype(bool)
+        place = np.full(1 << BITS, -1, np.int32)
+        place[kept.value] = np.arange(len(kept.value))
         for batch in batches:
             for part in slices(batch, 0, SLICE):
-                once = _once(part.column(0), usual)
+                once = _once(part.column(0), place >= 0)
                 ends = np.searchsorted(once, np.arange(part.num_rows + 1) << BITS)
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((once & ((1 << BITS) - 1)).astype(np.int32)))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place[once & ((1 << BITS) - 1)]))
                 yield pa.RecordBatch.from_arrays([lists, *part.columns[1:]], ["at", "label", "turn"])
 
     turn = taught.select("_text", F.col("_label").alias("label"), F.xxhash64(F.lit("turn"), "_id", "_text", "_label").alias("turn"))
     dealt = stored(turn.mapInArrow(extract, "at array<int>, label double, turn bigint").repartition(shards, "turn")
                    .sortWithinPartitions("turn").select("at", "label"))
-    z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
+    size = len(usual) + 1
+    z, n = np.zeros(size), np.zeros(size)
     for _ in range(ROUNDS):
-        hit = np.flatnonzero(n)
-        shared = spark.sparkContext.broadcast((hit, z[hit], n[hit]))  # BITS bounds it
+        shared = spark.sparkContext.broadcast((z, n))
 
         def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            at, zs, ns = shared.value
-            z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
-            z[at], n[at] = zs, ns
-            old_z, old_n = z.copy(), n.copy()
+            (old_z, old_n), z, n = shared.value, shared.value[0].copy(), shared.value[1].copy()
             for batch in batches:
                 for where, label in zip(batch.column(0), batch.column(1).to_pylist()):
-                    _learn(z, n, np.append(where.values.to_numpy(), 1 << BITS), label)
-            new = np.flatnonzero(n != old_n)
-            lists = [pa.array([v], pa.list_(t)) for v, t in ((new.astype(np.int32), pa.int32()), (z[new] - old_z[new], pa.float64()),
-                                                             (n[new] - old_n[new], pa.float64()))]
-            yield pa.RecordBatch.from_arrays(lists, ["at", "z", "n"])
+                    _learn(z, n, np.append(where.values.to_numpy(), size - 1), label)
+            yield pa.RecordBatch.from_arrays([pa.array([v], pa.list_(pa.float32())) for v in (
+                (z - old_z).astype(np.float32), (n - old_n).astype(np.float32))], ["z", "n"])
 
         # one row for each shard, and SAMPLE / SHARD bounds these
-        moved, touched = [np.zeros((1 << BITS) + 1) for _ in range(2)], np.zeros((1 << BITS) + 1)
-        for at, zs, ns in zip(*(c.combine_chunks() for c in dealt.mapInArrow(learn, "at array<int>, z array<double>, n array<double>").toArrow().columns)):
-            at = at.values.to_numpy()
-            touched[at] += 1
-            moved[0][at] += zs.values.to_numpy()
-            moved[1][at] += ns.values.to_numpy()
-        hit = touched > 0
-        z[hit] += moved[0][hit] / touched[hit]
-        n[hit] += moved[1][hit] / touched[hit]
-        shared.unpersist()
+        moved, touched = [np.zeros(size), np.zeros(size)], np.zeros(size)
+        for zs, ns in zip(*(c.combine_chunks() for c in dealt.mapInArrow(learn, "z array<float>, n array<float>").toArrow().columns)):
+            zs, ns = zs.values.to_numpy().astype(np.float64), ns.values.to_numpy().astype(np.float64)
+            touched += ns > 0
+            moved[0] += zs
+            moved[1] += ns
+        z += moved[0] / np.maximum(touched, 1)
+        n += moved[1] / np.maximum(touched, 1)
+        shared.destroy()
+    kept.destroy()
     w = weights(z, n)
     at = np.flatnonzero(w[:-1])
-    return Model(at.astype(np.int32), w[at].astype(np.float32), float(-z[-1] / ((BETA + math.sqrt(n[-1])) / ALPHA)))
+    return Model(usual[at].astype(np.int32), w[at].astype(np.float32), float(-z[-1] / ((BETA + math.sqrt(n[-1])) / ALPHA)))
 
 
 def score(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text", limit: float = 0.7) -> DataFrame:
