@@ -103,6 +103,54 @@ def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordB
         at = end
 
 
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base^0 .. base^(n-1) modulo 2^64."""
+    out = np.ones(n, np.uint64)
+    done, step = 1, base
+    while done < n:
+        out[done:2 * done] = out[:min(done, n - done)] * np.uint64(step)
+        step = step * step % (1 << 64)
+        done *= 2
+    return out
+
+
+def word_hashes(texts: pa.Array, table: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and row of every word of a column, in order; a null text has none. ``table`` says what a
+    byte counts as; blanks (32) end a word.
+
+    A word's hash is its polynomial over the bytes, taken from running sums over the whole column,
+    so no word becomes an object and nothing is remembered."""
+    texts = texts.cast(pa.large_string())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    size = int(ends[-1] - ends[0]) if len(texts) else 0
+    if not size:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    raw = np.frombuffer(texts.buffers()[2], np.uint8)[ends[0]:ends[-1]]
+    raw = np.frombuffer(table, np.uint8)[raw]
+    ends = ends - ends[0]
+    inside = raw != 32
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    first[ends[:-1][ends[:-1] < size]] |= inside[ends[:-1][ends[:-1] < size]]
+    begin = np.flatnonzero(first)
+    stop = inside.copy()
+    stop[:-1] &= ~inside[1:] | first[1:]
+    end = np.flatnonzero(stop) + 1
+    sums = np.zeros(size + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers(BASE, size), out=sums[1:])
+    hashes = (sums[end] - sums[begin]) * _powers(INVERSE, size)[begin]
+    return mix(hashes), np.searchsorted(ends, begin, "right") - 1
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
 def find(parent: dict, x):
     root = x
     while (up := parent.get(root, root)) != root:

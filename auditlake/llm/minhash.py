@@ -16,28 +16,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, find, running_sum, stored
+from .common import components, find, running_sum, slices, stored, word_hashes
 
-LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+# A-Z to lower case, white space to blanks
+WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 MIX = np.uint64(0x9E3779B97F4A7C15)
-KNOWN_WORDS = 1 << 19  # hashes that a worker remembers
 STEP = 2048  # shingles hashed or compared at once
-BLOCK = 128  # documents in a block
-
-
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-HASHES = WordHashes()
+BLOCK = 128  # documents in a block; one counts once more for every LARGE shingles
+LARGE = 4096
+SLICE = 1 << 20  # bytes of text worked on at once
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -45,15 +35,24 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
+    """For each text of a column the sorted 64-bit hashes of its distinct shingles; A-Z are
+    lower-cased and words end at ASCII white space. A text with fewer words is one shingle; without
+    words there is none."""
+    hashes, rows = word_hashes(texts, WORD_BYTES)
+    ends = np.searchsorted(rows, np.arange(len(texts) + 1))
+    return [_shingles(hashes[a:b], size) for a, b in zip(ends[:-1], ends[1:])]
+
+
 def shingles(text: str | None, size: int) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct shingles of a text; A-Z are lower-cased and words end
-    at ASCII white space. A text with fewer words is one shingle; without words there is none."""
-    words = text.encode().translate(LOWER).split() if text else []
-    if not words:
+    return shingle_sets(pa.array([text], pa.large_string()), size)[0]
+
+
+def _shingles(h: np.ndarray, size: int) -> np.ndarray:
+    if not len(h):
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
-    size = min(size, len(words))
-    n = len(words) - size + 1
+    size = min(size, len(h))
+    n = len(h) - size + 1
     s = np.full(n, size, np.uint64)
     for j in range(size):
         s = mixed((s ^ h[j:j + n]) * MIX + np.uint64(j))
@@ -76,10 +75,9 @@ def sketches(docs: DataFrame, id: str, text: str, shingle: int, bands: int, rows
     factors = np.random.default_rng(2718281828).integers(0, 2**64, bands * rows // 2, np.uint64) | np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in (p for batch in batches for p in slices(batch, 1, SLICE)):
             sizes, digests, keys = [], [], []
-            for t in batch.column(1).to_pylist():
-                s = shingles(t, shingle)
+            for s in shingle_sets(part.column(1), shingle):
                 sizes.append(len(s))
                 if len(s):
                     digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
@@ -92,7 +90,7 @@ def sketches(docs: DataFrame, id: str, text: str, shingle: int, bands: int, rows
                     digests.append(None)
                     keys.append(None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
+                [part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
                  pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "bands"])
 
     slim = docs.select(docs[id].cast("bigint").alias("doc_id"), docs[text].cast("string").alias("text"))
@@ -103,16 +101,17 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     """The pairs ``u, v`` whose full shingle sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, b = None, np.empty(0, np.uint64)
-        for batch in batches:
+        for part in (q for batch in batches for p in slices(batch, 2, SLICE) for q in slices(p, 3, 4 * SLICE)):
+            # pairs come sorted by v, so each of its texts is cut once a slice
+            v = part.column(1).to_numpy()
+            fresh = np.append(True, v[1:] != v[:-1])
+            others = shingle_sets(part.column(3).filter(pa.array(fresh)), shingle)
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if y != last:
-                    last, b = y, shingles(y, shingle)
-                a = shingles(x, shingle)
+            for a, k in zip(shingle_sets(part.column(2), shingle), np.cumsum(fresh) - 1):
+                b = others[k]
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 keep.append(100 * both >= percent * (len(a) + len(b) - both) and both > 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     one = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u"))
     two = texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v"))
@@ -154,7 +153,7 @@ def joined(pairs: DataFrame, blocks: DataFrame, shingle: int, percent: int) -> D
                         members = batch.column(2 + c)[k].as_py()
                         known = {x: y for x, y in known.items() if x == batch.column(0)[k].as_py()}
                         known[name] = ([m["doc_id"] for m in members], [m["part"] for m in members],
-                                       [shingles(m["text"], shingle) for m in members])
+                                       shingle_sets(pa.array([m["text"] for m in members], pa.large_string()), shingle))
                     sides.append(known[name])
                 (ids, parts, sets), (ids2, parts2, sets2) = sides
                 parent: dict[int, int] = {}
@@ -206,10 +205,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     at = stored(at.join(open_.select("bucket", "least"), "bucket"))
     groups = components(at.select(F.col("doc_id").alias("u"), F.col("least").alias("v")))
     placed = at.select("doc_id", "part").distinct().join(groups.withColumnRenamed("node", "doc_id"), "doc_id")
-    placed = running_sum(placed.withColumn("one", F.lit(1)), ["component"], ["doc_id"], "one", "at")
+    # a document of very many shingles fills a block by itself
+    sizes = classes.groupBy("doc_id").agg((1 + F.expr(f"max(n_shingles) div {LARGE}")).alias("size"))
+    weighed = placed.join(sizes, "doc_id")
+    placed = running_sum(weighed, ["component"], ["doc_id"], "size", "at")
     block = F.xxhash64("component", F.floor((F.col("at") - 1) / BLOCK))
     placed = stored(placed.select("doc_id", "part", block.alias("block")))
-    # a block holds BLOCK documents at most
+    # a block holds BLOCK documents at most, and BLOCK * LARGE shingles unless it is one document
     blocks = stored(placed.join(texts.hint("merge"), "doc_id").groupBy("block").agg(
         F.collect_list(F.struct("doc_id", "part", "text")).alias("docs")))
     held = at.select("bucket", "doc_id").join(placed.select("doc_id", "block"), "doc_id").select("bucket", "block").distinct()

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TERM_BYTES, slices, stored
+from .common import TERM_BYTES, mix, slices, stored, word_hashes
 
 BITS = 20  # 2^BITS coordinates bound the weights
 SAMPLE = 30_000  # labelled rows to learn from, about; fewer are all taken
@@ -27,51 +27,12 @@ SHARD = 15_000  # rows of a shard
 ROUNDS = 10
 SEEN, SHARE = 3, 5_000  # a feature must stand in so many texts of the sample, and in one of SHARE
 ALPHA, BETA, L1, L2 = 3.0, 1.0, 8.0, 0.1
-BASE = 0x9E3779B97F4A7C15 | 1
-INVERSE = pow(BASE, -1, 1 << 64)
 SLICE = 1 << 20
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    """base^0 .. base^(n-1) modulo 2^64."""
-    out = np.ones(n, np.uint64)
-    done, step = 1, base
-    while done < n:
-        out[done:2 * done] = out[:min(done, n - done)] * np.uint64(step)
-        step = step * step % (1 << 64)
-        done *= 2
-    return out
-
-
-def mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29))
-
-
 def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and row of every word of a column, in order; a null text has none.
-
-    A word's hash is its polynomial over the bytes, taken from running sums over the whole column."""
-    texts = texts.cast(pa.large_string())
-    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
-    size = int(ends[-1] - ends[0]) if len(texts) else 0
-    if not size:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    raw = np.frombuffer(texts.buffers()[2], np.uint8)[ends[0]:ends[-1]]
-    raw = np.frombuffer(TERM_BYTES, np.uint8)[raw]
-    ends = ends - ends[0]
-    inside = raw != 32
-    first = inside.copy()
-    first[1:] &= ~inside[:-1]
-    first[ends[:-1][ends[:-1] < size]] |= inside[ends[:-1][ends[:-1] < size]]
-    begin = np.flatnonzero(first)
-    stop = inside.copy()
-    stop[:-1] &= ~inside[1:] | first[1:]
-    end = np.flatnonzero(stop) + 1
-    sums = np.zeros(size + 1, np.uint64)
-    np.cumsum(raw.astype(np.uint64) * _powers(BASE, size), out=sums[1:])
-    hashes = (sums[end] - sums[begin]) * _powers(INVERSE, size)[begin]
-    return mix(hashes), np.searchsorted(ends, begin, "right") - 1
+    """Hash and row of every word of a column, in order; a null text has none."""
+    return word_hashes(texts, TERM_BYTES)
 
 
 def features(hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
