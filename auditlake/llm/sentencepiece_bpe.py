@@ -11,21 +11,27 @@ before word marks and the pieces of frequent words are remembered.
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
-import re
+
+from .common import slices
 
 MARK = "▁"
 NEVER = float("-inf")
 REMEMBERED = 1 << 18  # words and piece pairs kept by a worker
 LONG_WORD = 64  # longer words are not remembered
+SLICE = 1 << 20  # bytes of text encoded at once
+WORDS = re.compile(f"{MARK}+[^{MARK}]*")
 
 
 class Model:
@@ -51,11 +57,18 @@ class Model:
         self.automaton = ahocorasick.Automaton()
         for p, i in self.ids.items():
             if len(p) > 1:
-                self.automaton.add_word(p, (len(p), i))
+                self.automaton.add_word(p, (len(p) - 1, (len(p), i)))
         self.automaton.make_automaton()
+        self.longest = ahocorasick.Automaton()  # with single characters: longest matches end to end
+        for p, i in self.ids.items():
+            self.longest.add_word(p, (len(p), i))
+        self.longest.make_automaton()
         self.history = lru_cache(None)(self._history)  # a few steps for each piece
         self.single = {p: (1, i) for p, i in self.ids.items() if len(p) == 1}
-        self.plain = [p.replace(MARK, " ") for p in self.pieces]
+        self.plain = pa.array([p.replace(MARK, " ") for p in self.pieces], pa.string())
+        usual = set(plain)
+        self.odd = np.array([i not in usual for i in range(len(self.pieces))])
+        self.led = np.array([p.startswith(MARK) for p in self.pieces])
         self.fit: dict[int, dict[int, bool]] = defaultdict(dict)  # by left and right id
         self.fits = 0
         self.word = lru_cache(REMEMBERED)(self._word)
@@ -113,14 +126,25 @@ class Model:
     def split(self, word: str) -> list[int]:
         """Piece ids of a word that starts with its marks; ``~i`` is the i-th character where it
         has no piece and so merges with nothing."""
-        n = len(word)
+        n, fit, last = len(word), self.fit, -1
+        # most often the longest pieces, one behind the other, are compatible at once
+        taken = [found for _, found in self.longest.iter_long(word)]
+        covered = 0
+        for length, piece in taken:
+            ok = fit[last].get(piece)
+            if not (self.compatible(last, piece) if ok is None else ok):
+                break
+            covered += length
+            last = piece
+        if covered == n:
+            return [piece for _, piece in taken]
         fits: list = [[x] for x in map(self.single.get, word)]  # at a position, the longest piece last
-        for end, found in self.automaton.iter(word):
-            fits[end - found[0] + 1].append(found)
-        if not self.single.keys() >= set(word):
+        if [None] in fits:
             for i, found in enumerate(fits):
                 found[0] = found[0] or (1, ~i)
-        fit, failed = self.fit, bytearray(n + 1)
+        for end, (back, found) in self.automaton.iter(word):
+            fits[end - back].append(found)
+        failed = bytearray(n + 1)
         taken: list[int] = []
         begun: list[int] = []
         pos, last = 0, -1
@@ -146,28 +170,55 @@ class Model:
                 last = taken[-1] if taken and taken[-1] >= 0 else -1
         return taken
 
-    def _word(self, word: str) -> tuple[list[int], str]:
+    def _word(self, word: str) -> list[int]:
         ids = self.split(word)
-        if min(ids) < 0:
-            whole: list[int] = []
-            for i in ids:
-                if i >= 0:
-                    whole.append(i)
-                elif self.bytes:
-                    whole.extend(self.bytes[b] for b in word[~i].encode())
-                else:
-                    whole.append(self.unknown)
-            return whole, self.text(whole)
-        return ids, "".join(map(self.plain.__getitem__, ids))
-
-    def words(self, text: str) -> list[tuple[list[int], str]]:
-        """Ids and decoded text of each word. A text gets one leading mark, as the library adds it."""
-        if not text:
-            return []
-        marked = MARK + text.replace(" ", MARK)
-        found = re.findall(f"{MARK}+[^{MARK}]*", marked)
-        get = self.word
-        return [get(w) if len(w) <= LONG_WORD else self._word(w) for w in found]
+        if min(ids) >= 0:
+            return ids
+        whole: list[int] = []
+        for i in ids:
+            if i >= 0:
+                whole.append(i)
+            elif self.bytes:
+                whole.extend(self.bytes[b] for b in word[~i].encode())
+            else:
+                whole.append(self.unknown)
+        return whole
+
+    def words(self, text: str) -> list[str]:
+        """The words of a text, each with the marks before it. A text gets one leading mark, as the
+        library adds it."""
+        return WORDS.findall(MARK + text.replace(" ", MARK)) if text else []
+
+    def encoded(self, texts: list[str | None]) -> pa.LargeListArray:
+        """Ids of each of some texts: each distinct word is encoded once, the rest is taking in Arrow."""
+        found = [self.words(t or "") for t in texts]
+        ends = np.cumsum([0, *map(len, found)])
+        flat = pa.array(list(chain.from_iterable(found)), pa.large_string()).dictionary_encode()
+        known = [self.word(w) if len(w) <= LONG_WORD else self._word(w) for w in flat.dictionary.to_pylist()]
+        size = np.array([*map(len, known)], np.int64)
+        pieces = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(size)]),
+                                               pa.array(np.array([*chain.from_iterable(known)], np.int32)))
+        code = flat.indices
+        upto = np.concatenate([[0], np.cumsum(size[code.to_numpy()])]) if len(known) else np.zeros(1, np.int64)
+        return pa.LargeListArray.from_arrays(upto[ends], pieces.take(code).flatten())
+
+    def decoded(self, ids: pa.LargeListArray) -> list[str] | pa.Array:
+        """Texts of some lists of ids without nulls. Where all ids are pieces, taking and joining in
+        Arrow; a text with bytes, unknown or control ids goes id by id."""
+        ends = ids.offsets.to_numpy().astype(np.int64)
+        flat = ids.values.to_numpy()[ends[0]:ends[-1]]
+        ends = ends - ends[0]
+        said = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), self.plain.take(pa.array(flat)))
+        texts = pc.binary_join(said, "").to_pylist()
+        odd = np.concatenate([[0], np.cumsum(self.odd[flat])])
+        first = np.zeros(len(texts), bool)
+        filled = ends[1:] > ends[:-1]
+        first[filled] = self.led[flat[ends[:-1][filled]]]
+        for i in np.flatnonzero(first):
+            texts[i] = texts[i][1:]
+        for i in np.flatnonzero(odd[ends[1:]] > odd[ends[:-1]]):
+            texts[i] = self.decode(flat[ends[i]:ends[i + 1]].tolist())
+        return texts
 
     def text(self, ids: list[int]) -> str:
         """What ids stand for, word marks as blanks. Bytes that are no UTF-8 become U+FFFD."""
@@ -217,35 +268,26 @@ def _schema(docs: DataFrame, added: list[T.StructField]) -> T.StructType:
     return T.StructType([f for f in docs.schema.fields if f.name.lower() not in names] + added)
 
 
-def encode(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``ids`` (array of int) and ``decoded`` (the ids as text again).
+def encode(docs: DataFrame, model_path: str, text: str = "text", decoded: bool = True) -> DataFrame:
+    """All columns of ``docs`` and ``ids`` (array of int) and, if asked for, ``decoded`` (the ids as
+    text again).
 
     The whole text is encoded, without begin or end ids. A null or empty text gives no ids and
     an empty ``decoded``. A blank and a literal word mark decode to a blank. Columns of these two
-    names in the input are replaced. Rows are independent: no shuffle, repeated rows repeat."""
-    schema = _schema(docs, [T.StructField("ids", T.ArrayType(T.IntegerType(), False), False),
-                            T.StructField("decoded", T.StringType(), False)])
-    keep = [f.name for f in schema.fields[:-2]]
+    names in the input are replaced. Rows are independent: no shuffle, repeated rows repeat. Texts are
+    encoded in slices of about a megabyte; a longer one is a slice."""
+    added = [T.StructField("ids", T.ArrayType(T.IntegerType(), False), False), T.StructField("decoded", T.StringType(), False)][:1 + decoded]
+    schema = _schema(docs, added)
+    keep = [f.name for f in schema.fields[:-len(added)]]
     side = docs.select(*[docs[k] for k in keep], docs[text].cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(model_path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids, ends, texts = [], [0], []
-                for t in part.column(part.num_columns - 1).to_pylist():
-                    flat: list[int] = []
-                    back: list[str] = []
-                    for w, s in m.words(t or ""):
-                        flat += w
-                        back.append(s)
-                    ids.append(np.array(flat, np.int32))
-                    ends.append(ends[-1] + len(flat))
-                    texts.append("".join(back)[1:])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
-                columns = [part.column(i) for i in range(part.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*columns, lists, pa.array(texts, pa.string())], [*keep, "ids", "decoded"])
+            for part in slices(batch, batch.num_columns - 1, SLICE):
+                ids = m.encoded(part.column(part.num_columns - 1).to_pylist())
+                columns = [*part.columns[:-1], ids.cast(pa.list_(pa.int32())), *([pa.array(m.decoded(ids), pa.string())] if decoded else [])]
+                yield pa.RecordBatch.from_arrays(columns, [*keep, *[f.name for f in added]])
 
     return side.mapInArrow(run, schema)
 

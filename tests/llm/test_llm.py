@@ -115,8 +115,8 @@ def test_sentencepiece_random():
     for _ in range(3000):
         text = "".join(rnd.choice(pieces) for _ in range(rnd.randint(1, 6))) if rnd.random() < .5 else "".join(
             rnd.choice("ab ▁e\n.-=1éß字\x00") for _ in range(rnd.randint(1, 60)))
-        ids = [i for w, _ in model.words(text) for i in w]
-        assert ids == lib.encode(text) and model.decode(ids) == lib.decode(ids)
+        ids = model.encoded([text])[0].as_py()
+        assert ids == lib.encode(text) and model.decode(ids) == lib.decode(ids) == model.decoded(model.encoded([text]))[0]
 
 
 # 3
