@@ -65,7 +65,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens and ids of every document."""
     tokens = sentencepiece_bpe.encode(docs.select("doc_id", "lang", "source", "text"),
-                                      public_tokenizers.path("piece_bpe_32k.model"))
+                                      public_tokenizers.path("piece_bpe_32k.model"), decoded=False)
     return tokens.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids")
 
 
