@@ -25,7 +25,7 @@ BITS = 20  # 2^BITS coordinates bound the weights
 SAMPLE = 30_000  # labelled rows to learn from, about; fewer are all taken
 SHARD = 15_000  # rows of a shard
 ROUNDS = 10
-SEEN, SHARE = 3, 5_000  # a feature must stand in so many texts of the sample, and in one of SHARE
+SEEN, SHARE = 3, 2_000  # a feature must stand in so many texts of the sample, and in one of SHARE
 ALPHA, BETA, L1, L2 = 3.0, 1.0, 8.0, 0.1
 SLICE = 1 << 20
 
