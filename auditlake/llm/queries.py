@@ -147,48 +147,38 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, shown.join(marks, "doc_id"), RULES).select("page_id", "host", "path", "rule", "verdict", "template")
 
 
-def _tree_sql() -> str:
-    """The levels of the template tree, written out."""
-    d, keys = url_filter.DEPTH, url_filter.KEYS
-    eq = lambda a, b, names: " AND ".join(f"{a}.{n} IS NOT DISTINCT FROM {b}.{n}" for n in names)
-    sql = [f"""WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+def _tree_sql(levels: int = 4) -> str:
+    """The levels of the template tree, written out; deeper than the given paths, which have two."""
+    sql = [r"""WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
        regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path FROM pages),
-p AS (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM u),
-v AS (SELECT page_id, host, path, {', '.join(f"CASE WHEN regexp_matches(parts[{k + 1}], '[0-9]') THEN '*' ELSE parts[{k + 1}] END AS s{k}" for k in range(d))},
-             CASE WHEN len(parts) > {d} THEN '**' END AS rest FROM p),
-m AS (SELECT page_id, max((quality = 0 OR toxic = 1)::INT) AS bad FROM (SELECT page_id, try_cast(regexp_extract(path, '/([0-9]{{1,18}})[^/]*$', 1) AS BIGINT) AS doc_id FROM u) x
+v AS (SELECT *, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '*' ELSE x END) AS s FROM u),
+m AS (SELECT page_id, max((quality = 0 OR toxic = 1)::INT) AS bad FROM (SELECT page_id, try_cast(regexp_extract(path, '/([0-9]{1,18})[^/]*$', 1) AS BIGINT) AS doc_id FROM u) x
       JOIN labels USING (doc_id) WHERE (quality = 0 OR toxic = 1) IS NOT NULL GROUP BY page_id),
-c AS (SELECT host, {', '.join(keys)}, count(*) AS pages, count(bad) AS labels, coalesce(sum(bad), 0)::BIGINT AS bad
-      FROM v LEFT JOIN m USING (page_id) GROUP BY ALL),
-x0 AS (SELECT *, {', '.join(f's{k} AS t{k}' for k in range(d))} FROM c)"""]
+c AS (SELECT host, s, count(*) AS pages, count(bad) AS labels, coalesce(sum(bad), 0)::BIGINT AS bad FROM v LEFT JOIN m USING (page_id) GROUP BY ALL),
+x0 AS (SELECT *, s AS t FROM c)"""]
     n = 0
-    for k in range(d):
-        above = ["host", *[f"t{i}" for i in range(k)]]
-        names = [*above, f"t{k}"]
-        sql.append(f"""f{n} AS (SELECT {', '.join(names)}, sum(pages) AS own FROM x{n} WHERE t{k} IS NOT NULL GROUP BY ALL),
-g{n} AS (SELECT *, count(*) OVER w AS kinds, sum(own) OVER w AS total FROM f{n} WINDOW w AS (PARTITION BY {', '.join(above)})),
-x{n + 1} AS (SELECT x.* REPLACE (CASE WHEN g.kinds > {url_filter.SIBLINGS} AND 100 * g.own * g.kinds < {url_filter.RARE} * g.total THEN '*' ELSE x.t{k} END AS t{k})
-      FROM x{n} x LEFT JOIN g{n} g ON {eq('x', 'g', names)})""")
+    wild = lambda k: f"x.t[1:{k}] || ['*'] || x.t[{k + 2}:]"
+    for k in range(levels):
+        sql.append(f"""f{n} AS (SELECT host, t[1:{k + 1}] AS key, t[1:{k}] AS above, sum(pages) AS own FROM x{n} WHERE len(t) > {k} GROUP BY ALL),
+g{n} AS (SELECT *, count(*) OVER w AS kinds, sum(own) OVER w AS total FROM f{n} WINDOW w AS (PARTITION BY host, above)),
+x{n + 1} AS (SELECT x.* REPLACE (CASE WHEN g.kinds > {url_filter.SIBLINGS} AND 100 * g.own * g.kinds < {url_filter.RARE} * g.total THEN {wild(k)} ELSE x.t END AS t)
+      FROM x{n} x LEFT JOIN g{n} g ON x.host = g.host AND x.t[1:{k + 1}] = g.key)""")
         n += 1
-    for k in reversed(range(d)):
-        above = ["host", *[f"t{i}" for i in range(k)]]
-        names = [*above, f"t{k}"]
-        sql.append(f"""f{n} AS (SELECT {', '.join(names)}, sum(labels) AS l, sum(bad) AS b FROM x{n} WHERE t{k} IS NOT NULL GROUP BY ALL),
-g{n} AS (SELECT *, sum(l) OVER w AS al, sum(b) OVER w AS ab FROM f{n} WINDOW w AS (PARTITION BY {', '.join(above)})),
-x{n + 1} AS (SELECT x.* REPLACE (CASE WHEN ((b * al - l * ab) * (b * al - l * ab))::DOUBLE <= {url_filter.Z2} * (l * ab * (al - ab))::DOUBLE THEN '*' ELSE x.t{k} END AS t{k})
-      FROM x{n} x LEFT JOIN g{n} g ON {eq('x', 'g', names)})""")
+    for k in reversed(range(levels)):
+        sql.append(f"""f{n} AS (SELECT host, t[1:{k + 1}] AS key, t[1:{k}] AS above, sum(labels) AS l, sum(bad) AS b FROM x{n} WHERE len(t) > {k} GROUP BY ALL),
+g{n} AS (SELECT *, sum(l) OVER w AS al, sum(b) OVER w AS ab FROM f{n} WINDOW w AS (PARTITION BY host, above)),
+x{n + 1} AS (SELECT x.* REPLACE (CASE WHEN ((b * al - l * ab) * (b * al - l * ab))::DOUBLE <= {url_filter.Z2} * (l * ab * (al - ab))::DOUBLE THEN {wild(k)} ELSE x.t END AS t)
+      FROM x{n} x LEFT JOIN g{n} g ON x.host = g.host AND x.t[1:{k + 1}] = g.key)""")
         n += 1
-    whole = ["host", *[f"t{k}" for k in range(d)], "rest"]
     pull = url_filter.PULL
-    sql.append(f"""y AS (SELECT *, sum(labels) OVER (PARTITION BY {', '.join(whole)}) AS al, sum(bad) OVER (PARTITION BY {', '.join(whole)}) AS ab,
+    sql.append(f"""y AS (SELECT *, sum(labels) OVER (PARTITION BY host, t) AS al, sum(bad) OVER (PARTITION BY host, t) AS ab,
              sum(labels) OVER (PARTITION BY host) AS hl, sum(bad) OVER (PARTITION BY host) AS hb,
              (sum(bad) OVER () + 1)::DOUBLE / (sum(labels) OVER () + 2)::DOUBLE AS base FROM x{n}),
-z AS (SELECT *, (ab + {pull} * ((hb + {pull} * base) / (hl + {pull}))) / (al + {pull}) AS rate,
-             '/' || concat_ws('/', {', '.join(f't{k}' for k in range(d))}, rest) AS template FROM y),
+z AS (SELECT *, (ab + {pull} * ((hb + {pull} * base) / (hl + {pull}))) / (al + {pull}) AS rate, '/' || array_to_string(t, '/') AS template FROM y),
 q AS (SELECT v.page_id, v.host, v.path, rate, template, CASE
       {' '.join(f"WHEN (v.host = '{h}' OR ends_with(v.host, '.{h}')) AND starts_with(v.path, '{p}') THEN '{verdict} {h}{p}'"
                 for verdict, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2])))} END AS hit
-      FROM v JOIN z ON {eq('v', 'z', ['host', *keys])})
+      FROM v JOIN z ON v.host = z.host AND v.s = z.s)
 SELECT page_id, host, path, string_split(hit, ' ')[2] AS rule,
        coalesce(string_split(hit, ' ')[1], CASE WHEN rate > {url_filter.WORST} THEN 'block' ELSE 'allow' END) AS verdict, template FROM q""")
     return ",\n".join(sql)

@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 from .common import lower_ascii, stored
 
-DEPTH = 3  # segments in a template; "**" stands for the rest
-REST = "**"
 SIBLINGS = 16  # with more, rare siblings are variable
 RARE = 50  # percent of an even share
 PULL = 20  # labels that a parent's rate counts as
@@ -45,62 +43,51 @@ def rule_for(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return found
 
 
-def segments(path: Column) -> list[Column]:
-    """The segments of a template: null behind the last one, a wildcard where a digit stands."""
+def segments(path: Column) -> Column:
+    """The segments of a path, a wildcard where a digit stands."""
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    wild = lambda x: F.when(x.rlike("[0-9]"), "*").otherwise(x)
-    return [wild(F.get(parts, F.lit(k))).alias(f"s{k}") for k in range(DEPTH)] + [
-        F.when(F.size(parts) > DEPTH, REST).alias("rest")]
+    return F.transform(parts, lambda x: F.when(x.rlike("[0-9]"), "*").otherwise(x))
 
 
-KEYS = [f"s{k}" for k in range(DEPTH)] + ["rest"]
+def _level(tree: DataFrame, k: int, value: str) -> tuple[DataFrame, DataFrame]:
+    """Sums of ``value`` by branch of level ``k`` (``host, key``, with ``above``) and by what is above."""
+    sums = [F.sum(c).alias(c) for c in value.split()]
+    child = tree.where(F.size("t") > k).groupBy("host", F.slice("t", 1, k + 1).alias("key")).agg(*sums)
+    child = child.withColumn("above", F.slice("key", 1, k))
+    node = child.groupBy("host", "above").agg(F.count("*").alias("kinds"), *[F.sum(c).alias(f"all_{c}") for c in value.split()])
+    return child, node
 
 
-def _on(names: Sequence[str]) -> Column:
-    on = F.lit(True)
-    for n in names:
-        on = on & F.col(n).eqNullSafe(F.col(f"_{n}"))
-    return on
-
-
-def _under(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    return df.select(*[F.col(c).alias(f"_{c}") if c in names else F.col(c) for c in df.columns])
+def _wild(tree: DataFrame, k: int, branches: DataFrame) -> DataFrame:
+    """The tree with a wildcard at level ``k`` of the given branches, written once."""
+    hit = branches.select("host", "key", F.lit(True).alias("hit"))
+    wild = F.concat(F.slice("t", 1, k), F.array(F.lit("*")), F.slice("t", k + 2, F.size("t")))
+    joined = tree.withColumn("key", F.slice("t", 1, k + 1)).join(hit, ["host", "key"], "left")
+    return stored(joined.withColumn("t", F.when(F.col("hit"), wild).otherwise(F.col("t"))).drop("key", "hit"))
 
 
 def templates(counted: DataFrame) -> DataFrame:
-    """host, the segments as counted (s0.., rest), the segments of the template (t0.., rest), labels and
-    bad of the template. ``counted``: host, s0.., rest, pages, labels, bad.
-
-    Works on one row per host and distinct shape; each level is a sum and a join by host and
-    the branch above, written once."""
-    tree = counted.select("*", *[F.col(f"s{k}").alias(f"t{k}") for k in range(DEPTH)])
-    for k in range(DEPTH):  # rare ones among many siblings
-        above = ["host", *[f"t{i}" for i in range(k)]]
-        child = tree.where(F.col(f"t{k}").isNotNull()).groupBy(*above, f"t{k}").agg(F.sum("pages").alias("own"))
-        node = child.groupBy(*above).agg(F.count("*").alias("kinds"), F.sum("own").alias("sum"))
-        rare = child.join(_under(node, above), _on(above)).where(
-            (F.col("kinds") > SIBLINGS) & (100 * F.col("own") * F.col("kinds") < RARE * F.col("sum")))
-        names = [*above, f"t{k}"]
-        rare = _under(rare.select(*names), names).withColumn("rare", F.lit(True))
-        tree = tree.join(rare, _on(names), "left").withColumn(f"t{k}", F.when(F.col("rare"), "*").otherwise(F.col(f"t{k}")))
-        tree = stored(tree.drop("rare", *[f"_{n}" for n in names]))
-    for k in reversed(range(DEPTH)):  # branches like the rest of their parent
-        above = ["host", *[f"t{i}" for i in range(k)]]
-        below = [f"t{i}" for i in range(k + 1, DEPTH)]
-        names = [*above, f"t{k}"]
-        child = tree.where(F.col(f"t{k}").isNotNull()).groupBy(*names).agg(F.sum("labels").alias("l"), F.sum("bad").alias("b"))
-        node = child.groupBy(*above).agg(F.sum("l").alias("all_l"), F.sum("b").alias("all_b"))
+    """host, s (the segments as counted), t (those of the template), labels and bad of the template.
+    ``counted``: host, s, pages, labels, bad.
+
+    Works on one row per host and distinct shape. Each level, down to the deepest path, is a sum and
+    a join by host and the branch above, over the paths that reach it."""
+    tree = counted.withColumn("t", F.col("s"))
+    deepest = counted.agg(F.coalesce(F.max(F.size("s")), F.lit(0)).alias("n")).first()["n"]
+    for k in range(deepest):  # rare ones among many siblings
+        child, node = _level(tree, k, "pages")
+        rare = child.join(node, ["host", "above"]).where(
+            (F.col("kinds") > SIBLINGS) & (100 * F.col("pages") * F.col("kinds") < RARE * F.col("all_pages")))
+        tree = _wild(tree, k, rare)
+    for k in reversed(range(deepest)):  # branches like the rest of their parent
+        child, node = _level(tree, k, "labels bad")
         # (b - l r)^2 < z2 l r (1 - r) with r = all_b / all_l, in whole numbers but for z2
-        off = F.col("b") * F.col("all_l") - F.col("l") * F.col("all_b")
-        alike = (off * off).cast("double") <= Z2 * (F.col("l") * F.col("all_b") * (F.col("all_l") - F.col("all_b"))).cast("double")
-        same = child.join(_under(node, above), _on(above)).where(alike)
-        same = _under(same.select(*names), names).withColumn("same", F.lit(True))
-        tree = tree.join(same, _on(names), "left").withColumn(f"t{k}", F.when(F.col("same"), "*").otherwise(F.col(f"t{k}")))
-        tree = stored(tree.drop("same", *[f"_{n}" for n in names]))
-    whole = ["host", *[f"t{k}" for k in range(DEPTH)], "rest"]
-    sums = tree.groupBy(*whole).agg(F.sum("labels").alias("all_labels"), F.sum("bad").alias("all_bad"))
-    return tree.join(_under(sums, whole), _on(whole)).select(
-        "host", *KEYS, *[f"t{k}" for k in range(DEPTH)], F.col("all_labels").alias("labels"), F.col("all_bad").alias("bad"))
+        off = F.col("bad") * F.col("all_labels") - F.col("labels") * F.col("all_bad")
+        alike = (off * off).cast("double") <= Z2 * (
+            F.col("labels") * F.col("all_bad") * (F.col("all_labels") - F.col("all_bad"))).cast("double")
+        tree = _wild(tree, k, child.join(node, ["host", "above"]).where(alike))
+    sums = tree.groupBy("host", "t").agg(F.sum("labels").alias("labels"), F.sum("bad").alias("bad"))
+    return tree.select("host", "s", "t").join(sums, ["host", "t"])
 
 
 def judge(urls: DataFrame, labels: DataFrame, rules: Sequence[Rule] = (), id: str = "page_id", url: str = "url",
@@ -110,22 +97,22 @@ def judge(urls: DataFrame, labels: DataFrame, rules: Sequence[Rule] = (), id: st
 
     ``labels`` has ids of labelled urls and whether they are bad; null counts as no label. A null
     url or one without ``://`` has an empty host and path and counts as a host of its own. Without
-    any label the shares are one half and nothing is blocked but by rules. Paths of more than
-    three segments share a template with ``**``. Repeated rows are judged alike."""
+    any label the shares are one half and nothing is blocked but by rules. The tree is as deep as the
+    deepest path. Repeated rows are judged alike."""
     pages = urls.select(urls[id].alias("page_id"), host_of(urls[url]).alias("host"), path_of(urls[url]).alias("path"))
-    pages = stored(pages.select("*", *segments(F.col("path"))))
+    pages = stored(pages.select("*", segments(F.col("path")).alias("s")))
     label = labels.where(labels[bad].isNotNull()).groupBy(labels[id].alias("page_id")).agg(F.max(labels[bad].cast("int")).alias("bad"))
-    counted = pages.join(label, "page_id", "left").groupBy("host", *KEYS).agg(
+    counted = pages.join(label, "page_id", "left").groupBy("host", "s").agg(
         F.count("*").alias("pages"), F.count("bad").alias("labels"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    tree = stored(templates(stored(counted)))
+    counted = stored(counted)
+    tree = stored(templates(counted))
     total = counted.agg(F.coalesce(F.sum("labels"), F.lit(0)).alias("l"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b")).first()
     base = (total["b"] + 1) / (total["l"] + 2)
     host = counted.groupBy(F.col("host").alias("_host")).agg(F.sum("labels").alias("hl"), F.sum("bad").alias("hb"))
     rate = (F.col("bad") + PULL * ((F.col("hb") + PULL * F.lit(base)) / (F.col("hl") + PULL))) / (F.col("labels") + PULL)
-    shape = F.concat(F.lit("/"), F.concat_ws("/", *[f"t{k}" for k in range(DEPTH)], "rest"))
-    decided = tree.join(host, F.col("host") == F.col("_host")).select("host", *KEYS, shape.alias("template"), rate.alias("rate"))
-    names = ["host", *KEYS]
+    shape = F.concat(F.lit("/"), F.array_join("t", "/"))
+    decided = tree.join(host, F.col("host") == F.col("_host")).select("host", "s", shape.alias("template"), rate.alias("rate"))
     rule = rule_for(F.col("host"), F.col("path"), rules)
-    return pages.join(_under(decided, names), _on(names)).select(
+    return pages.join(decided, ["host", "s"]).select(
         "page_id", "host", "path", "template", (1 - F.col("rate")).alias("purity"), rule["rule"].alias("rule"),
         F.coalesce(rule["verdict"], F.when(F.col("rate") > WORST, "block").otherwise("allow")).alias("verdict"))

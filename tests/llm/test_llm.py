@@ -284,12 +284,23 @@ def test_url_filter(spark):
     assert got[205].verdict == "allow" and got[305].template == "/*"
     assert (got[900].host, got[900].path, got[900].verdict) == ("", "", "allow") and got[901].host == ""
     assert (got[903].host, got[903].path) == ("h", "") and (got[907].host, got[907].path) == ("a.b:", "//c/d")
-    assert got[904].rule == "example.org/es/" and got[904].template.endswith("**") and got[905].verdict == "block"
+    assert got[904].rule == "example.org/es/" and got[904].template == "/*/*/*/*/*/*" and got[905].verdict == "block"
     assert got[906].rule == "org/"
     assert url_filter.judge(pages.where("false"), labels, rules).collect() == []
     assert {r.verdict for r in url_filter.judge(pages, labels.where("false")).collect()} == {"allow"}
 
 
+def test_url_filter_sees_whole_paths(spark):
+    """Branches that part at the fourth segment, and deeper."""
+    urls = [(i, f"http://h.net/blog/en/archive/{'spam' if i % 2 else 'news'}/x") for i in range(400)]
+    urls += [(1000 + i, f"http://d.net/a/b/c/d/e/f/g/h/{'spam' if i % 2 else 'news'}/k/{i}") for i in range(400)]
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    labels = spark.createDataFrame([(i, i % 2 == 1) for i, _ in urls if i % 4 < 2], "page_id long, bad boolean")
+    got = url_filter.judge(pages, labels).collect()
+    assert all((r.verdict == "block") == (r.page_id % 2 == 1) for r in got) and len(got) == 800
+    assert {r.template for r in got} == {"/*/*/*/spam/*", "/*/*/*/news/*", "/*/*/*/*/*/*/*/*/spam/*/*", "/*/*/*/*/*/*/*/*/news/*/*"}
+
+
 # 8
 def test_language_id(spark, docs, empty):
     df = entry.queries()["op8_language_id"](spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id")
