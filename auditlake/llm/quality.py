@@ -65,18 +65,23 @@ def measures(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str
                           ((n < 50) | (100 * repeated > 50 * n)).alias("base_failed"), F.col("l.lines").alias("lines"))
 
 
+SURE = 11.0  # square of the normal quantile of a one in a thousand chance, rounded up
+
+
 def boilerplate(found: DataFrame, percent: int, least: int) -> DataFrame:
-    """host, line of the lines that more documents of the host hold than ``percent`` of its
-    documents and than ``least``. Null is a host like others."""
+    """host, line of the lines whose share of the host's documents is above ``percent`` for certain:
+    the share's lower confidence bound (Wilson's) is above it, alike at every size of host. A line
+    in fewer than ``least`` documents says nothing. Null is a host like others."""
     per_host = found.groupBy("host").agg(F.countDistinct("key").alias("documents"))
     rows = found.select("host", "key", F.explode("lines").alias("x")).select("host", "key", F.col("x.line").alias("line"))
-    held = rows.groupBy("host", "line").agg(F.countDistinct("key").alias("n")).where(F.col("n") > least)
+    held = rows.groupBy("host", "line").agg(F.countDistinct("key").alias("n")).where(F.col("n") >= least)
     per_host = per_host.withColumnRenamed("host", "h")
+    above = 100.0 * F.col("n") - percent * F.col("documents")
     return held.join(per_host, F.col("host").eqNullSafe(F.col("h"))).where(
-        100 * F.col("n") > percent * F.col("documents")).select("host", "line")
+        (above > 0) & (above * above > SURE * percent * (100 - percent) * F.col("documents"))).select("host", "line")
 
 
-def judge(docs: DataFrame, percent: int = 2, least: int = 20, depleted: int = 50, id: str = "doc_id",
+def judge(docs: DataFrame, percent: int = 2, least: int = 3, depleted: int = 50, id: str = "doc_id",
           text: str = "text", host: str = "source") -> DataFrame:
     """One row for each row of ``docs``: doc_id, host, key, the base figures, base_failed, removed
     (hashes of the lines that go), removed_words and kept.

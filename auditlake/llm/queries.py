@@ -79,8 +79,11 @@ l AS (SELECT doc_id, source, t, unnest(string_split(t, chr(10))) AS x FROM d),
 m AS (SELECT doc_id, source, t, x, array_to_string(regexp_extract_all(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' ') AS line,
              len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS words FROM l WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
 u AS (SELECT doc_id, count(*) - count(DISTINCT x) AS dup FROM m GROUP BY doc_id),
-b AS (SELECT source, line FROM m GROUP BY source, line
-      HAVING count(DISTINCT t) > 20 AND 100 * count(DISTINCT t) > 2 * (SELECT count(DISTINCT e.t) FROM d e WHERE e.source IS NOT DISTINCT FROM m.source)),
+a AS (SELECT source, line, count(DISTINCT t) AS n FROM m GROUP BY source, line
+      HAVING count(DISTINCT t) >= 3),
+v AS (SELECT source, count(DISTINCT t) AS docs FROM d GROUP BY source),
+b AS (SELECT a.source, a.line FROM a JOIN v ON a.source IS NOT DISTINCT FROM v.source
+      WHERE 100.0 * n > 2 * docs AND (100.0 * n - 2 * docs) * (100.0 * n - 2 * docs) > 11.0 * 2 * 98 * docs),
 k AS (SELECT m.doc_id, sum(words) AS lost FROM m JOIN b ON m.source IS NOT DISTINCT FROM b.source AND m.line = b.line GROUP BY m.doc_id),
 f AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, len(translate(t, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), ''))::BIGINT AS word_chars,
              (len(t) - len(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols, coalesce(dup, 0)::BIGINT AS n_dup_lines,
