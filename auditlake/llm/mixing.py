@@ -45,30 +45,33 @@ def targets(sizes: DataFrame, weights: Sequence[int], budget_percent: int, repea
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), budget_percent: int = 150, repeats: int = 2,
-        seed: str = "mix", id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+        seed: str = "mix", id: str = "doc_id", text: str = "text", source: str = "source", row: str | None = None) -> DataFrame:
     """One row for each row of ``docs``: doc_id, source, size (words, null text: 0), source_size,
     target (its source's) and copies (how often the mix takes it, 0 to ``repeats``).
 
     Null sources form one source. Documents without words are never taken. Rows with the same id
-    and size may swap places. An empty table gives an empty mix. Other columns are not read."""
-    slim = docs.select(docs[id].alias("doc_id"), docs[source].alias("source"), word_count(docs[text]).alias("size"))
+    and size may swap places, unless ``row`` names a column that tells them apart; it is returned
+    as ``row``. An empty table gives an empty mix. Other columns are not read."""
+    named = [docs[row].alias("row")] if row else []
+    keys = ["turn", "doc_id", "size", *(["row"] if row else [])]
+    slim = docs.select(docs[id].alias("doc_id"), docs[source].alias("source"), word_count(docs[text]).alias("size"), *named)
     shuffled = slim.withColumn("turn", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-    queued = stored(running_sum(shuffled, ["source"], ["turn", "doc_id", "size"], "size", "upto"))
+    queued = stored(running_sum(shuffled, ["source"], keys, "size", "upto"))
     plan = targets(queued.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget_percent, repeats)
     plan = stored(plan)
     timed = queued.join(plan.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    passes = timed.where("size > 0").select("turn", "doc_id", "size", F.explode(F.transform(
+    passes = timed.where("size > 0").select(*keys, F.explode(F.transform(
         F.sequence(F.lit(0), F.lit(repeats - 1)),
         lambda k: (k.cast("bigint") * F.col("source_size") + F.col("upto")) / F.col("target"))).alias("finish"))
-    spent = running_sum(passes, [], ["finish", "turn", "doc_id", "size"], "size", "spent")
+    spent = running_sum(passes, [], ["finish", *keys], "size", "spent")
     budget = plan.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0] * budget_percent / 100
-    last = spent.where(F.col("spent") <= budget).agg(F.max(F.struct("finish", "turn", "doc_id", "size")).alias("z")).first()["z"]
+    last = spent.where(F.col("spent") <= budget).agg(F.max(F.struct("finish", *keys)).alias("z")).first()["z"]
     copies = F.lit(0)
     if last is not None:
-        edge = F.struct(*[F.lit(last[k]).cast(kind).alias(k) for k, kind in
-                          [("finish", "double"), ("turn", "string"), ("doc_id", dict(slim.dtypes)["doc_id"]), ("size", "bigint")]])
+        kinds = dict(slim.dtypes) | {"finish": "double", "turn": "string"}
+        edge = F.struct(*[F.lit(last[k]).cast(kinds[k]).alias(k) for k in ["finish", *keys]])
         for k in range(repeats):
             finish = (F.lit(k).cast("bigint") * F.col("source_size") + F.col("upto")) / F.col("target")
-            mine = F.struct(finish.alias("finish"), "turn", "doc_id", "size")
+            mine = F.struct(finish.alias("finish"), *keys)
             copies = copies + F.when((F.col("size") > 0) & (mine <= edge), 1).otherwise(0)
-    return timed.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
+    return timed.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), *(["row"] if row else []))
