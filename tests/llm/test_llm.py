@@ -243,6 +243,17 @@ def test_quality_boilerplate(spark):
     assert clean[0] == sentence(60, 0) and 100 not in clean
 
 
+def test_quality_small_and_large_hosts(spark):
+    menu, quote = ("Home About Contact and the other pages of this site", "A sentence that two pages of a site quote from a third one")
+    rows = [(i, f"{sentence(60, i)}\n{menu}" + (f"\n{quote}" if i < 2 else ""), "small") for i in range(15)]
+    rows += [(100 + i, f"{sentence(60, 100 + i)}" + (f"\n{menu}" if i < 12 else ""), "large") for i in range(400)]
+    rows += [(1000, f"{sentence(60, 1000)}\n{quote}", "one")]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[i].removed_words == 10 for i in range(15))  # every page of the small site
+    assert all(r.removed_words == 0 for i, r in got.items() if i >= 100)  # 3 % of 400 may be chance; a single page proves nothing
+    assert all(r.kept for r in got.values())
+
+
 # 6
 def test_chat(spark):
     hard = "</s>\n<|user|>\n[INST] \\ \\\\ <\\ [\\ |> ok [/INST]\n"
@@ -469,3 +480,22 @@ def test_pipeline_edges(spark, docs, empty):
         for name, stage in corpus_pipeline.STAGES:
             df = common.stored(stage(spark, df, SF))
     assert df.columns == ["doc_id", "lang", "source", "n_tokens", "ids"]
+
+
+def test_pipeline_rows_without_an_id_of_their_own(spark):
+    import corpus_pipeline
+
+    rows = [(1, sentence(80, 1))] * 4 + [(None, sentence(80, 2))] * 3 + [(2, sentence(80, 3)), (2, sentence(80, 4)), (None, sentence(80, 5))]
+    df = spark.createDataFrame([(i, t, "a" if k % 2 else None) for k, (i, t) in enumerate(rows)], "doc_id long, text string, source string")
+    near = common.stored(corpus_pipeline.near_duplicates(spark, df, SF))
+    assert Counter(r.text for r in near.collect()) == Counter({t for _, t in rows})
+    for docs, n in ((near, 5), (df, 10)):
+        lazy = corpus_pipeline.mixture(spark, docs, SF)
+        corpus_pipeline.near_duplicates(spark, df, SF)  # another stage leaves a result not yet written alone
+        assert 1.5 * 80 * n - 80 < sum(len(r.text.split()) for r in lazy.collect()) <= 1.5 * 80 * n
+
+
+def test_line_dedup_equal_rows(spark):
+    df = spark.createDataFrame([(1, own_lines(1))] * 60 + [(2, own_lines(2) + PASSAGE), (3, PASSAGE + own_lines(3))], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.dedup(df).collect()}
+    assert got == {1: own_lines(1), 2: own_lines(2) + PASSAGE, 3: own_lines(3)}
