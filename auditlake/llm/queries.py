@@ -122,16 +122,23 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op6_chat"] = r"""
-WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+WITH RECURSIVE t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
-c AS (SELECT *, ceil(len(text) / 4)::BIGINT + 4 AS tokens,
-             13 - 3 + len(regexp_replace(role, '([<\[\\|])', '\1\1', 'g')) + len(regexp_replace(text, '([<\[\\])', '\1\1', 'g')) AS chars FROM t),
-p AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS upto FROM c),
-b AS (SELECT *, upto - tokens AS before, (upto - tokens) // 512 AS span, max(upto) OVER (PARTITION BY conv_id) AS total FROM p),
-n AS (SELECT *, max(upto) OVER (PARTITION BY conv_id, span) AS next, before = 0 AND role = 'system' AS sys FROM b),
-s AS (SELECT conv_id, count(DISTINCT span) - 1 AS more FROM n GROUP BY conv_id),
+c AS (SELECT *, 10 + len(regexp_replace(role, '([<\[\\|])', '\1\1', 'g')) + len(regexp_replace(text, '([<\[\\])', '\1\1', 'g')) AS chars,
+             dense_rank() OVER (ORDER BY conv_id) AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM t),
+p AS (SELECT *, ceil(chars / 4)::BIGINT AS tokens, i = 1 AND role = 'system' AS sys FROM c),
+b AS (SELECT *, sum(tokens) OVER w AS upto, sum(tokens) OVER w - tokens AS before, CASE WHEN sys THEN 0 ELSE tokens END AS cost,
+             greatest(512 - 128 - max(CASE WHEN sys THEN tokens ELSE 0 END) OVER (PARTITION BY c), 0) AS room, sum(tokens) OVER (PARTITION BY c) AS total
+      FROM p WINDOW w AS (PARTITION BY c ORDER BY i)),
+r AS (SELECT c, i, before, before AS span, cost AS used FROM b WHERE i = 1
+      UNION ALL
+      SELECT b.c, b.i, b.before, CASE WHEN o THEN b.before ELSE span END, CASE WHEN o THEN cost ELSE used + cost END
+      FROM (SELECT b.*, r.span, r.used, b.before // (32 * 512) <> r.before // (32 * 512) OR (used > 0 AND used + cost > room) AS o
+            FROM r JOIN b ON b.c = r.c AND b.i = r.i + 1) b),
+n AS (SELECT b.*, span, max(upto) OVER (PARTITION BY b.c, span) AS next FROM b JOIN r ON b.c = r.c AND b.i = r.i),
+s AS (SELECT c, count(DISTINCT span) - 1 AS more FROM n GROUP BY c),
 g AS (SELECT n.*, chars * (1 + (NOT sys AND next - before <= 128 AND next < total)::INT + (CASE WHEN sys THEN more ELSE 0 END)) AS written
-      FROM n JOIN s ON n.conv_id IS NOT DISTINCT FROM s.conv_id)
+      FROM n JOIN s ON n.c = s.c)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY upto)) AS turns_sha256,
        coalesce(sum(len(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY upto) FILTER (role = 'assistant'), '')) AS loss_sha256,
