@@ -278,6 +278,28 @@ def test_chat(spark):
     assert chat.windows(df.where("false")).collect() == []
 
 
+def test_chat_budget(spark):
+    rows = [(c, k, "system" if k == 0 and c % 2 else ["user", "assistant"][k % 2], sentence(1 + (7 * k + c) % 40, k + c))
+            for c in range(6) for k in range(300)] + [(9, k, "assistant", sentence(400 if k == 3 else 5, k)) for k in range(8)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("n", F.lit(100))
+    out = chat.windows(df, 256, 64)
+    got = out.join(chat.read_back(out).drop("chars"), ["conv_id", "window"]).collect()
+    long = [r for r in got if len(r.text) > 4 * 256]
+    assert len(long) == 1 and long[0].conv_id == 9 and len(long[0].turns) == 1
+    assert sum(len(r.turns) for r in got) == len(rows)
+    # no two spans that follow one another would fit into one window, but where a block ends
+    for c in range(6):
+        mine = sorted((r for r in got if r.conv_id == c), key=lambda r: r.window)
+        sizes = [sum(math.ceil((len(t.role) + len(t.text) + 10) / 4) for t in r.turns if t.role != "system") for r in mine]
+        lead = sum(math.ceil((len(t.role) + len(t.text) + 10) / 4) for t in mine[0].turns if t.role == "system")
+        assert all(x <= 256 - 64 - lead for x in sizes)
+        first = [math.ceil((len(r.turns[0].role) + len(r.turns[0].text) + 10) / 4) for r in mine]
+        short = sum(x + y <= 256 - 64 - lead for x, y in zip(sizes, first[1:]))
+        assert short <= mine[-1].window // (chat.BLOCK * 256)
+    counted = chat.windows(df, 256, 64, count="n").join(out.select("conv_id").distinct(), "conv_id").collect()
+    assert len(counted) == len(rows) - sum(r[2] == "system" for r in rows)  # 100 of 192 tokens: a turn a window
+
+
 # 7
 def test_url_filter(spark):
     urls = [(i, f"http://Good.ORG/news/{i}") for i in range(60)] + [(100 + i, f"https://bad.net/spam/{i}/x?y") for i in range(60)]
