@@ -25,6 +25,7 @@ BOXED = 12  # principal dimensions with bounding boxes
 BLOCK = 256  # vectors in the smallest interval
 FANOUT = 8  # intervals in one of the next level
 LEAF = 32  # below this an in-task interval is not split again
+TASKS = 8  # tasks that add up products for the axes
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -44,9 +45,10 @@ def fine(vector: str) -> Column:
     return F.coalesce((F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def rotation(classes: DataFrame) -> np.ndarray:
-    """Principal axes of all unit vectors as columns, the widest first: sums of products are built
-    per partition and added up by Spark; only dimension squared numbers reach the driver."""
+def rotation(classes: DataFrame, length: int, most: int) -> np.ndarray:
+    """Principal axes of the unit vectors as columns, the widest first. They only say which
+    intervals are worth comparing, so about ``most`` vectors chosen by a hash are enough: a few tasks
+    each send one array of sums of products."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -55,20 +57,18 @@ def rotation(classes: DataFrame) -> np.ndarray:
                 u = _unit(_matrix(batch.column(0)))
                 total = u.T @ u if total is None else total + u.T @ u
         if total is not None:
-            i, j = np.indices(total.shape)
-            yield pa.RecordBatch.from_arrays([pa.array(i.ravel(), pa.int32()), pa.array(j.ravel(), pa.int32()),
-                                              pa.array(total.ravel())], ["i", "j", "x"])
-
-    sums = classes.select("v").mapInArrow(run, "i int, j int, x double").groupBy("i", "j").agg(F.sum("x").alias("x"))
-    rows = sums.collect()
-    m = np.zeros((max(r.i for r in rows) + 1,) * 2)
-    for r in rows:
-        m[r.i, r.j] = r.x
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["x"])
+
+    share = min(1.0, most / max(1, classes.count()))
+    chosen = classes.where(F.pmod(F.xxhash64("cls"), F.lit(1 << 30)) < int(share * (1 << 30))).select("v")
+    m = np.zeros((length, length))
+    for part in chosen.coalesce(TASKS).mapInArrow(run, "x binary").collect():
+        m += np.frombuffer(part.x).reshape(length, length)
     return np.linalg.eigh((m + m.T) / 2)[1][:, ::-1].copy()
 
 
 def placed(classes: DataFrame, axes: np.ndarray, width: float) -> DataFrame:
-    """label, vec_id, n, u (unit vector), p (leading principal coordinates), cell (grid cells)."""
+    """label, cls, n, u (unit vector), p (leading principal coordinates), cell (grid cells)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,10 +81,10 @@ def placed(classes: DataFrame, axes: np.ndarray, width: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), batch.column(2), lists(u, pa.float64()), lists(p, pa.float64()),
                  lists(np.floor(p[:, :LEADING] / width).astype(np.int32), pa.int32())],
-                ["label", "vec_id", "n", "u", "p", "cell"])
+                ["label", "cls", "n", "u", "p", "cell"])
 
-    schema = f"label {dict(classes.dtypes)['label']}, vec_id bigint, n bigint, u array<double>, p array<double>, cell array<int>"
-    return classes.select("label", "vec_id", "n", "v").mapInArrow(run, schema)
+    schema = f"label {dict(classes.dtypes)['label']}, cls bigint, n bigint, u array<double>, p array<double>, cell array<int>"
+    return classes.select("label", "cls", "n", "v").mapInArrow(run, schema)
 
 
 def _recurse(a: np.ndarray, b: np.ndarray, pa_: np.ndarray, pb: np.ndarray, same: bool, reach: float, leaf) -> None:
@@ -112,8 +112,8 @@ def _recurse(a: np.ndarray, b: np.ndarray, pa_: np.ndarray, pb: np.ndarray, same
 
 
 def compared(pairs: DataFrame, blocks: DataFrame, least: float, reach: float) -> DataFrame:
-    """vec_id, links and root of each vector linked inside a pair of blocks: how many vectors it is
-    linked with there and the smallest id it reaches there. No pair of vectors leaves the task."""
+    """cls, links and root of each class linked inside a pair of blocks: how many vectors it is linked
+    with there and the smallest class it reaches there. No pair of vectors leaves the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,7 +126,9 @@ def compared(pairs: DataFrame, blocks: DataFrame, least: float, reach: float) ->
                     us.append(np.asarray(row[x + 2].flatten().flatten()).reshape(size, -1))
                     ps.append(np.asarray(row[x + 3].flatten().flatten()).reshape(size, -1))
                 same = batch.column(8)[k].as_py()
-                counts: dict[int, int] = {}
+                counts = [np.zeros(len(u), np.int64) for u in us]
+                if same:
+                    counts[1] = counts[0]
                 parent: dict[int, int] = {}
 
                 def leaf(a, b, own):
@@ -135,69 +137,81 @@ def compared(pairs: DataFrame, blocks: DataFrame, least: float, reach: float) ->
                         hit = np.triu(hit, 1)
                     if not hit.any():
                         return
-                    i, j = np.nonzero(hit)
-                    for x, y, nx, ny in zip(ids[0][0][a][i].tolist(), ids[1][0][b][j].tolist(),
-                                            ids[0][1][a][i].tolist(), ids[1][1][b][j].tolist()):
-                        counts[x] = counts.get(x, 0) + ny
-                        counts[y] = counts.get(y, 0) + nx
+                    counts[0][a] += hit @ ids[1][1][b]
+                    counts[1][b] += ids[0][1][a] @ hit
+                    # a column meets its first row, and a row the first rows of its columns
+                    first = hit.argmax(0)
+                    left, right = ids[0][0][a].tolist(), ids[1][0][b].tolist()
+                    met = [(left[first[j]], right[j]) for j in np.flatnonzero(hit.any(0))]
+                    met += [(left[i], left[f]) for i in np.flatnonzero(hit.any(1)) for f in np.unique(first[hit[i]]) if f != i]
+                    for x, y in met:
                         p, q = find(parent, x), find(parent, y)
                         parent[max(p, q)] = min(p, q)
 
                 _recurse(np.arange(len(us[0])), np.arange(len(us[1])), ps[0], ps[1], same, reach, leaf)
-                found = sorted(counts)
+                name = np.concatenate([ids[x][0] for x in range(1 if same else 2)])
+                n = np.concatenate(counts[:1 if same else 2])
+                name, n = name[n > 0], n[n > 0]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(found, pa.int64()), pa.array([counts[x] for x in found], pa.int64()),
-                     pa.array([find(parent, x) for x in found], pa.int64())], ["vec_id", "links", "root"])
+                    [pa.array(name, pa.int64()), pa.array(n, pa.int64()),
+                     pa.array([find(parent, x) for x in name.tolist()], pa.int64())], ["cls", "links", "root"])
 
     side = lambda x: blocks.select("label", F.col("block").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("ids", "ns", "us", "ps")])
     both = pairs.join(side("a").hint("merge"), ["label", "a"]).join(side("b").hint("merge"), ["label", "b"])
     columns = [f"{c}_{x}" for x in "ab" for c in ("ids", "ns", "us", "ps")]
-    return both.select(*columns, (F.col("a") == F.col("b")).alias("same")).mapInArrow(run, "vec_id bigint, links bigint, root bigint")
+    return both.select(*columns, (F.col("a") == F.col("b")).alias("same")).mapInArrow(run, "cls bigint, links bigint, root bigint")
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.93, id: str = "vec_id", vector: str = "embedding",
-                    label: str = "label") -> DataFrame:
+                    label: str = "label", sample: int = 20_000) -> DataFrame:
     """One row for each row of ``vectors``: vec_id, n_links (vectors linked directly, itself not),
     component_id (smallest id reachable) and kept (whether it is that one).
 
     Linked are vectors of one non-null label with a cosine of ``least`` or more in double
     precision. A vector that is null, empty, zero or holds null or non-finite components links
     with nothing, nor does one without label or id. Vectors of different lengths are compared
-    within their length only. Rows that share an id are one node, each with its own links."""
+    within their length only. Rows that share an id are one node of the components, each with the
+    links of its own vector. The axes are fitted on about ``sample`` distinct vectors; all are compared."""
     if not 0 < least <= 1:
         raise ValueError("the least cosine must lie in (0, 1]")
     slim = vectors.select(vectors[id].cast("bigint").alias("vec_id"), vectors[vector].cast("array<double>").alias("v"),
                           vectors[label].alias("label"))
     usable = slim.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & fine("v"))
-    classes = stored(usable.groupBy("label", "v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n")))
+    classes = stored(usable.groupBy("label", "v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n"))
+                     .withColumn("cls", F.monotonically_increasing_id()))
     reach = 2 - 2 * least + 1e-9
     parts = []
     for length in [r[0] for r in classes.select(F.size("v")).distinct().collect()]:
-        parts.append(_links(classes.where(F.size("v") == length), least, reach))
-    partial = parts[0] if parts else classes.selectExpr("vec_id", "n AS links", "vec_id AS root").where("false")
+        parts.append(_links(classes.where(F.size("v") == length), length, least, reach, sample))
+    partial = parts[0] if parts else classes.selectExpr("cls", "n AS links", "cls AS root").where("false")
     for p in parts[1:]:
         partial = partial.unionByName(p)
     partial = stored(partial)
-    counts = partial.groupBy("vec_id").agg(F.sum("links").alias("links"))
-    nodes = components(partial.select(F.col("vec_id").alias("u"), F.col("root").alias("v")))
-    label_of = (classes.join(counts, "vec_id", "left").join(nodes.withColumnRenamed("node", "vec_id"), "vec_id", "left")
-                .select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"),
-                        F.coalesce("component", "vec_id").alias("component")))
+    counts = partial.groupBy("cls").agg(F.sum("links").alias("links"))
+    rows = stored(usable.join(classes.select("label", "v", "cls"), ["label", "v"]).select("vec_id", "cls"))
+    # an id with several vectors holds their classes together
+    shared = rows.groupBy("vec_id").agg(F.min("cls").alias("v"), F.max("cls").alias("last")).where("v < last")
+    held = rows.join(shared, "vec_id").select(F.col("cls").alias("u"), "v")
+    nodes = components(partial.select(F.col("cls").alias("u"), F.col("root").alias("v")).unionByName(held))
+    found = classes.select("cls", "vec_id", "n").join(counts, "cls", "left").join(nodes.withColumnRenamed("node", "cls"), "cls", "left").select(
+        "cls", "vec_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "cls").alias("group"))
+    found = stored(found)
+    least_id = found.groupBy("group").agg(F.min("vec_id").alias("component_id"))
     rest = slim.where(F.col("vec_id").isNull() | F.col("label").isNull() | ~fine("v"))
-    linked = usable.join(label_of, ["label", "v"]).select("vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"))
+    linked = rows.join(found.drop("vec_id").join(least_id, "group"), "cls").select("vec_id", "n_links", "component_id")
     alone = rest.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
-def _links(classes: DataFrame, least: float, reach: float) -> DataFrame:
-    axes = rotation(classes)
+def _links(classes: DataFrame, length: int, least: float, reach: float, sample: int) -> DataFrame:
+    axes = rotation(classes, length, sample)
     boxed = min(BOXED, len(axes))
     rows = placed(classes, axes, math.sqrt(reach)).withColumn("one", F.lit(1).cast("bigint"))
-    rows = running_sum(rows, ["label"], ["cell", "vec_id"], "one", "at")
+    rows = running_sum(rows, ["label"], ["cell", "cls"], "one", "at")
     rows = rows.withColumn("block", F.floor((F.col("at") - 1) / BLOCK))
     # a block holds BLOCK rows at most
-    blocks = stored(rows.groupBy("label", "block").agg(F.sort_array(F.collect_list(F.struct("at", "vec_id", "n", "u", "p"))).alias("x"))
-                    .select("label", "block", F.col("x.vec_id").alias("ids"), F.col("x.n").alias("ns"),
+    blocks = stored(rows.groupBy("label", "block").agg(F.sort_array(F.collect_list(F.struct("at", "cls", "n", "u", "p"))).alias("x"))
+                    .select("label", "block", F.col("x.cls").alias("ids"), F.col("x.n").alias("ns"),
                             F.col("x.u").alias("us"), F.col("x.p").alias("ps")))
     edge = lambda f, k: f(F.transform("ps", lambda p: F.get(p, F.lit(k))))
     level = blocks.select("label", F.col("block").alias("node"),
