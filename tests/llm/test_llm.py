@@ -209,6 +209,23 @@ def test_embedding_join(spark):
     assert embedding_join.near_duplicates(df.where("false")).collect() == []
 
 
+def test_embedding_join_repeated_ids(spark):
+    # id 1 has two vectors, one beside 2 and one beside 3 and 4; id 9 alone ties 5 and 6 together
+    rows = [(1, [1.0, 0, 0]), (1, [0, 1.0, 0]), (2, [1.0, .01, 0]), (3, [0, 1.0, .01]), (4, [.01, 1.0, 0]),
+            (5, [0, 0, 1.0]), (9, [0, 0, 1.0]), (9, [1.0, 0, 1.0]), (6, [1.0, 0, 1.01])]
+    df = spark.createDataFrame([(i, [float(x) for x in v], 0) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    for sample in (20_000, 4):
+        got = [(r.vec_id, r.n_links, r.component_id) for r in embedding_join.near_duplicates(df, sample=sample).collect()]
+        assert sorted(got) == [(1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (4, 2, 1), (5, 1, 5), (6, 1, 5), (9, 1, 5), (9, 1, 5)]
+
+
+def test_embedding_join_one_dense_label(spark):
+    g = np.random.default_rng(5)
+    rows = [(i, (np.ones(8) + g.normal(size=8) * .01).tolist(), 1) for i in range(1500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert {(r.n_links, r.component_id) for r in embedding_join.near_duplicates(df).collect()} == {(1499, 0)}
+
+
 # 5
 def brute_base(text):
     words = WORD.findall(text or "")
