@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from auditlake.operators import merge
+from auditlake.operators import calls, merge
 from auditlake.plans import corpus, queries
 from auditlake.session import checkpoint_folder, numbered
 from test_merge import PROGRAM
@@ -72,3 +72,10 @@ def test_trees_are_removed_once_listed(spark, sf, monkeypatch):
     assert len(sizes) == 4 and max(sizes) < 600
     new = [f"{here}/{n}" for n in set(os.listdir(here)) - before if n.startswith("tree-")]
     assert len(new) == 1 and not any(f.startswith("f") for _, _, names in os.walk(new[0]) for f in names)
+
+
+def test_call_names_are_found_once(spark, files_of):
+    files = files_of(a=PROGRAM, b="gets(x);\nchar *p = new char[3]; delete p;")
+    for df in (calls.call_sites(files), merge.scan(files)):
+        assert plan(df).count("^(new|delete)") == 1
+        assert plan(df).count(r"(\w+)\s*$, 1") == 1
