@@ -538,3 +538,13 @@ def test_line_dedup_equal_rows(spark):
     df = spark.createDataFrame([(1, own_lines(1))] * 60 + [(2, own_lines(2) + PASSAGE), (3, PASSAGE + own_lines(3))], "doc_id long, text string")
     got = {r.doc_id: r.text for r in line_dedup.dedup(df).collect()}
     assert got == {1: own_lines(1), 2: own_lines(2) + PASSAGE, 3: own_lines(3)}
+
+
+def test_line_dedup_windows_are_slim(spark):
+    texts = ["", "a", "a\n", "\n\n", "Is it? Yes.  No.\nx. \n", ". ! ? .\n. ", "ä. ö\n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "_id bigint, text string").withColumn("_key", F.col("_id"))
+    found = line_dedup.windows(docs, "text", 1, 1, 1)
+    assert "binary" not in dict(found.dtypes).values() and found.count() == found.distinct().count() == 13  # lines with words
+    for r in docs.select("text", line_dedup.count_lines(F.col("text")).alias("n"), F.size(line_dedup.lines_of(F.col("text"))).alias("m")).collect():
+        assert r.n == r.m == len(re.split(line_dedup.LINE_END, r.text))
+        assert r.n == 1 + len(list(line_dedup.LAST.finditer(r.text.encode())))
