@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from auditlake.operators import calls, merge
+from auditlake.operators import analyze, calls, detect, merge
 from auditlake.plans import corpus, queries
 from auditlake.session import checkpoint_folder, numbered
 from test_merge import PROGRAM
@@ -79,3 +79,11 @@ def test_call_names_are_found_once(spark, files_of):
     for df in (calls.call_sites(files), merge.scan(files)):
         assert plan(df).count("^(new|delete)") == 1
         assert plan(df).count(r"(\w+)\s*$, 1") == 1
+
+
+def test_rule_hits_are_counted_where_they_stand(spark, files_of):
+    files = files_of(a=PROGRAM, b="gets(x);\ngets(y); free(p); free(p);")
+    placed = {r.dim: r.n for r in detect.rule_findings(files).groupBy("dim").agg(F.count("*").alias("n")).collect()}
+    counts = detect.rule_counts(files)
+    assert {r.dim: r.n for r in counts.collect()} == placed and len(placed) > 3
+    assert "explode" not in plan(counts) and detect.rule_counts(files.limit(0)).collect() == []
