@@ -10,6 +10,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -479,6 +480,45 @@ def test_components(spark):
         assert got == {x: common.find(parent, x) for u, v in edges if u != v for x in (u, v)}
 
 
+def test_components_take_few_tables(spark):
+    """Few links come together in one task: a chain dealt over many takes no rounds."""
+    edges = [(i, i + 1) for i in range(2000)]
+    rnd.shuffle(edges)
+    made = []
+    token = common.WRITTEN.set(made)
+    try:
+        got = common.components(spark.createDataFrame(edges, "u long, v long").repartition(40)).collect()
+    finally:
+        common.WRITTEN.reset(token)
+    assert sorted((r.node, r.component) for r in got) == [(i, 0) for i in range(2001)]
+    assert len(made) <= 3
+
+
+def test_components_in_rounds(spark, monkeypatch):
+    """More links than a task takes: rounds of joins give the same."""
+    monkeypatch.setattr(common, "_forest", lambda batches: batches)
+    monkeypatch.setattr(common, "NODES", 9)
+    edges = [(i, i + 1) for i in range(60)] + [(200, 200 + i) for i in range(30)] + [(300 + i, 300) for i in range(30)]
+    edges = [(max(e), min(e)) for e in edges] * 2
+    rnd.shuffle(edges)
+    got = common.components(spark.createDataFrame(edges, "u long, v long").repartition(11)).collect()
+    want = {**{i: 0 for i in range(61)}, **{200 + i: 200 for i in range(30)}, **{300 + i: 300 for i in range(30)}}
+    assert sorted((r.node, r.component) for r in got) == sorted({**want}.items())
+
+
+def test_trees_begin_anew(monkeypatch):
+    monkeypatch.setattr(common, "NODES", 3)
+    pairs = [(i, i + 1) for i in range(20)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs[k:k + 2])], ["u", "v"]) for k in range(0, 20, 2)]
+    out = list(common._forest(iter(batches)))
+    parent = {}
+    for u, v in ((u, v) for b in out for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+        x, y = common.find(parent, u), common.find(parent, v)
+        parent[max(x, y)] = min(x, y)
+    assert len(out) > 1 and all(b.num_rows <= 6 for b in out)
+    assert {common.find(parent, x) for x in range(21)} == {0}
+
+
 def test_running_sum(spark):
     rows = [(["a", "a", "a", "b", None][i % 5], rnd.randrange(1000), i, rnd.randrange(9)) for i in range(900)]
     df = spark.createDataFrame(rows, "g string, o int, i int, v long")
