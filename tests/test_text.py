@@ -115,3 +115,13 @@ def test_names(spark):
                  text.truncate(F.col("code")), text.escape_html(F.concat(F.col("code"), F.lit("<&>\"'"))))
     assert [g[0] for g in got] == ["b.c", "z.cpp", "plain", "a" * 81]
     assert got[3][1] == "a" * 80 + "..." and got[2][2] == "plain&lt;&amp;&gt;&quot;&#x27;"
+
+
+def test_strip_ends_only(spark):
+    """All characters that ``str.strip`` takes go from both ends, by no pattern over the whole text."""
+    blanks = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    assert sorted(blanks) == sorted(text.BLANKS)
+    values = ["", " ", None, "a", "\u200b a \u200b", "".join(blanks), "x" + "".join(blanks) + "\u00e9"] + [f"{b}a{b}\u4e2d{b}{b}" for b in blanks]
+    df = spark.createDataFrame([(v,) for v in values], "v string").select("v", text.strip(F.col("v")).alias("s"))
+    assert all(r.s == (r.v and r.v.strip()) for r in df.collect())
+    assert "regexp_replace" not in df._jdf.queryExecution().toString().lower()
