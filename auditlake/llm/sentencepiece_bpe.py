@@ -12,6 +12,7 @@ before word marks and the pieces of frequent words are remembered.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,8 +30,8 @@ from .common import slices
 MARK = "▁"
 NEVER = float("-inf")
 REMEMBERED = 1 << 18  # words and piece pairs kept by a worker
-LONG_WORD = 64  # longer words are not remembered
-SLICE = 1 << 20  # bytes of text encoded at once
+LONG_WORD = 64  # bytes; longer words are not remembered
+SLICE = 1 << 19  # bytes of text encoded at once
 WORDS = re.compile(f"{MARK}+[^{MARK}]*")
 
 
@@ -71,7 +72,8 @@ class Model:
         self.led = np.array([p.startswith(MARK) for p in self.pieces])
         self.fit: dict[int, dict[int, bool]] = defaultdict(dict)  # by left and right id
         self.fits = 0
-        self.word = lru_cache(REMEMBERED)(self._word)
+        self.young: dict[bytes, bytes] = {}  # words and their ids, see ``known``
+        self.old: dict[bytes, bytes] = {}
 
     def _history(self, piece: int) -> list[tuple[float, str, str]] | None:
         """How the characters of a piece merge, always the neighbours with the best joint score,
@@ -87,7 +89,8 @@ class Model:
             if at < 0:
                 return None
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
-            steps.append((best, parts[0], parts[-1]))
+            # the vocabulary's own strings, so that no copies are kept
+            steps.append((best, *(self.pieces[self.ids[p]] if p in self.ids else p for p in (parts[0], parts[-1]))))
         return steps + [(NEVER, "", "")]
 
     def _merges_apart(self, left: int, right: int) -> bool:
@@ -184,6 +187,22 @@ class Model:
                 whole.append(self.unknown)
         return whole
 
+    def known(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words in UTF-8, as the bytes of 32-bit numbers: objects of their own would take three
+        times the memory. Words are remembered in two halves; a full one becomes the old one, and what
+        is asked for again moves over."""
+        young, old, out = self.young, self.old, []
+        for w in words:
+            ids = young.get(w)
+            if ids is None:
+                ids = old.get(w) or array("i", self._word(w.decode())).tobytes()
+                if len(w) <= LONG_WORD:
+                    if len(young) >= REMEMBERED // 2:
+                        self.young, self.old = young, old = {}, young
+                    young[w] = ids
+            out.append(ids)
+        return out
+
     def words(self, text: str) -> list[str]:
         """The words of a text, each with the marks before it. A text gets one leading mark, as the
         library adds it."""
@@ -194,10 +213,10 @@ class Model:
         found = [self.words(t or "") for t in texts]
         ends = np.cumsum([0, *map(len, found)])
         flat = pa.array(list(chain.from_iterable(found)), pa.large_string()).dictionary_encode()
-        known = [self.word(w) if len(w) <= LONG_WORD else self._word(w) for w in flat.dictionary.to_pylist()]
-        size = np.array([*map(len, known)], np.int64)
+        known = self.known(flat.dictionary.cast(pa.large_binary()).to_pylist())
+        size = np.array([*map(len, known)], np.int64) // 4
         pieces = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(size)]),
-                                               pa.array(np.array([*chain.from_iterable(known)], np.int32)))
+                                               pa.array(np.frombuffer(b"".join(known), np.int32)))
         code = flat.indices
         upto = np.concatenate([[0], np.cumsum(size[code.to_numpy()])]) if len(known) else np.zeros(1, np.int64)
         return pa.LargeListArray.from_arrays(upto[ends], pieces.take(code).flatten())
@@ -275,7 +294,7 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", decoded: bool =
     The whole text is encoded, without begin or end ids. A null or empty text gives no ids and
     an empty ``decoded``. A blank and a literal word mark decode to a blank. Columns of these two
     names in the input are replaced. Rows are independent: no shuffle, repeated rows repeat. Texts are
-    encoded in slices of about a megabyte; a longer one is a slice."""
+    encoded in slices of about half a megabyte; a longer one is a slice."""
     added = [T.StructField("ids", T.ArrayType(T.IntegerType(), False), False), T.StructField("decoded", T.StringType(), False)][:1 + decoded]
     schema = _schema(docs, added)
     keep = [f.name for f in schema.fields[:-len(added)]]

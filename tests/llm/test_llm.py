@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import sys
 from collections import Counter
 
 import duckdb
@@ -128,6 +129,19 @@ def own_lines(seed):
     return "".join(f"{sentence(9, seed * 100 + k)}.\n" for k in range(30))
 
 
+def test_sentencepiece_remembers_little(monkeypatch):
+    """Remembered words take about 150 bytes each, and at most REMEMBERED are kept."""
+    monkeypatch.setattr(sentencepiece_bpe, "REMEMBERED", 2000)
+    model = sentencepiece_bpe.Model(MODEL)
+    lib = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    texts = [" ".join(f"w{rnd.randrange(10 ** 6)}" for _ in range(50)) + " \u4e2d\u00e9 x" for _ in range(100)]
+    for at in (0, 50, 0):
+        assert model.encoded(texts[at:at + 50]).to_pylist() == lib.encode(texts[at:at + 50])
+    held = model.young | model.old
+    assert 1000 <= len(held) <= 2000
+    assert sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in held.items()) < 120 * len(held)
+
+
 def test_line_dedup(spark, empty):
     texts = {i: own_lines(i) + (PASSAGE if i in (2, 5, 6) else "") + own_lines(i + 50) for i in range(8)}
     texts |= {20: texts[0], 21: None, 22: "", 23: "x" * 100_000, 24: own_lines(24) + "Last one. " + PASSAGE + own_lines(25)}
@@ -153,6 +167,18 @@ def test_line_dedup_short_passages(spark, n, words):
         assert (r.removed_lines, r.removed_words) == ((0, 0) if r.doc_id == 0 else (n, n * words))
 
 
+def test_line_dedup_reads_numbers_at_once():
+    for kind in (pa.int64(), pa.string()):
+        ids = [3, 4, 5] if kind == pa.int64() else ["c", "d", "e"]
+        rows = [[dict(zip(line_dedup.WINDOW, (1, 2, 0, 9, i, 7, 1, 0, 9))) for i in ids], [], None]
+        number = {f: pa.int32() for f in line_dedup.WINDOW} | {"f_id": kind, "f_key": pa.int64()}
+        column = pa.array(rows, pa.list_(pa.struct(list(number.items()))))
+        assert [[x.f_id for x in w] for w in line_dedup.windows_in(column)] == [ids, [], []]
+        assert line_dedup.windows_in(column.slice(1)) == [[], []]
+    assert line_dedup.objects(pa.array([1, None], pa.int64())) == [1, None]
+    assert line_dedup.objects(pa.array([1, 2], pa.int32())) == [1, 2]
+
+
 def test_line_dedup_inner_repeats(spark):
     line = f"{sentence(10, 77)}.\n"
     df = spark.createDataFrame([(1, own_lines(1) + line * 8 + own_lines(2))], "doc_id long, text string")
