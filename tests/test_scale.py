@@ -4,6 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from auditlake.functions import text
 from auditlake.operators import analyze, calls, detect, merge
 from auditlake.plans import corpus, queries
 from auditlake.session import checkpoint_folder, numbered
@@ -87,3 +88,25 @@ def test_rule_hits_are_counted_where_they_stand(spark, files_of):
     counts = detect.rule_counts(files)
     assert {r.dim: r.n for r in counts.collect()} == placed and len(placed) > 3
     assert "explode" not in plan(counts) and detect.rule_counts(files.limit(0)).collect() == []
+
+
+def test_bound_values_are_not_copied():
+    """What ``transform`` gives is copied, so a value bound through it was copied at every level."""
+    assert "transform(array(" not in str(text.let(F.col("a"), lambda x: F.struct(x, x)))
+
+
+def test_counts_leave_texts_out(spark, files_of):
+    files = files_of(a=PROGRAM, b="gets(x);\ngets(y);\nint n;")
+    slim = merge.scan_files(files, fields=("severity",))
+    assert analyze.fields_of(slim) == ["rank", "line", "seq", "severity"]
+    pick = lambda df: sorted((r.file_path, r.line, r.seq, r.severity) for r in merge.findings_of(df).collect())
+    assert pick(slim) == pick(merge.scan_files(files)) and len(pick(slim)) > 3
+    assert "also on line(s)" in plan(merge.scan_files(files)) and "also on line(s)" not in plan(slim)
+
+
+def test_lines_of_few_and_of_many_hits(spark, files_of):
+    for n in range(10):
+        lines = [f"gets(a); printf(b{i}); /* é\n */" for i in range(n)]
+        found = detect.rule_findings(files_of(a="\n".join(["int x;", *lines]))).collect()
+        assert sorted((r.dim, r.line) for r in found if r.function_name in ("gets", "printf")) == sorted(
+            (dim, 2 + 2 * i) for dim in (0, 7) for i in range(n))
