@@ -2,6 +2,7 @@
 table and extra columns, beside a brute-force version or an exact round trip."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -614,3 +615,16 @@ def test_line_dedup_windows_are_slim(spark):
     for r in docs.select("text", line_dedup.count_lines(F.col("text")).alias("n"), F.size(line_dedup.lines_of(F.col("text"))).alias("m")).collect():
         assert r.n == r.m == len(re.split(line_dedup.LINE_END, r.text))
         assert r.n == 1 + len(list(line_dedup.LAST.finditer(r.text.encode())))
+
+
+def test_lines_of_many_texts(monkeypatch):
+    """Lines and words of many texts are sought at once, with parts that end anywhere between texts."""
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice("ab .!?\n\té\x0b\x1c") for _ in range(rnd.randrange(60))).encode() for _ in range(300)] + [b"", b" ", b"a. "]
+    for part in (1, 70, 1 << 20):
+        monkeypatch.setattr(line_dedup, "PART", part)
+        for t, (whole, numbers, before, starts, ends) in zip(texts, line_dedup.lines_in(texts), strict=True):
+            cuts = [0, *(m.end() for m in line_dedup.LAST.finditer(t)), len(t)]
+            lines = [(k, t[a:b].split(), t[a:b].strip()) for k, (a, b) in enumerate(zip(cuts, cuts[1:]), 1) if t[a:b].split()]
+            assert numbers == [k for k, _, _ in lines] and [whole[a:b] for a, b in zip(starts, ends)] == [s for _, _, s in lines]
+            assert before == [0, *itertools.accumulate(len(w) for _, w, _ in lines)]
