@@ -200,6 +200,19 @@ def test_line_dedup_mostly_repeated(spark):
     assert got[7] == got[8] == own_lines(70) and got[9] == texts[9].replace(parts[3], "")
 
 
+def test_line_dedup_spares_no_copy(spark, tmp_path):
+    """The query removes every later place: of whole copies, of near ones, and in rows without an id."""
+    page = own_lines(70) + PASSAGE
+    near = page.replace(PASSAGE, own_lines(71)[:40] + "\n" + PASSAGE)
+    texts = {1: page, 2: page, 3: near, 4: own_lines(4) + PASSAGE, 5: PASSAGE, None: own_lines(5) + PASSAGE}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in entry.queries()["op3_line_dedup"](spark, str(tmp_path)).collect()}
+    want = {1: page, 2: "", 3: own_lines(71)[:40] + "\n", 4: own_lines(4), 5: "", None: own_lines(5)}
+    assert {i: r.text_sha256 for i, r in got.items()} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in want.items()}
+    words = lambda t: len(t.split())
+    assert {i: r.removed_words for i, r in got.items()} == {i: words(t) - words(want[i]) for i, t in texts.items()}
+
+
 def test_lines_join_to_the_text(spark, docs):
     df = docs.where("text is not null").select("text", F.array_join(line_dedup.lines_of(F.col("text")), "").alias("again"))
     assert df.where("text != again").count() == 0
