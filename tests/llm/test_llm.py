@@ -250,6 +250,24 @@ def test_embedding_join(spark):
     assert embedding_join.near_duplicates(df.where("false")).collect() == []
 
 
+def test_embedding_join_rounds(spark, monkeypatch):
+    """Blocks are broadcast some at a time and compared where the others are read: no vector is shuffled for a pair."""
+    for name, value in (("AT_ONCE", 1 << 12), ("BLOCK", 16), ("COLUMNS", 50), ("NODES", 20), ("key", lambda: F.size("v").cast("bigint"))):
+        monkeypatch.setattr(embedding_join, name, value)  # with a key that all vectors of a length share
+    g = np.random.default_rng(8)
+    middle = g.normal(size=(30, 8))
+    rows = [(i, np.float32(middle[i % 30] + g.normal(size=8) * .15).tolist(), "xy"[i % 2]) for i in range(600)]
+    rows += [(1000 + i, rows[i][1], "x") for i in range(0, 90, 3)] + [(2000 + i, np.float32(g.normal(size=5) + 2).tolist(), "z") for i in range(60)]
+    rows += [(3000, [0.0] * 7 + [1.0], "x"), (3001, [-0.0] * 7 + [1.0], "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_join.near_duplicates(df).collect()}
+    assert got == brute_links(rows, 0.93)
+    slim = df.selectExpr("8 AS length", "label", "vec_id AS block", "vec_id AS cls", "1L AS n", "embedding AS v").where("vec_id < 600")
+    pairs, sent = embedding_join.compared(slim, slim, {8: np.eye(8)}, 0.93, 0.15)
+    assert "Exchange" not in pairs._jdf.queryExecution().toString() and pairs.count() > 500
+    sent.destroy()
+
+
 def test_embedding_join_repeated_ids(spark):
     # id 1 has two vectors, one beside 2 and one beside 3 and 4; id 9 alone ties 5 and 6 together
     rows = [(1, [1.0, 0, 0]), (1, [0, 1.0, 0]), (2, [1.0, .01, 0]), (3, [0, 1.0, .01]), (4, [.01, 1.0, 0]),
