@@ -62,6 +62,14 @@ def test_arriving_files_are_spread(spark, sf, tmp_path):
     assert seen and min(seen) >= 4
 
 
+def test_trees_are_written_and_removed_by_many_tasks(spark, sf, monkeypatch):
+    tasks, whole = [], type(spark.range(0)).mapInArrow
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda df, f, schema, *a: (
+        tasks.append(df.rdd.getNumPartitions()) if schema == "n bigint" else None, whole(df, f, schema, *a))[1])
+    assert queries._listed(spark, sf).count() > 0
+    assert len(tasks) == 2 and min(tasks) >= 4
+
+
 def test_trees_are_removed_once_listed(spark, sf, monkeypatch):
     whole = {r.path for r in queries._listed(spark, sf).collect()}
     sizes, write = [], corpus.write_tree
